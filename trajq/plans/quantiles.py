@@ -41,18 +41,19 @@ def exact_quantiles(
         lo, hi = F.element_at("_b", 2 * i + 1), F.element_at("_b", 2 * i + 2)
         low = F.lit(True) if quantiles[n] - eps <= 0 else F.col("_v") >= lo
         high = F.lit(True) if quantiles[n] + eps >= 1 else F.col("_v") <= hi
-        kept = F.struct(F.lit(i).alias("q"), F.when(low, F.col("_v")).alias("v"))
+        kept = F.struct(F.lit(i).alias("q"), F.when(low, F.col("_v")).alias("v"), F.col("_v").alias("raw"))
         options.append(F.when(high, kept))
     ranked = (
         joined.select(*keys, "_n", F.explode(F.array_compact(F.array(*options))).alias("_o"))
         .groupBy(*keys, F.col("_o.q").alias("_q"), F.col("_o.v").alias("_v"))
-        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.max("_o.raw").alias("_raw"))
     )
     w = Window.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first())
     ranked = ranked.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     q = F.element_at(F.array(*[F.lit(float(quantiles[n])) for n in names]), F.col("_q") + 1)
     rank = q * (F.col("_n") - 1)
-    at = lambda r: F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > r), F.col("_v")))
+    # The wanted rank is inside the bracket or the last value below it, whose value is kept in _raw.
+    at = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_raw")))
     picked = (
         ranked.withColumn("_r", rank)
         .groupBy(*keys, "_q")
