@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("alignment",)
+MODULES = ("alignment", "motion")
 
 
 def collect():

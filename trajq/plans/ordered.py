@@ -173,22 +173,31 @@ def checkpoint_positions(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def runs(
-    df: DataFrame, keys: Sequence[str], index: str, *, max_step: int = 1, size: int = ROWS_PER_BUCKET, rows: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    index: str,
+    *,
+    max_step: int = 1,
+    size: int = ROWS_PER_BUCKET,
+    rows: bool = False,
+    agg: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Islands of rows whose index advances by at most ``max_step``.
 
-    ``rows=False`` returns one row per island: keys, ``run_start, run_end, run_len``;
-    ``rows=True`` adds those columns to every row. Only the first and last island of a bucket can
+    ``rows=False`` returns one row per island: keys, ``run_start, run_end, run_len`` and the
+    ``agg`` columns, each ``(min|max|sum, expression)`` over the island; ``rows=True`` adds the
+    three run columns to every row. Only the first and last island of a bucket can
     continue in another bucket, so at most two rows per bucket are linked across buckets.
     """
-    keys = list(keys)
+    keys, agg = list(keys), dict(agg or {})
     before = df.columns
     d = df.withColumn(BUCKET, bucket_start(F.col(index), size))
     w = Window.partitionBy(*keys, BUCKET).orderBy(index)
     fresh = F.coalesce((F.col(index) - F.lag(index).over(w) > max_step).cast("int"), F.lit(1))
     d = d.withColumn("_new", fresh).withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = d.groupBy(*keys, BUCKET, "_isl").agg(
-        F.min(index).alias("_s"), F.max(index).alias("_e"), F.count("*").alias("_n")
+        F.min(index).alias("_s"), F.max(index).alias("_e"), F.count("*").alias("_n"),
+        *[getattr(F, f)(v).alias(n) for n, (f, v) in agg.items()],
     )
     pieces = pieces.withColumn("_last", F.max("_isl").over(Window.partitionBy(*keys, BUCKET)))
     is_edge = (F.col("_isl") == 1) | (F.col("_isl") == F.col("_last"))
@@ -203,13 +212,14 @@ def runs(
         F.min("_s").over(whole).alias("run_start"),
         F.max("_e").over(whole).alias("run_end"),
         F.sum("_n").over(whole).alias("run_len"),
+        *[getattr(F, f)(n).over(whole).alias(n) for n, (f, _) in agg.items()],
     )
     if not rows:
         inner = pieces.where(~is_edge).select(
-            *keys, F.col("_s").alias("run_start"), F.col("_e").alias("run_end"), F.col("_n").alias("run_len")
+            *keys, F.col("_s").alias("run_start"), F.col("_e").alias("run_end"), F.col("_n").alias("run_len"), *agg
         )
         return inner.unionByName(
-            edges.where(F.col("_s") == F.col("run_start")).select(*keys, "run_start", "run_end", "run_len")
+            edges.where(F.col("_s") == F.col("run_start")).select(*keys, "run_start", "run_end", "run_len", *agg)
         )
     local = Window.partitionBy(*keys, BUCKET, "_isl")
     d = d.withColumns({
