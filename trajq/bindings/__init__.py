@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("alignment", "motion")
+MODULES = ("alignment", "motion", "vectors")
 
 
 def collect():

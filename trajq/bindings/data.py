@@ -85,3 +85,37 @@ near AS (SELECT recording_id, stream, ord, tick, t_ns,
          CASE WHEN nt IS NULL OR (pt IS NOT NULL AND t_ns - pt <= nt - t_ns) THEN pi ELSE ni END AS idx,
          CASE WHEN nt IS NULL OR (pt IS NOT NULL AND t_ns - pt <= nt - t_ns) THEN t_ns - pt ELSE nt - t_ns END AS gap
          FROM both_)"""
+
+
+SLOT_IDS = (0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 15, 16, 18)
+
+
+def tactile(spark: SparkSession, sf: str) -> DataFrame:
+    """Glove samples: each vector is one frame of one hand, 15 pads of 2 x 2 cells.
+
+    Some fingers of some recordings are silent, as a broken glove would be.
+    """
+    e = table(spark, sf, "embeddings").select(
+        F.col("label").cast("bigint").alias("recording_id"),
+        F.when(F.col("vec_id") % 2 == 0, "left").otherwise("right").alias("hand"),
+        "vec_id", F.col("embedding").cast("array<double>").alias("v"),
+    )
+    e = row_index(e, ["recording_id", "hand"], "vec_id", "sample_idx", size=100_000)
+    slots = F.array(*[F.lit(s) for s in SLOT_IDS])
+    e = e.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(14))))
+    dead = (F.col("recording_id") + F.floor(F.col("p") / 3)) % 4 == 0
+    x = F.slice("v", F.col("p") * 4 + 1, 4)
+    return e.select(
+        "recording_id", "hand", F.get(slots, F.col("p")).alias("pad"), "sample_idx",
+        (F.col("sample_idx") * 100_000_000).alias("t_ns"), F.lit(2).alias("h"), F.lit(2).alias("w"),
+        F.when(dead, F.array_repeat(F.lit(0.0), 4)).otherwise(x).alias("force"),
+    )
+
+
+TACTILE_SQL = """tactile AS (
+  SELECT recording_id, hand, ([0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 15, 16, 18])[p + 1] AS pad, sample_idx, sample_idx * 100000000 AS t_ns,
+    CASE WHEN (recording_id + p // 3) % 4 = 0 THEN [0.0::DOUBLE, 0, 0, 0] ELSE list_transform(embedding[p * 4 + 1:p * 4 + 4], lambda x: x::DOUBLE) END AS force
+  FROM (SELECT *, row_number() OVER (PARTITION BY label, hand ORDER BY vec_id) - 1 AS sample_idx FROM
+        (SELECT label::BIGINT AS recording_id, label, CASE WHEN vec_id % 2 = 0 THEN 'left' ELSE 'right' END AS hand, vec_id, embedding FROM embeddings)),
+       range(0, 15) t(p)),
+cells AS (SELECT recording_id, hand, pad, sample_idx, t_ns, generate_subscripts(force, 1) - 1 AS cell, unnest(force) AS x FROM tactile)"""
