@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("alignment", "motion", "vectors")
+MODULES = ("alignment", "motion", "vectors", "statistics")
 
 
 def collect():

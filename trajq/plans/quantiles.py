@@ -36,24 +36,23 @@ def exact_quantiles(
         F.count("*").alias("_n"), F.percentile_approx("_v", asked, accuracy).alias("_b")
     )
     joined = data.join(brackets, keys)
+    # side -1 / 0 / 1: below, inside, above the bracket; values outside collapse into one group.
     options = []
     for i, n in enumerate(names):
         lo, hi = F.element_at("_b", 2 * i + 1), F.element_at("_b", 2 * i + 2)
-        low = F.lit(True) if quantiles[n] - eps <= 0 else F.col("_v") >= lo
-        high = F.lit(True) if quantiles[n] + eps >= 1 else F.col("_v") <= hi
-        kept = F.struct(F.lit(i).alias("q"), F.when(low, F.col("_v")).alias("v"), F.col("_v").alias("raw"))
-        options.append(F.when(high, kept))
+        side = F.when(F.col("_v") < lo, -1).when(F.col("_v") > hi, 1).otherwise(0)
+        options.append(F.struct(F.lit(i).alias("q"), side.alias("side"), F.when(side == 0, F.col("_v")).alias("v")))
     ranked = (
-        joined.select(*keys, "_n", F.explode(F.array_compact(F.array(*options))).alias("_o"))
-        .groupBy(*keys, F.col("_o.q").alias("_q"), F.col("_o.v").alias("_v"))
-        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.max("_o.raw").alias("_raw"))
+        joined.select(*keys, "_n", "_v", F.explode(F.array(*options)).alias("_o"))
+        .groupBy(*keys, F.col("_o.q").alias("_q"), F.col("_o.side").alias("_side"), F.col("_o.v").alias("_at"))
+        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
     )
-    w = Window.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first())
+    w = Window.partitionBy(*keys, "_q").orderBy("_side", "_at")
     ranked = ranked.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     q = F.element_at(F.array(*[F.lit(float(quantiles[n])) for n in names]), F.col("_q") + 1)
     rank = q * (F.col("_n") - 1)
-    # The wanted rank is inside the bracket or the last value below it, whose value is kept in _raw.
-    at = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_raw")))
+    # A wanted rank lies in the bracket, or is the last value below or the first value above it.
+    at = lambda r: F.min(F.when(F.col("_cum") > r, F.when(F.col("_side") < 0, F.col("_top")).otherwise(F.col("_low"))))
     picked = (
         ranked.withColumn("_r", rank)
         .groupBy(*keys, "_q")
