@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("alignment", "motion", "vectors", "statistics")
+MODULES = ("alignment", "motion", "vectors", "statistics", "quality")
 
 
 def collect():

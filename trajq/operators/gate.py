@@ -173,7 +173,7 @@ def sync_gate(
             F.lit("holes "), share(F.col("_hole"), 2), F.lit(f" > {max_hole_share:.0%} ("), F.col("n_holes").cast("string"),
             F.lit(" ticks; "), worst_text)),
         F.when(F.col("_max") > max_gap_ns, F.concat(
-            F.lit("blackout: worst gap "), F.format_string("%.0f", F.col("_gapms")), F.lit(f"ms > {max_gap_ns / 1e6:.0f}ms ("), worst_text)),
+            F.lit("blackout: worst gap "), F.rint("_gapms").cast("bigint").cast("string"), F.lit(f"ms > {max_gap_ns / 1e6:.0f}ms ("), worst_text)),
         F.when(~F.col("cover"), F.lit("glove window does not cover the camera window")),
     )
     short = F.lit("common time window shorter than 1 s")
