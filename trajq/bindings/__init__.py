@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("alignment", "motion", "vectors", "statistics", "quality")
+MODULES = ("alignment", "motion", "vectors", "statistics", "quality", "episodes", "evaluation")
 
 
 def collect():
