@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("alignment", "motion", "vectors", "statistics", "quality", "episodes", "evaluation")
+MODULES = ("alignment", "motion", "vectors", "statistics", "quality", "episodes", "evaluation", "storage")
 
 
 def collect():
