@@ -5,12 +5,13 @@ A rotation is six numbers, the first two matrix columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trajq.functions.layout import SLOTS, WIDTH
+from trajq.functions.text import let
 
 Vec = list[Column]
 
@@ -27,15 +28,6 @@ def _get(x: Column, lo: int, n: int = 3) -> Vec:
     return [x[lo + i].cast("double") for i in range(n)]
 
 
-def let(x: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once however often the body uses it.
-
-    Unlike a chain of ``withColumn`` steps it stays one level deep when the optimizer moves a
-    filter on the result below the projection.
-    """
-    return F.transform(F.array(x), body)[0]
-
-
 def _unit(v: Vec, guard: bool) -> Vec:
     n = F.sqrt(_dot(v, v))
     safe = F.when(n < 1e-8, 1.0).otherwise(n) if guard else F.nullif(n, F.lit(0.0))

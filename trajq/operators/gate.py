@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajq.functions.text import fixed
 from trajq.operators.asof import asof_nearest, melt_nearest
 from trajq.plans.ordered import BUCKET, HOUR_NS, bucket_start, fill
 
@@ -88,7 +89,7 @@ def aligned_ticks(
 
 def share(x: Column, digits: int) -> Column:
     """Percentage text with a fixed number of digits."""
-    return F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%"))
+    return F.concat(fixed(x * 100, digits), F.lit("%"))
 
 
 def list_text(items: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajq.functions.layout import FINGERS, PARTS, part_of_slot
+from trajq.functions.text import fixed
 from trajq.operators.rows import SECOND_NS, interval_join
 from trajq.operators.tactile import HAND_KEYS, ZERO_FLOOR, visible_force
 from trajq.operators.windows import interval_diff, segments
@@ -33,7 +34,7 @@ def whole(x: Column) -> Column:
 
 
 def one_digit(x: Column) -> Column:
-    return F.format_string("%.1f", x)
+    return fixed(x, 1)
 
 
 def integrity_check(
@@ -243,7 +244,7 @@ def review_list(episodes: DataFrame, hands: DataFrame, losses: DataFrame, peaks:
     flagged = hands.where(F.col("verdict") != "PASS").select(*HAND_KEYS, F.col("verdict").alias("hand_verdict"), "reason")
     items = losses.where(F.col("kind").isin("hard", "weak")).select(*HAND_KEYS, "finger", "object", "start_ns", "end_ns")
     peak = peaks.groupBy(*HAND_KEYS).agg(F.array_sort(F.collect_list(F.struct(part_rank(F.col("part")).alias("o"), "part", "peak"))).alias("_p"))  # 6 parts
-    text = F.array_join(F.transform("_p", lambda x: F.concat(x["part"], F.lit("="), F.format_string("%.2f", x["peak"]))), ", ")
+    text = F.array_join(F.transform("_p", lambda x: F.concat(x["part"], F.lit("="), fixed(x["peak"], 2))), ", ")
     out = tier.join(flagged, "recording_id").join(items, HAND_KEYS, "left").join(peak, HAND_KEYS, "left")
     caption = F.concat_ws(" ", F.col("recording_id").cast("string"), F.col("hand"), F.col("finger"), F.lit("claimed on"), F.col("object"), F.lit("but silent"))
     return out.select("tier", *HAND_KEYS, "hand_verdict", "reason", "finger", (F.col("start_ns") / 1e9).alias("start"), (F.col("end_ns") / 1e9).alias("end"),
