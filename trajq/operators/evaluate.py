@@ -154,10 +154,18 @@ def sensitivity_ratio(stats: DataFrame, *, shuffle: str = "shuffle", swap: str =
     return r.withColumn("band", band)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate Pearson correlation, 0 where either side has no spread.
+
+    ``corr`` itself divides by zero there, which is an error in ANSI mode.
+    """
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx < 1e-12) | (sy < 1e-12), F.lit(0.0)).otherwise(F.try_divide(F.covar_pop(x, y), sx * sy))
+
+
 def pearson(df: DataFrame, x: Column, y: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """Correlation, 0 where either side has no spread."""
-    flat = (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12)
-    return df.groupBy(*keys).agg(F.when(flat, F.lit(0.0)).otherwise(F.corr(x, y)).alias("r"), F.count("*").alias("n"))
+    """Correlation per key."""
+    return df.groupBy(*keys).agg(correlation(x, y).alias("r"), F.count("*").alias("n"))
 
 
 def ordinal_ranks(df: DataFrame, columns: Sequence[str], id_col: str, keys: Sequence[str] = ()) -> DataFrame:

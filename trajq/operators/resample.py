@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajq.operators.evaluate import correlation
 from trajq.plans.ordered import global_index
 
 EXACT_LIMIT = 9
+TIE = 1e-12  # the same pairing summed in another order counts as equal
 PERMUTATIONS, BOOTSTRAPS, SIGN_FLIPS = 200_000, 10_000, 20_000
 
 
@@ -38,22 +40,18 @@ def _resamples(df: DataFrame, n: int) -> DataFrame:
     return d.withColumn("_r", F.explode(F.sequence(F.col("_b") * block, hi))).drop("_b")
 
 
-def _corr(x: Column, y: Column) -> Column:
-    return F.when((F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12), F.lit(0.0)).otherwise(F.corr(x, y))
-
-
 def permutation_test(df: DataFrame, id_col: str, x: str, y: str, *, resamples: int = PERMUTATIONS, seed: int = 0, plus_one: bool = True) -> DataFrame:
     """Two-sided p of the correlation under random pairings: observed, p, n; one row.
 
     ``plus_one`` gives (c + 1) / (m + 1), else c / m.
     """
     u = units(df, id_col, x, y)
-    observed = u.agg(_corr(F.col(x), F.col(y)).alias("observed"), F.count("*").alias("n")).withColumn("_k", F.lit(0))
+    observed = u.agg(correlation(F.col(x), F.col(y)).alias("observed"), F.count("*").alias("n")).withColumn("_k", F.lit(0))
     drawn = _resamples(u.select("_i", x), resamples)
     w = Window.partitionBy("_r").orderBy(draw(seed, F.col("_r"), F.col("_i")), "_i")
     paired = drawn.withColumn("_at", F.row_number().over(w) - 1).join(u.select(F.col("_i").alias("_at"), y), "_at")
-    stat = paired.groupBy("_r").agg(_corr(F.col(x), F.col(y)).alias("s")).withColumn("_k", F.lit(0))
-    hit = F.count(F.when(F.abs("s") >= F.abs("observed"), 1))
+    stat = paired.groupBy("_r").agg(correlation(F.col(x), F.col(y)).alias("s")).withColumn("_k", F.lit(0))
+    hit = F.count(F.when(F.abs("s") >= F.abs("observed") - TIE, 1))
     p = (hit + 1) / (F.count("*") + 1) if plus_one else hit / F.count("*")
     out = stat.join(F.broadcast(observed), "_k")  # one row
     return out.agg(F.first("observed").alias("observed"), p.alias("p"), F.first("n").alias("n"), F.count("*").alias("resamples"))
@@ -108,7 +106,7 @@ def sign_flip_test(df: DataFrame, id_col: str, diff: str, *, resamples: int = SI
     sign = F.when(draw(seed, F.col("_r"), F.col("_i")).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
     stat = _resamples(u, resamples).groupBy("_r").agg(F.avg(F.col(diff) * sign).alias("s")).withColumn("_k", F.lit(0))
     out = stat.join(F.broadcast(observed), "_k")  # one row
-    hit = F.count(F.when(F.abs("s") >= F.abs("observed"), 1))
+    hit = F.count(F.when(F.abs("s") >= F.abs("observed") - TIE, 1))
     return out.agg(F.first("observed").alias("observed"), ((hit + 1) / (F.count("*") + 1)).alias("p"), F.first("n").alias("n"))
 
 
@@ -118,7 +116,7 @@ def bootstrap_ci(df: DataFrame, id_col: str, x: str, y: str, *, resamples: int =
     n = u.agg(F.count("*").alias("_n")).withColumn("_k", F.lit(0))
     drawn = _resamples(u.select("_i").withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k"), resamples)  # one row
     drawn = drawn.select("_r", F.pmod(draw(seed, F.col("_r"), F.col("_i")), F.col("_n")).alias("_i"))
-    stat = drawn.join(u, "_i").groupBy("_r").agg(_corr(F.col(x), F.col(y)).alias("s"))
+    stat = drawn.join(u, "_i").groupBy("_r").agg(correlation(F.col(x), F.col(y)).alias("s"))
     return stat.agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"), F.count("*").alias("resamples"))
 
 
