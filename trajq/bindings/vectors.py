@@ -193,14 +193,12 @@ def _rotated_sql(inverse):
 
 @query("rotation_delta", _rotated_sql(False))
 def _(spark, sf):
-    f = frames(spark, sf)
-    return dims(f.withColumn("d", rotations.rotation_delta(F.col("action"), F.col("state"))), ["vec_id"], "d")
+    return dims(rotations.rotation_delta(frames(spark, sf)), ["vec_id"], "action")
 
 
 @query("rotation_absolute", _rotated_sql(True))
 def _(spark, sf):
-    f = frames(spark, sf)
-    return dims(f.withColumn("d", rotations.rotation_absolute(F.col("action"), F.col("state"))), ["vec_id"], "d")
+    return dims(rotations.rotation_absolute(frames(spark, sf)), ["vec_id"], "action")
 
 
 @query("axis_angle_to_rot6d", f"""WITH {FRAMES_SQL}, a AS (SELECT vec_id, radians(state[1] * 300) x, radians(state[2] * 300) y, radians(state[3] * 300) z FROM frames),
@@ -225,9 +223,8 @@ def _(spark, sf):
 @query("geodesic_deg", f"WITH {FRAMES_SQL}, {gram_schmidt_sql('frames', {'a': ('action', 4), 's': ('state', 4)}, 'g')} SELECT vec_id, "
        "round(degrees(acos(least(greatest((list_dot_product(am, sm) - 1) / 2, -1), 1))), 6) AS deg FROM g")
 def _(spark, sf):
-    d = frames(spark, sf).select(
-        "vec_id", *[rotations.matrix_from_rot6d(F.slice(c, 4, 6)).alias(n) for c, n in (("action", "a"), ("state", "s"))])
-    return d.select("vec_id", F.round(rotations.geodesic_deg(F.col("a"), F.col("s")), 6).alias("deg"))
+    d = rotations.geodesic_deg(frames(spark, sf), ("action", 3), ("state", 3))
+    return d.select("vec_id", F.round("deg", 6).alias("deg"))
 
 
 def _packed(spark, sf):
@@ -262,9 +259,8 @@ def _(spark, sf):
 def _(spark, sf):
     p = _packed(spark, sf).withColumn("v", rotations.pack_canonical(
         {"right": F.col("ra"), "left": F.col("la")}, {"right": F.col("rh"), "left": F.col("lh")}))
-    arm, hand = rotations.decode_canonical(F.col("v"), "right")
-    d = p.select("vec_id", arm.alias("arm"), hand.alias("right_hand"))
-    arm = F.col("arm")
+    d = rotations.decode_canonical(p, "v", ["right"])
+    arm = F.col("right_arm")
     return d.select("vec_id", F.round(arm[0], 4).alias("x"), *[F.round(arm[i], 4).alias(n) for i, n in ((3, "rx"), (4, "ry"), (5, "rz"))],
                     F.round(F.col("right_hand")[5], 4).alias("h5"))
 

@@ -1,117 +1,119 @@
 """Rotations as closed-form column algebra.
 
-A rotation is six numbers, the first two matrix columns.
+A rotation is six numbers, the first two matrix columns. The functions that need matrices work on
+a table and add the intermediate values as scalar columns, step by step: every shared value is
+computed once and all of it stays in generated code. The result leaves through a one-element
+``explode``, so a later filter on it is not pushed below the steps and inlined there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajq.functions.layout import SLOTS, WIDTH
-from trajq.functions.text import let
 
 Vec = list[Column]
+EYE = [1.0 if i % 4 == 0 else 0.0 for i in range(9)]
 
 
-def _dot(a: Vec, b: Vec) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+def _add(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in cols.items()])
 
 
-def _cross(a: Vec, b: Vec) -> Vec:
-    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+def _result(df: DataFrame, keep: Sequence[str], cols: Mapping[str, str]) -> DataFrame:
+    """The kept columns and the named results, behind a one-element explode."""
+    fields = ", ".join(f"'{n}', {e}" for n, e in cols.items())
+    names = [f"`{c}`" for c in keep if c not in cols]
+    return df.selectExpr(*names, f"explode(array(named_struct({fields}))) AS _r").selectExpr(*names, *[f"_r.`{n}` AS `{n}`" for n in cols])
 
 
-def _get(x: Column, lo: int, n: int = 3) -> Vec:
-    return [x[lo + i].cast("double") for i in range(n)]
+def _sum(terms: Sequence[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
-def _unit(v: Vec, guard: bool) -> Vec:
-    n = F.sqrt(_dot(v, v))
-    safe = F.when(n < 1e-8, 1.0).otherwise(n) if guard else F.nullif(n, F.lit(0.0))
-    return [c / safe for c in v]
+def _dot(a: Sequence[str], b: Sequence[str]) -> str:
+    return _sum([f"{x} * {y}" for x, y in zip(a, b)])
 
 
-def matrix_from_rot6d(x: Column, *, guard: bool = True) -> Column:
-    """Array of 9, the matrix columns b1, b2, b3 (Gram-Schmidt).
+def _v(name: str, part: str, n: int = 3) -> list[str]:
+    return [f"_{name}_{part}{i}" for i in range(n)]
 
-    ``guard`` gives the identity where a column is shorter than 1e-6; without it the entries of
-    such a row are null.
-    """
-    def second(b: Column) -> Column:  # b: b1 and, behind it, a2
-        b1, a2 = _get(b, 0), _get(b, 3)
-        d = _dot(b1, a2)
-        return F.array(*b1, *[v - d * u for v, u in zip(a2, b1)])
-
-    def third(p: Column) -> Column:  # p: b1 and the part of a2 across it
-        b1, b2 = _get(p, 0), _unit(_get(p, 3), guard)
-        return F.array(*b1, *b2, *_cross(b1, b2))
-
-    short = lambda v: F.sqrt(_dot(v, v)) < 1e-6
-
-    def build(p: Column) -> Column:
-        if not guard:
-            return third(p)
-        eye = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
-        return F.when(short(_get(x, 0)) | short(_get(p, 3)), eye).otherwise(third(p))
-
-    return let(F.array(*_unit(_get(x, 0), guard), *_get(x, 3)), lambda b: let(second(b), build))
 
+def _matrices(df: DataFrame, sources: Mapping[str, tuple[str, int]], guard: bool) -> DataFrame:
+    """Add scalars ``_<name>_m0..8``: matrix columns b1, b2, b3 of (vector column, first entry)."""
+    df = _add(df, {a: f"cast({col}[{lo + i}] AS double)" for n, (col, lo) in sources.items() for i, a in enumerate(_v(n, "a", 6))})
+    df = _add(df, {f"_{n}_n1": f"sqrt({_dot(_v(n, 'a', 6)[:3], _v(n, 'a', 6)[:3])})" for n in sources})
+    safe = (lambda c: f"CASE WHEN {c} < 1e-8D THEN 1D ELSE {c} END") if guard else (lambda c: f"nullif({c}, 0D)")
+    df = _add(df, {b: f"{a} / {safe(f'_{n}_n1')}" for n in sources for a, b in zip(_v(n, "a", 6), _v(n, "b"))})
+    df = _add(df, {f"_{n}_d": _dot(_v(n, "b"), _v(n, "a", 6)[3:]) for n in sources})
+    df = _add(df, {p: f"{a} - _{n}_d * {b}" for n in sources for a, b, p in zip(_v(n, "a", 6)[3:], _v(n, "b"), _v(n, "p"))})
+    df = _add(df, {f"_{n}_n2": f"sqrt({_dot(_v(n, 'p'), _v(n, 'p'))})" for n in sources})
+    df = _add(df, {c: f"{p} / {safe(f'_{n}_n2')}" for n in sources for p, c in zip(_v(n, "p"), _v(n, "c"))})
+    out = {}
+    for n in sources:
+        b, c = _v(n, "b"), _v(n, "c")
+        third = [f"{b[(i + 1) % 3]} * {c[(i + 2) % 3]} - {b[(i + 2) % 3]} * {c[(i + 1) % 3]}" for i in range(3)]
+        for i, (e, one) in enumerate(zip([*b, *c, *third], EYE)):
+            out[f"_{n}_m{i}"] = f"CASE WHEN _{n}_n1 < 1e-6D OR _{n}_n2 < 1e-6D THEN {one}D ELSE {e} END" if guard else e
+    return _add(df, out)
 
-def _m(x: Column, row: int, col: int) -> Column:
-    return x[3 * col + row]
 
+def _m(name: str, row: int, col: int) -> str:
+    return f"_{name}_m{3 * col + row}"
 
-def relative_rot6d(a: Column, s: Column) -> Vec:
-    """First two columns of A * S^T for two 9-arrays of columns."""
-    return [sum((_m(a, i, j) * _m(s, k, j) for j in (1, 2)), _m(a, i, 0) * _m(s, k, 0)) for k in (0, 1) for i in range(3)]
 
+def matrix_from_rot6d(df: DataFrame, sources: Mapping[str, tuple[str, int]], *, guard: bool = True) -> DataFrame:
+    """Add per name an array of 9, the matrix columns b1, b2, b3 (Gram-Schmidt).
 
-def composed_rot6d(r: Column, s: Column) -> Vec:
-    """First two columns of R * S."""
-    return [sum((_m(r, i, j) * _m(s, j, k) for j in (1, 2)), _m(r, i, 0) * _m(s, 0, k)) for k in (0, 1) for i in range(3)]
+    ``sources``: name -> (vector column, first entry). ``guard`` gives the identity where a column
+    is shorter than 1e-6; without it the entries of such a row are null.
+    """
+    d = _matrices(df, sources, guard)
+    return _result(d, df.columns, {n: f"array({', '.join(_v(n, 'm', 9))})" for n in sources})
 
 
-def _rotate(action: Column, state: Column, mask: Column | None, arms: Sequence[str], inverse: bool, guard: bool) -> Column:
-    blocks = {}
+def _rotate(df: DataFrame, action: str, state: str, mask: str | None, arms: Sequence[str], inverse: bool, guard: bool) -> DataFrame:
+    sources = {}
+    for arm in arms:
+        lo = SLOTS[f"{arm}_rot6d"][0]
+        sources[f"{arm}a"], sources[f"{arm}s"] = (f"`{action}`", lo), (f"`{state}`", lo)
+    d = _matrices(df, sources, guard)
+    cells = [f"cast(`{action}`[{i}] AS double)" for i in range(WIDTH)]
     for arm in arms:
-        xlo, xhi = SLOTS[f"{arm}_xyz"]
-        rlo, rhi = SLOTS[f"{arm}_rot6d"]
-        both = F.struct(
-            matrix_from_rot6d(F.slice(action, rlo + 1, 6), guard=guard).alias("a"),
-            matrix_from_rot6d(F.slice(state, rlo + 1, 6), guard=guard).alias("s"),
-        )
-        turn = composed_rot6d if inverse else relative_rot6d
-        rot = let(both, lambda m: F.array(*turn(m["a"], m["s"])))
-        move = F.zip_with(F.slice(action, xlo + 1, 3), F.slice(state, xlo + 1, 3), lambda x, y: x + y if inverse else x - y)
-        new = F.concat(move, rot)
-        if mask is not None:
-            new = F.when(F.forall(F.slice(mask, xlo + 1, xhi - xlo), lambda m: F.coalesce(m, F.lit(False))), new).otherwise(
-                F.slice(action, xlo + 1, rhi - xlo))
-        blocks[xlo] = (rhi, new)
-    parts, at = [], 0
-    for lo in sorted(blocks):
-        hi, new = blocks[lo]
-        if lo > at:
-            parts.append(F.slice(action, at + 1, lo - at))
-        parts.append(new)
-        at = hi
-    return F.concat(*parts, F.slice(action, at + 1, WIDTH - at))
-
-
-def rotation_delta(action: Column, state: Column, *, mask: Column | None = None, arms: Sequence[str] = ("left", "right"), guard: bool = True) -> Column:
+        a, s = f"{arm}a", f"{arm}s"
+        xlo, rlo = SLOTS[f"{arm}_xyz"][0], SLOTS[f"{arm}_rot6d"][0]
+        new = {xlo + i: f"`{action}`[{xlo + i}] {'+' if inverse else '-'} `{state}`[{xlo + i}]" for i in range(3)}
+        for k in (0, 1):
+            for i in range(3):  # entry (i, k) of R * S, or of A * S^T
+                terms = [f"{_m(a, i, j)} * {_m(s, j, k) if inverse else _m(s, k, j)}" for j in range(3)]
+                new[rlo + 3 * k + i] = _sum(terms)
+        active = " AND ".join(f"coalesce(`{mask}`[{xlo + i}], false)" for i in range(3)) if mask is not None else None
+        for i, e in new.items():
+            cells[i] = e if active is None else f"CASE WHEN {active} THEN {e} ELSE {cells[i]} END"
+    return _result(d, df.columns, {action: f"array({', '.join(cells)})"})
+
+
+def rotation_delta(df: DataFrame, action: str = "action", state: str = "state", *, mask: str | None = None, arms: Sequence[str] = ("left", "right"), guard: bool = True) -> DataFrame:
     """Absolute 32-slot action relative to the state: xyz difference, R_action * R_state^T as rot6d.
 
-    With ``mask`` only arms whose three xyz entries are true are changed.
+    With a ``mask`` column only arms whose three xyz entries are true are changed.
     """
-    return _rotate(action, state, mask, arms, False, guard)
+    return _rotate(df, action, state, mask, arms, False, guard)
 
 
-def rotation_absolute(action: Column, state: Column, *, mask: Column | None = None, arms: Sequence[str] = ("left", "right"), guard: bool = True) -> Column:
+def rotation_absolute(df: DataFrame, action: str = "action", state: str = "state", *, mask: str | None = None, arms: Sequence[str] = ("left", "right"), guard: bool = True) -> DataFrame:
     """Inverse of rotation_delta."""
-    return _rotate(action, state, mask, arms, True, guard)
+    return _rotate(df, action, state, mask, arms, True, guard)
+
+
+def geodesic_deg(df: DataFrame, a: tuple[str, int], b: tuple[str, int], *, name: str = "deg") -> DataFrame:
+    """Add the angle between two rotations, each (vector column, first entry of its six numbers)."""
+    d = _matrices(df, {"ga": a, "gb": b}, False)
+    trace = _dot(_v("ga", "m", 9), _v("gb", "m", 9))
+    return _result(d, df.columns, {name: f"degrees(acos(least(greatest(({trace} - 1) / 2, -1D), 1D)))"})
 
 
 def axis_angle_to_rot6d(rotvec: Vec) -> Vec:
@@ -141,27 +143,6 @@ def quat_to_axis_angle(w: Column, x: Column, y: Column, z: Column) -> tuple[Vec,
     return [F.when(ok, c * k).otherwise(F.lit(0.0)) for c in (x, y, z)], ok
 
 
-def matrix_to_quat(m: Column) -> Vec:
-    """Unscaled quaternion w, x, y, z of a 9-array of matrix columns.
-
-    The form of its largest component is used, so it is stable near 0 and pi.
-    """
-    g = lambda i, j: _m(m, i, j)
-    tr = g(0, 0) + g(1, 1) + g(2, 2)
-    big = F.greatest(tr, g(0, 0), g(1, 1), g(2, 2))
-    q_w = [1 + tr, g(2, 1) - g(1, 2), g(0, 2) - g(2, 0), g(1, 0) - g(0, 1)]
-    q_x = [g(2, 1) - g(1, 2), 1 + g(0, 0) - g(1, 1) - g(2, 2), g(1, 0) + g(0, 1), g(2, 0) + g(0, 2)]
-    q_y = [g(0, 2) - g(2, 0), g(1, 0) + g(0, 1), 1 - g(0, 0) + g(1, 1) - g(2, 2), g(2, 1) + g(1, 2)]
-    q_z = [g(1, 0) - g(0, 1), g(2, 0) + g(0, 2), g(2, 1) + g(1, 2), 1 - g(0, 0) - g(1, 1) + g(2, 2)]
-    return [F.when(big == tr, a).when(big == g(0, 0), b).when(big == g(1, 1), c).otherwise(d) for a, b, c, d in zip(q_w, q_x, q_y, q_z)]
-
-
-def geodesic_deg(a: Column, b: Column) -> Column:
-    """Angle between two rotations given as 9-arrays of matrix columns."""
-    tr = sum((a[i] * b[i] for i in range(1, 9)), a[0] * b[0])
-    return F.degrees(F.acos(F.least(F.greatest((tr - 1) / 2, F.lit(-1.0)), F.lit(1.0))))
-
-
 def pack_canonical(arm: dict[str, Column], hand: dict[str, Column]) -> Column:
     """32 slots from per-side arm (xyz mm + rotation vector deg) and hand (6 motor) vectors."""
     cells = [F.lit(0.0)] * WIDTH
@@ -186,9 +167,38 @@ def action_mask(sides: Sequence[str] = ("left", "right")) -> Column:
     return F.array(*[F.lit(v) for v in on])
 
 
-def decode_canonical(packed: Column, side: str) -> tuple[Column, Column]:
-    """Arm (xyz + rotation vector deg) and hand of one side of a packed row."""
-    lo, rlo, hlo = SLOTS[f"{side}_xyz"][0], SLOTS[f"{side}_rot6d"][0], SLOTS[f"{side}_hand"][0]
-    m = matrix_from_rot6d(F.slice(packed, rlo + 1, 6), guard=False)
-    turn = let(let(m, lambda x: F.array(*matrix_to_quat(x))), lambda q: F.array(*quat_to_axis_angle(*[q[i] for i in range(4)])[0]))
-    return F.concat(F.slice(packed, lo + 1, 3), turn), F.slice(packed, hlo + 1, 6)
+def decode_canonical(df: DataFrame, packed: str, sides: Sequence[str] = ("left", "right")) -> DataFrame:
+    """Add ``<side>_arm`` (xyz + rotation vector deg) and ``<side>_hand`` of packed rows.
+
+    The rotation vector goes through the quaternion, from its largest component, so it is stable
+    near 0 and 180 degrees.
+    """
+    d = _matrices(df, {s: (f"`{packed}`", SLOTS[f"{s}_rot6d"][0]) for s in sides}, False)
+    quat, vec, out = {}, {}, {}
+    for s in sides:
+        g = lambda i, j, s=s: _m(s, i, j)
+        anti = [f"({g(2, 1)} - {g(1, 2)})", f"({g(0, 2)} - {g(2, 0)})", f"({g(1, 0)} - {g(0, 1)})"]
+        both = lambda i, j, g=g: f"({g(i, j)} + {g(j, i)})"
+        diag = lambda x, y, z, g=g: f"(1 {x} {g(0, 0)} {y} {g(1, 1)} {z} {g(2, 2)})"
+        forms = [
+            [diag("+", "+", "+"), *anti],
+            [anti[0], diag("+", "-", "-"), both(1, 0), both(2, 0)],
+            [anti[1], both(1, 0), diag("-", "+", "-"), both(2, 1)],
+            [anti[2], both(2, 0), both(2, 1), diag("-", "-", "+")],
+        ]
+        trace = _sum([g(0, 0), g(1, 1), g(2, 2)])
+        top = f"greatest({trace}, {g(0, 0)}, {g(1, 1)}, {g(2, 2)})"
+        for i in range(4):
+            quat[f"_{s}_q{i}"] = (f"CASE {top} WHEN {trace} THEN {forms[0][i]} WHEN {g(0, 0)} THEN {forms[1][i]} "
+                                  f"WHEN {g(1, 1)} THEN {forms[2][i]} ELSE {forms[3][i]} END")
+        w, xyz = f"_{s}_q0", [f"_{s}_q{i}" for i in (1, 2, 3)]
+        vec[f"_{s}_len"] = f"sqrt({_dot(xyz, xyz)})"
+        turn = f"CASE WHEN _{s}_len > 0 THEN degrees(2 * atan2(_{s}_len, abs({w}))) / nullif(_{s}_len, 0D) * CASE WHEN {w} < 0 THEN -1D ELSE 1D END ELSE 0D END"
+        vec_k = f"_{s}_k"
+        lo, hlo = SLOTS[f"{s}_xyz"][0], SLOTS[f"{s}_hand"][0]
+        out[vec_k] = turn
+        out[f"{s}_arm"] = f"array({', '.join([f'`{packed}`[{lo + i}]' for i in range(3)] + [f'{x} * {vec_k}' for x in xyz])})"
+        out[f"{s}_hand"] = f"slice(`{packed}`, {hlo + 1}, 6)"
+    d = _add(_add(d, quat), vec)
+    d = _add(d, {k: e for k, e in out.items() if k.endswith("_k")})
+    return _result(d, df.columns, {k: e for k, e in out.items() if not k.endswith("_k")})

@@ -92,7 +92,7 @@ def delta_rows(frames: DataFrame, rule: Sequence[bool] | Sequence[str] | None, *
     if rule is None:
         return rows
     if isinstance(rule[0], str):
-        return rows.withColumn("action", rotation_delta(F.col("action"), F.col("state"), arms=rule, guard=False))
+        return rotation_delta(rows, arms=rule, guard=False)
     return rows.withColumn("action", delta_mask(F.array("action"), F.col("state"), rule)[0])
 
 
