@@ -168,20 +168,13 @@ def pearson(df: DataFrame, x: Column, y: Column, keys: Sequence[str] = ()) -> Da
     return df.groupBy(*keys).agg(correlation(x, y).alias("r"), F.count("*").alias("n"))
 
 
-def ordinal_ranks(df: DataFrame, columns: Sequence[str], id_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Add 0-based ordinal ranks ``rank_<c>`` (ties in id order), per key.
-
-    Without keys the rank is taken over the whole table by range partitioning.
-    """
+def ordinal_ranks(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
+    """Add 0-based ordinal ranks ``rank_<c>`` over the table (ties in id order), by range partitioning."""
     from trajq.plans.ordered import global_index
 
     out = df
     for c in columns:
-        if keys:
-            w = Window.partitionBy(*keys).orderBy(c, id_col)
-            out = out.withColumn(f"rank_{c}", F.row_number().over(w) - 1)
-        else:
-            out = global_index(out, [c, id_col], f"rank_{c}")
+        out = global_index(out, [c, id_col], f"rank_{c}")
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajq.operators.sampling import hash_order, seeded_sample
+from trajq.plans.lineage import measured
 from trajq.plans.quantiles import exact_quantiles
 
 # Fixed values.
@@ -38,7 +39,7 @@ def pad_norm_fit(tactile: DataFrame, *, samples: int = SAMPLES_PER_RECORDING, se
     """
     sampled = seeded_sample(tactile, HAND_KEYS, ["sample_idx"], samples, seed=seed)
     pool = finite_cells(sampled, ["hand", "pad"])
-    first = exact_quantiles(pool, ["hand", "pad"], F.col("x"), {"base": 0.05, "high": 0.999, "med": 0.5})
+    first = measured(exact_quantiles(pool, ["hand", "pad"], F.col("x"), {"base": 0.05, "high": 0.999, "med": 0.5}))
     dev = pool.join(first.select("hand", "pad", "med"), ["hand", "pad"])
     mad = exact_quantiles(dev, ["hand", "pad"], F.abs(F.col("x") - F.col("med")), {"mad": 0.5}).drop("n")
     fit = first.join(mad, ["hand", "pad"]).withColumn("raw", F.greatest(F.col("high") - F.col("base"), F.lit(MIN_SCALE)))
@@ -88,7 +89,7 @@ def task_scale_fit(tactile: DataFrame, tasks: DataFrame, *, frames: int = 4, val
     ids = ["recording_id", "hand", "pad", "sample_idx", "cell"]
     w = Window.partitionBy("recording_id", "hand", "pad").orderBy(hash_order(ids, seed), "sample_idx", "cell")
     cells = cells.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= values)
-    base = exact_quantiles(cells, ["hand", "pad"], F.col("x"), {"base": 0.05}).drop("n")
+    base = measured(exact_quantiles(cells, ["hand", "pad"], F.col("x"), {"base": 0.05}).drop("n"))
     dev = cells.join(base, ["hand", "pad"]).join(tasks.select("recording_id", "task"), "recording_id", "left")
     dev = dev.select("recording_id", "task", (F.col("x") - F.col("base")).alias("d"))
     named = dev.where("task IS NOT NULL")
@@ -110,12 +111,13 @@ def task_scale_coverage(tasks: DataFrame, scales: DataFrame) -> DataFrame:
 def broadcast_lookup(tactile: DataFrame, tasks: DataFrame, scales: DataFrame, baselines: DataFrame) -> DataFrame:
     """Add ``base`` by (hand, pad) and ``scale`` by task, the default where the task is unknown.
 
-    Small tables are joined without a hint: Spark broadcasts the sides it measures as small.
+    The small tables are counted before they are broadcast.
     """
+    scales = measured(scales)
     default = scales.where("task IS NULL").select(F.col("scale").alias("_default"), F.lit(0).alias("_k"))
     t = tasks.join(scales.where("task IS NOT NULL").select("task", "scale"), "task", "left").withColumn("_k", F.lit(0))
     t = t.join(F.broadcast(default), "_k").select("recording_id", F.coalesce("scale", "_default").alias("scale"))  # one row
-    return tactile.join(t, "recording_id", "left").join(baselines.select("hand", "pad", "base"), ["hand", "pad"], "left")
+    return tactile.join(measured(t), "recording_id", "left").join(measured(baselines.select("hand", "pad", "base")), ["hand", "pad"], "left")
 
 
 def tactile_activity(tactile: DataFrame, norm: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def tactile_activity(tactile: DataFrame, norm: DataFrame) -> DataFrame:
     cells = tactile.select(*HAND_KEYS, "pad", F.posexplode("force").alias("cell", "x"))
     var = cells.groupBy(*HAND_KEYS, "pad", "cell").agg(F.var_pop("x").alias("v"))
     var = var.groupBy(*HAND_KEYS, "pad").agg(F.avg("v").alias("v")).groupBy(*HAND_KEYS).agg(F.avg("v").alias("variance"))
-    j = tactile.join(norm.select("hand", "pad", "base", "scale", "threshold"), ["hand", "pad"])
+    j = tactile.join(measured(norm.select("hand", "pad", "base", "scale", "threshold")), ["hand", "pad"])
     # A pad is in contact when its largest cell is.
     hit = (F.array_max("force") - F.col("base")) / F.col("scale") > F.col("threshold")
     frames = j.groupBy(*HAND_KEYS, "sample_idx").agg(F.max(hit.cast("int")).alias("hit"))

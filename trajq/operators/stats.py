@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trajq.functions.rotations import rotation_delta
 from trajq.functions.vectors import delta_mask
 from trajq.operators.windows import HORIZON, action_horizon, episode_offsets
+from trajq.plans.lineage import measured
 from trajq.plans.quantiles import exact_quantiles
 
 # Fixed values.
@@ -38,16 +39,19 @@ def vector_moments(flat: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).where(F.col("count") >= 2)
 
 
-def histogram_quantiles(flat: DataFrame, keys: Sequence[str] = (), *, quantiles: Mapping[str, float] | None = None, bins: int = BINS) -> DataFrame:
+def histogram_quantiles(flat: DataFrame, keys: Sequence[str] = (), *, quantiles: Mapping[str, float] | None = None, bins: int = BINS, moments: DataFrame | None = None) -> DataFrame:
     """Left edge of the first of ``bins`` equal bins whose cumulative count reaches q * n.
 
     Two passes: ranges, then counts per (dimension, bin). The bins span the final minimum and
-    maximum, so the result does not depend on the order of the data.
+    maximum, so the result does not depend on the order of the data. ``moments`` saves the first
+    pass when they are known.
     """
     quantiles = quantiles or {"q01": 0.01, "q99": 0.99}
     keys = [*keys, "dim"]
     data = flat.select(*keys, F.col("x").cast("double").alias("x"))
-    ranges = data.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count("x").alias("_n"))
+    if moments is None:
+        moments = measured(data.groupBy(*keys).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("count")))
+    ranges = moments.select(*keys, F.col("min").alias("_lo"), F.col("max").alias("_hi"), F.col("count").alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     slot = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     counts = data.join(ranges, keys).groupBy(*keys, slot.alias("_bin")).agg(
@@ -68,8 +72,9 @@ def identity_constant_dims(stats: DataFrame, *, tol: float = CONSTANT_TOL) -> Da
 
 def norm_stats(flat: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Moments, histogram quantiles and the identity rule in one table."""
-    both = vector_moments(flat, keys).join(histogram_quantiles(flat, keys), [*keys, "dim"])
-    return identity_constant_dims(both)
+    moments = measured(vector_moments(flat, keys))
+    quantiles = histogram_quantiles(flat, keys, moments=moments)
+    return identity_constant_dims(quantiles.join(moments, [*keys, "dim"]))
 
 
 def row_cap(episodes: DataFrame, max_frames: int, *, index: str = "episode_index", size: int = 100_000) -> DataFrame:

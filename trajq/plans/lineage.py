@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -25,3 +26,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path in the shared checkpoint folder, or a temporary one where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajq-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+SMALL_ROWS = 100_000
+
+
+def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A first-pass result, computed once, and marked for broadcast only if it counts few rows.
+
+    Two-pass operators join a summary back to all rows. Spark cannot tell the size of such a
+    summary beforehand and would shuffle the whole data on its few keys; here it is written to
+    the checkpoint folder and counted. Larger summaries are joined by a shuffle.
+    """
+    done = checkpoint(df)
+    return broadcast(done) if done.count() <= max_rows else done

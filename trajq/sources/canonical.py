@@ -35,7 +35,8 @@ def write_canonical(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, ro
     writer.mode("errorifexists").parquet(f"{root}/data")
     episodes.write.mode("errorifexists").json(f"{root}/meta/episodes")
     tasks.write.mode("errorifexists").json(f"{root}/meta/tasks")
-    flat = out.withColumnRenamed("observation.state", "state")
+    # From the written files: the frames are not computed twice.
+    flat = frames.sparkSession.read.parquet(f"{root}/data").withColumnRenamed("observation.state", "state")
     column_stats(flat, ["state", "action", "action_mask", "timestamp", "frame_index"]).write.mode("errorifexists").json(f"{root}/meta/episodes_stats")
     if dropped is not None:
         dropped.write.mode("errorifexists").json(f"{root}/meta/conversion_report")
