@@ -153,8 +153,7 @@ def _(spark, sf):
     sum(length) OVER ()::BIGINT AS total_frames FROM e""")
 def _(spark, sf):
     d = canonical_dataset(spark, sf)
-    info = d["info"].select("total_frames", F.lit(0).alias("_k"))
-    return d["episodes"].drop("tasks").withColumn("_k", F.lit(0)).join(F.broadcast(info), "_k").drop("_k")  # one row
+    return d["episodes"].drop("tasks").withColumn("total_frames", d["info"].select("total_frames").scalar())
 
 
 @query("read_stats", f"WITH {FIT_SQL} SELECT hand, pad::BIGINT AS pad, round(base, 6) AS base, round(scale, 6) AS scale, round(threshold, 6) AS threshold FROM fit")

@@ -31,13 +31,12 @@ x AS (SELECT vec_id, episode_index, frame_index, generate_subscripts(state, 1) -
 
 
 def with_stats(spark, sf):
-    """Frames with one broadcast row of per-dimension statistics (32 entries)."""
+    """Frames with the per-dimension statistics (32 entries)."""
     f = frames(spark, sf)
     m = f.select(F.posexplode("state").alias("dim", "x")).groupBy("dim").agg(
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("q01"), F.max("x").alias("q99"))
-    m = m.groupBy(F.lit(0).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "q01", "q99"))).alias("m"))
-    m = m.select("_k", *[F.col("m")[c].alias(c) for c in ("mean", "std", "q01", "q99")])
-    return f.withColumn("_k", F.lit(0)).join(F.broadcast(m), "_k")
+    m = m.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "q01", "q99")))).scalar()
+    return f.withColumns({c: m[c] for c in ("mean", "std", "q01", "q99")})
 
 
 @query("zscore", f"WITH {FRAMES_SQL}, {MEANS_SQL} SELECT vec_id, dim, round((s - mean) / (std + 1e-6), 6) AS x FROM x JOIN m USING (dim)")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajq.plans.lineage import single
 from trajq.plans.quantiles import exact_quantiles
 
 MB = 1024 * 1024
@@ -114,9 +115,8 @@ def exclude_anomalous(episodes: DataFrame, anomalies: DataFrame, *, dataset: str
     shift = F.when(F.col("_zero") == 1, F.col(index)).otherwise(F.col(index) - 1)
     gone = anomalies.join(base, dataset).select(dataset, shift.alias(index)).distinct().withColumn("_gone", F.lit(True))
     marked = episodes.join(gone, [dataset, index], "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
-    left = marked.agg((F.count(F.when(~F.col("_gone"), 1)) == 0).alias("_none")).withColumn("_k", F.lit(0))
-    out = marked.withColumn("_k", F.lit(0)).join(F.broadcast(left), "_k")  # one row
-    return out.where(~F.col("_gone") | F.col("_none")).select(*episodes.columns)
+    nothing_left = marked.agg(F.count(F.when(~F.col("_gone"), 1)) == 0).scalar()
+    return marked.where(~F.col("_gone") | nothing_left).select(*episodes.columns)
 
 
 def split_disjoint(splits: DataFrame, *, key: str = "uuid", split: str = "split") -> DataFrame:
@@ -334,10 +334,11 @@ def segment_summary(rows: DataFrame, runs: DataFrame, *, key: str = "recording_i
     frames = marked.agg(
         F.count("*").alias("n_runs"), (F.sum(F.when(F.col("kind") == "later", F.col("run_len")).otherwise(0)) / F.sum("run_len")).alias("later_share"))
     multi = first.agg(F.count(F.when(F.col("_n") > 1, 1)).alias("multi_run"))
-    out = a.withColumn("_k", F.lit(0))
+    cols = {}
     for t in (frames, multi, wide):
-        out = out.join(F.broadcast(t.withColumn("_k", F.lit(0))), "_k")  # one row each
-    return out.drop("_k")
+        row = single(t)
+        cols |= {c: row[c] for c in t.columns}
+    return a.withColumns(cols)
 
 
 def incremental_batch(inputs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

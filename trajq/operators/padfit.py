@@ -114,9 +114,9 @@ def broadcast_lookup(tactile: DataFrame, tasks: DataFrame, scales: DataFrame, ba
     The small tables are counted before they are broadcast.
     """
     scales = measured(scales)
-    default = scales.where("task IS NULL").select(F.col("scale").alias("_default"), F.lit(0).alias("_k"))
-    t = tasks.join(scales.where("task IS NOT NULL").select("task", "scale"), "task", "left").withColumn("_k", F.lit(0))
-    t = t.join(F.broadcast(default), "_k").select("recording_id", F.coalesce("scale", "_default").alias("scale"))  # one row
+    default = scales.where("task IS NULL").select("scale").scalar()
+    t = tasks.join(scales.where("task IS NOT NULL").select("task", "scale"), "task", "left")
+    t = t.select("recording_id", F.coalesce(F.col("scale"), default).alias("scale"))
     return tactile.join(measured(t), "recording_id", "left").join(measured(baselines.select("hand", "pad", "base")), ["hand", "pad"], "left")
 
 

@@ -12,6 +12,7 @@ from trajq.functions.text import fixed
 from trajq.operators.rows import SECOND_NS, interval_join
 from trajq.operators.tactile import HAND_KEYS, ZERO_FLOOR, visible_force
 from trajq.operators.windows import interval_diff, segments
+from trajq.plans.lineage import single
 from trajq.plans.ordered import HOUR_NS
 from trajq.plans.quantiles import exact_quantiles
 
@@ -97,11 +98,11 @@ def integrity_check(
 def duration_stats(durations: DataFrame, *, duration: str = "duration", cap: float = 30.0) -> DataFrame:
     """Number, min, median, mean, p90, max, total and the share over the cap; one row."""
     d = F.col(duration)
-    q = exact_quantiles(durations, [], d, {"median": 0.5, "p90": 0.9}).withColumn("_k", F.lit(0)).drop("n")
-    a = durations.where(d.isNotNull()).groupBy(F.lit(0).alias("_k")).agg(
+    q = single(exact_quantiles(durations, [], d, {"median": 0.5, "p90": 0.9}))
+    a = durations.where(d.isNotNull()).agg(
         F.count("*").alias("n"), F.min(d).alias("min"), F.avg(d).alias("mean"), F.max(d).alias("max"), F.sum(d).alias("total"),
         F.count(F.when(d > cap, 1)).alias("n_over"), F.avg((d > cap).cast("double")).alias("share_over"))
-    return a.join(q, "_k").drop("_k")
+    return a.withColumns({"median": q["median"], "p90": q["p90"]})
 
 
 def duration_histogram(durations: DataFrame, *, duration: str = "duration", width: float = 5.0, cap: float = 30.0) -> DataFrame:

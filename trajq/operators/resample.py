@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajq.operators.evaluate import correlation
+from trajq.plans.lineage import single
 from trajq.plans.ordered import global_index
 
 EXACT_LIMIT = 9
@@ -46,14 +47,14 @@ def permutation_test(df: DataFrame, id_col: str, x: str, y: str, *, resamples: i
     ``plus_one`` gives (c + 1) / (m + 1), else c / m.
     """
     u = units(df, id_col, x, y)
-    observed = u.agg(correlation(F.col(x), F.col(y)).alias("observed"), F.count("*").alias("n")).withColumn("_k", F.lit(0))
+    observed = single(u.agg(correlation(F.col(x), F.col(y)).alias("observed"), F.count("*").alias("n")))
     drawn = _resamples(u.select("_i", x), resamples)
     w = Window.partitionBy("_r").orderBy(draw(seed, F.col("_r"), F.col("_i")), "_i")
     paired = drawn.withColumn("_at", F.row_number().over(w) - 1).join(u.select(F.col("_i").alias("_at"), y), "_at")
-    stat = paired.groupBy("_r").agg(correlation(F.col(x), F.col(y)).alias("s")).withColumn("_k", F.lit(0))
+    stat = paired.groupBy("_r").agg(correlation(F.col(x), F.col(y)).alias("s"))
+    out = stat.withColumns({"observed": observed["observed"], "n": observed["n"]})
     hit = F.count(F.when(F.abs("s") >= F.abs("observed") - TIE, 1))
     p = (hit + 1) / (F.count("*") + 1) if plus_one else hit / F.count("*")
-    out = stat.join(F.broadcast(observed), "_k")  # one row
     return out.agg(F.first("observed").alias("observed"), p.alias("p"), F.first("n").alias("n"), F.count("*").alias("resamples"))
 
 
@@ -102,10 +103,10 @@ def exact_permutation_test(df: DataFrame, id_col: str, x: str, y: str) -> DataFr
 def sign_flip_test(df: DataFrame, id_col: str, diff: str, *, resamples: int = SIGN_FLIPS, seed: int = 0) -> DataFrame:
     """Two-sided p of the mean paired difference under random signs; one row."""
     u = units(df, id_col, diff)
-    observed = u.agg(F.avg(diff).alias("observed"), F.count("*").alias("n")).withColumn("_k", F.lit(0))
+    observed = single(u.agg(F.avg(diff).alias("observed"), F.count("*").alias("n")))
     sign = F.when(draw(seed, F.col("_r"), F.col("_i")).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
-    stat = _resamples(u, resamples).groupBy("_r").agg(F.avg(F.col(diff) * sign).alias("s")).withColumn("_k", F.lit(0))
-    out = stat.join(F.broadcast(observed), "_k")  # one row
+    stat = _resamples(u, resamples).groupBy("_r").agg(F.avg(F.col(diff) * sign).alias("s"))
+    out = stat.withColumns({"observed": observed["observed"], "n": observed["n"]})
     hit = F.count(F.when(F.abs("s") >= F.abs("observed") - TIE, 1))
     return out.agg(F.first("observed").alias("observed"), ((hit + 1) / (F.count("*") + 1)).alias("p"), F.first("n").alias("n"))
 
@@ -113,9 +114,8 @@ def sign_flip_test(df: DataFrame, id_col: str, diff: str, *, resamples: int = SI
 def bootstrap_ci(df: DataFrame, id_col: str, x: str, y: str, *, resamples: int = BOOTSTRAPS, seed: int = 0) -> DataFrame:
     """Percentile interval 2.5/97.5 of the correlation over resamples with replacement; one row."""
     u = units(df, id_col, x, y)
-    n = u.agg(F.count("*").alias("_n")).withColumn("_k", F.lit(0))
-    drawn = _resamples(u.select("_i").withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k"), resamples)  # one row
-    drawn = drawn.select("_r", F.pmod(draw(seed, F.col("_r"), F.col("_i")), F.col("_n")).alias("_i"))
+    n = u.agg(F.count("*")).scalar()
+    drawn = _resamples(u.select("_i"), resamples).select("_r", F.pmod(draw(seed, F.col("_r"), F.col("_i")), n).alias("_i"))
     stat = drawn.join(u, "_i").groupBy("_r").agg(correlation(F.col(x), F.col(y)).alias("s"))
     return stat.agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"), F.count("*").alias("resamples"))
 
@@ -128,7 +128,6 @@ def derangement_pair(df: DataFrame, id_cols: list[str], *, seed: int = 0) -> Dat
     from trajq.operators.sampling import hash_order
 
     d = global_index(df.withColumn("_h", hash_order(id_cols, seed)), ["_h", *id_cols], "_i").drop("_h")
-    n = d.agg(F.count("*").alias("_n")).withColumn("_k", F.lit(0))
-    d = d.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k").drop("_k")  # one row
+    d = d.withColumn("_n", d.agg(F.count("*")).scalar())
     alone = F.raise_error(F.lit("need at least 2 rows for a derangement")).cast("bigint")
     return d.withColumn("partner_i", F.when(F.col("_n") < 2, alone).otherwise(F.pmod(F.col("_i") + 1, F.col("_n")))).drop("_n")

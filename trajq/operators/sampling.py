@@ -65,9 +65,8 @@ def first_n_accepted(episodes: DataFrame, accepted: Column, n: int, *, name: str
     """First n accepted episodes by name, with the rejected ones; fewer than n accepted is an error."""
     e = episodes.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
     first = e.where("accepted").orderBy(name).limit(n).select(name, F.lit(True).alias("chosen"))
-    short = first.agg((F.count("*") < n).alias("_short")).withColumn("_k", F.lit(0))
-    out = e.join(first, name, "left").withColumns({"chosen": F.coalesce("chosen", F.lit(False)), "_k": F.lit(0)})
-    out = out.join(F.broadcast(short), "_k").drop("_k")  # one row
+    short = first.agg(F.count("*") < n).scalar()
+    out = e.join(first, name, "left").withColumns({"chosen": F.coalesce("chosen", F.lit(False)), "_short": short})
     checked = F.when(F.col("_short"), F.raise_error(F.lit(f"fewer than {n} accepted episodes"))).otherwise(F.col("chosen"))
     return out.withColumn("chosen", checked).drop("_short")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.functions import broadcast, struct
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -40,3 +40,8 @@ def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """
     done = checkpoint(df)
     return broadcast(done) if done.count() <= max_rows else done
+
+
+def single(df: DataFrame) -> Column:
+    """The only row of a table as a struct (a scalar subquery), instead of a join with one row."""
+    return df.select(struct(*df.columns)).scalar()

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajq.plans.lineage import measured
+from trajq.plans.lineage import checkpoint, measured, single
 
 ACCURACY = 10_000
 
@@ -37,7 +37,11 @@ def exact_quantiles(
     brackets = data.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", asked, accuracy).alias("_b")
     )
-    joined = data.join(measured(brackets), keys)
+    if drop:
+        row = single(checkpoint(brackets))
+        joined = data.withColumns({"_n": row["_n"], "_b": row["_b"]})
+    else:
+        joined = data.join(measured(brackets), keys)
     # side -1 / 0 / 1: below, inside, above the bracket; values outside collapse into one group.
     options = []
     for i, n in enumerate(names):

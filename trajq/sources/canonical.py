@@ -68,10 +68,9 @@ def read_canonical(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         else:
             raise FileNotFoundError(f"{root}/meta/{name}")
     info = spark.read.json(f"{root}/meta/info" if _exists(spark, f"{root}/meta/info") else f"{root}/meta/info.json")
-    n = frames.agg(F.count("*").alias("_n")).withColumn("_k", F.lit(0))
+    info = info.withColumn("_n", frames.agg(F.count("*")).scalar())
     message = F.concat(F.lit("rows "), F.col("_n").cast("string"), F.lit(" differ from total_frames "), F.col("total_frames").cast("string"))
-    info = info.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k")  # one row
-    info = info.withColumn("total_frames", F.when(F.col("_n") != F.col("total_frames"), F.raise_error(message)).otherwise(F.col("total_frames"))).drop("_n", "_k")
+    info = info.withColumn("total_frames", F.when(F.col("_n") != F.col("total_frames"), F.raise_error(message)).otherwise(F.col("total_frames"))).drop("_n")
     return {"frames": frames, "episodes": episode_offsets(meta["episodes"]), "tasks": meta["tasks"], "info": info}
 
 
