@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajq.plans.lineage import checkpoint, measured, single
+from trajq.plans.ordered import running_sum
 
 ACCURACY = 10_000
+SLOTS = 1000
 
 
 def exact_quantiles(
@@ -42,23 +44,25 @@ def exact_quantiles(
         joined = data.withColumns({"_n": row["_n"], "_b": row["_b"]})
     else:
         joined = data.join(measured(brackets), keys)
-    # side -1 / 0 / 1: below, inside, above the bracket; values outside collapse into one group.
+    # Values below (slot -1) and above the bracket collapse into one group each; those inside are
+    # ranked slot by slot, so no task sees a whole group.
     options = []
     for i, n in enumerate(names):
         lo, hi = F.element_at("_b", 2 * i + 1), F.element_at("_b", 2 * i + 2)
         side = F.when(F.col("_v") < lo, -1).when(F.col("_v") > hi, 1).otherwise(0)
-        options.append(F.struct(F.lit(i).alias("q"), side.alias("side"), F.when(side == 0, F.col("_v")).alias("v")))
+        slot = F.when(hi > lo, F.least(F.floor((F.col("_v") - lo) / (hi - lo) * SLOTS), F.lit(SLOTS - 1))).otherwise(F.lit(0))
+        slot = F.when(side < 0, -1).when(side > 0, SLOTS).otherwise(slot).cast("bigint")
+        options.append(F.struct(F.lit(i).alias("q"), slot.alias("slot"), F.when(side == 0, F.col("_v")).alias("v")))
     ranked = (
         joined.select(*keys, "_n", "_v", F.explode(F.array(*options)).alias("_o"))
-        .groupBy(*keys, F.col("_o.q").alias("_q"), F.col("_o.side").alias("_side"), F.col("_o.v").alias("_at"))
+        .groupBy(*keys, F.col("_o.q").alias("_q"), F.col("_o.slot").alias("_slot"), F.col("_o.v").alias("_at"))
         .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
     )
-    w = Window.partitionBy(*keys, "_q").orderBy("_side", "_at")
-    ranked = ranked.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running_sum(ranked, [*keys, "_q"], ["_slot", "_at"], {"_cum": F.col("_c")}, size=1)
     q = F.element_at(F.array(*[F.lit(float(quantiles[n])) for n in names]), F.col("_q") + 1)
     rank = q * (F.col("_n") - 1)
     # A wanted rank lies in the bracket, or is the last value below or the first value above it.
-    at = lambda r: F.min(F.when(F.col("_cum") > r, F.when(F.col("_side") < 0, F.col("_top")).otherwise(F.col("_low"))))
+    at = lambda r: F.min(F.when(F.col("_cum") > r, F.when(F.col("_slot") < 0, F.col("_top")).otherwise(F.col("_low"))))
     picked = (
         ranked.withColumn("_r", rank)
         .groupBy(*keys, "_q")

@@ -47,12 +47,13 @@ def _processor() -> StatefulProcessor:
     return Baseline()
 
 
-def stream_baseline_delta(frames: DataFrame, *, ttl: str | None = None) -> DataFrame:
+def stream_baseline_delta(frames: DataFrame) -> DataFrame:
     """Value minus the rollout's baseline: the first frame, until a ``reset`` row clears it.
 
     ``frames``: rollout string, t_ns, value, reset. State is one vector per open rollout. Rows
     older than the baseline are kept and flagged ``late``. Within one micro-batch rows are taken
-    in time order, a reset before a frame of the same time.
+    in time order, a reset before a frame of the same time. A task holds the rows of one rollout
+    of one micro-batch, which the source bounds (``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
     return frames.select("rollout", "t_ns", "value", F.coalesce("reset", F.lit(False)).alias("reset")).groupBy("rollout").transformWithStateInPandas(
         statefulProcessor=_processor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
