@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajq.bindings.alignment import GATE_SQL, gate_result
 from trajq.bindings.data import FIVE_DAYS_NS, STREAMS_SQL, TACTILE_SQL, streams, table, tactile
 from trajq.bindings.statistics import rounded
 from trajq.bindings.vectors import PARTS_SQL
@@ -13,6 +14,7 @@ from trajq.operators import tactile as tac
 
 QUERIES, SQL = {}, {}
 HAND = ["recording_id", "hand"]
+GATE_ROWS = f"gate_rows AS ({GATE_SQL})"
 
 
 def query(name, sql=None):
@@ -303,3 +305,12 @@ def _(spark, sf):
 def _(spark, sf):
     d = table(spark, sf, "documents").select(F.md5(F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("name"))
     return quality.prefix_clash(d, length=3)
+
+
+# The readable reasons of gate, integrity and verdicts in one list.
+@query("reason_text", f"""WITH {GATE_ROWS}, gate_text AS (SELECT 'gate' AS source, recording_id, reason AS text FROM gate_rows WHERE reason <> 'ok') SELECT * FROM gate_text""".replace(
+    "SELECT * FROM gate_text", f"""SELECT * FROM gate_text UNION ALL SELECT 'hand', recording_id, text FROM (WITH {VERDICT_SQL} SELECT recording_id, hand || ': ' || reason AS text FROM hv WHERE reason <> '')"""))
+def _(spark, sf):
+    g = gate_result(spark, sf).where("reason <> 'ok'").select(F.lit("gate").alias("source"), "recording_id", F.col("reason").alias("text"))
+    h = verdicts(spark, sf)[2].where("reason <> ''").select(F.lit("hand").alias("source"), "recording_id", F.concat_ws(": ", "hand", "reason").alias("text"))
+    return g.unionByName(h)

@@ -163,6 +163,13 @@ def _(spark, sf):
     return rounded(canonical.read_stats(spark, path, tag="pad30").select("hand", "pad", "base", "scale", "threshold"), ["base", "scale", "threshold"])
 
 
+@query("write_stats", f"WITH {FIT_SQL} SELECT hand, pad::BIGINT AS pad, 'pad30' AS tag, 'train' AS fit_split FROM fit")
+def _(spark, sf):
+    path = scratch_dir(spark, "stats")
+    canonical.write_stats(padfit.pad_norm_fit(tactile(spark, sf)), path, tag="pad30")
+    return spark.read.json(path).select("hand", "pad", "tag", "fit_split")
+
+
 @contextmanager
 def rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"

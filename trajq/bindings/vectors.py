@@ -333,3 +333,20 @@ def _(spark, sf):
 def _(spark, sf):
     mean, valid = vectors.masked_view_mean([F.col("state"), F.col("action")], [F.col("vec_id") % 3 != 0, F.col("vec_id") % 4 != 0])
     return dims(frames(spark, sf).withColumns({"m": mean, "valid": valid}), ["vec_id", "valid"], "m")
+
+
+@query("mirror_box", f"WITH {TACTILE_SQL}, {BOXES_SQL} SELECT recording_id, hand, pad::BIGINT AS pad, sample_idx, round(cx, 6) AS cx, cy FROM tactile JOIN boxes USING (pad, hand)")
+def _(spark, sf):
+    box = layout.mirror_box(layout.box_of_slot(F.col("pad")), F.col("hand") == "left")
+    return tactile(spark, sf).select("recording_id", "hand", F.col("pad").cast("bigint").alias("pad"), "sample_idx",
+                                     F.round(box[0], 6).alias("cx"), box[1].alias("cy"))
+
+
+_ORDER = "[0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 15, 16, 18]"
+
+
+@query("slots", f"WITH {TACTILE_SQL}, {PARTS_SQL} SELECT pad::BIGINT AS pad, part, list_position({_ORDER}, pad)::BIGINT - 1 AS place, count(*) AS n FROM tactile JOIN parts USING (pad) GROUP BY 1, 2, 3")
+def _(spark, sf):
+    t = tactile(spark, sf)
+    return t.groupBy("pad").agg(F.count("*").alias("n")).select(
+        F.col("pad").cast("bigint").alias("pad"), layout.part_of_slot(F.col("pad")).alias("part"), layout.row_order(F.col("pad")).cast("bigint").alias("place"), "n")
