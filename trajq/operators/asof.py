@@ -33,25 +33,26 @@ def asof_wide(
 
     ``prev`` is the last sample ``< t`` (``<= t`` with ``at_or_before``) and ``next`` the first
     sample ``>= t``. Among samples of equal time ``prev`` is the last and ``next`` the first in
-    payload order. Both are null where there is none.
+    payload order. Both are null where there is none. With an empty payload they are plain times
+    (long window buffers instead of structs, for callers that need only the gaps).
     """
     keys = list(keys)
     tick_cols = [c for c in ticks.columns if c not in (*keys, t)]
-    sample = F.struct(F.col(t), *[F.col(c) for c in payload])
+    sample = F.struct(F.col(t), *[F.col(c) for c in payload]) if payload else F.col(t)
     u = ticks.select(*keys, t, F.struct(*tick_cols).alias("_tick") if tick_cols else F.struct(F.col(t)).alias("_tick"))
     u = u.unionByName(
         samples.select(*keys, t, F.col(stream).alias("_stream"), sample.alias("_s")), allowMissingColumns=True
     )
     is_tick = F.col("_tick").isNotNull()
-    u = u.withColumn(BUCKET, bucket_start(F.col(t), size)).withColumn(
+    number = F.coalesce(*[F.when(F.col("_stream") == s, i) for i, s in enumerate(streams)])
+    u = u.withColumn("_stream", number).withColumn(BUCKET, bucket_start(F.col(t), size)).withColumn(
         "_kind", F.when(is_tick, F.lit(1 if at_or_before else 0)).otherwise(F.lit(0 if at_or_before else 1))
     )
     part = Window.partitionBy(*keys, BUCKET)
-    past = part.orderBy(t, "_kind", "_s").rowsBetween(Window.unboundedPreceding, 0)
-    coming = part.orderBy(F.col(t).desc(), F.col("_kind").desc(), F.col("_s").desc()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    of = {s: F.when(F.col("_stream") == s, F.col("_s")) for s in streams}
+    order = [t, "_kind", "_s"] if payload else [t, "_kind"]
+    past = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    coming = part.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    of = {s: F.when(F.col("_stream") == i, F.col("_s")) for i, s in enumerate(streams)}
     local = {f"_p_{s}": F.last(v, ignorenulls=True).over(past) for s, v in of.items()}
     if forward:
         local |= {f"_n_{s}": F.last(v, ignorenulls=True).over(coming) for s, v in of.items()}
@@ -73,12 +74,13 @@ def asof_wide(
     return out.select(*keys, t, *[F.col("_tick")[c].alias(c) for c in tick_cols], *cols)
 
 
-def nearest(streams: Sequence[str], *, t: str = "t_ns", tie: str = "earlier") -> dict[str, Column]:
+def nearest(streams: Sequence[str], *, t: str = "t_ns", tie: str = "earlier", plain: bool = False) -> dict[str, Column]:
     """Per stream the nearer of prev/next as ``near_<stream>``: (sample struct, gap)."""
     out = {}
     for s in streams:
         p, n = F.col(f"prev_{s}"), F.col(f"next_{s}")
-        dp, dn = F.col(t) - p[t], n[t] - F.col(t)
+        dp = F.col(t) - (p if plain else p[t])
+        dn = (n if plain else n[t]) - F.col(t)
         closer = dp <= dn if tie == "earlier" else dp < dn
         use_prev = n.isNull() | (p.isNotNull() & closer)
         out[f"near_{s}"] = F.when(use_prev, p).otherwise(n)
@@ -101,7 +103,7 @@ def asof_nearest(
     """Nearest sample of each stream per tick: ``near_<s>`` struct and ``gap_<s>``."""
     wide = asof_wide(ticks, samples, keys, streams, t=t, payload=payload, size=size, stream=stream)
     drop = [f"{p}_{s}" for s in streams for p in ("prev", "next")]
-    return wide.withColumns(nearest(streams, t=t, tie=tie)).drop(*drop)
+    return wide.withColumns(nearest(streams, t=t, tie=tie, plain=not payload)).drop(*drop)
 
 
 def melt_nearest(wide: DataFrame, ids: Sequence[str], streams: Sequence[str]) -> DataFrame:

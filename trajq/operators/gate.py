@@ -145,7 +145,7 @@ def sync_gate(
     per = per.withColumn("cover", cover)
     usable = (F.size("missing_streams") == 0) & (F.col("end_ns") - F.col("start_ns") >= min_window_ns)
     grid = uniform_grid(per.where(usable).select(key, "start_ns", "end_ns"), [key], step_ns=step_ns, size=size)
-    near = asof_nearest(grid, samples, [key], streams, size=size)
+    near = asof_nearest(grid, samples, [key], streams, size=size, payload=())
     gaps = [F.col(f"gap_{s}") for s in streams]
     near = near.withColumn("allgap", F.greatest(*gaps) if len(gaps) > 1 else gaps[0])
     stats = near.groupBy(key).agg(
