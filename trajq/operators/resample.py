@@ -28,9 +28,16 @@ def units(df: DataFrame, id_col: str, *values: str) -> DataFrame:
     return global_index(df.select(id_col, *values), [id_col], "_i")
 
 
-def draw(seed: int, *cols: Column) -> Column:
-    """Hash of a draw as 64 bits, the same for every engine run."""
-    return F.xxhash64(F.lit(seed), *cols)
+def draw(seed: int, *cols: Column, portable: bool = False) -> Column:
+    """Hash of a draw, the same in every run.
+
+    ``portable`` takes 60 bits of an MD5 text hash, which other engines can repeat; the default
+    is much cheaper.
+    """
+    if not portable:
+        return F.xxhash64(F.lit(seed), *cols)
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def _resamples(df: DataFrame, n: int) -> DataFrame:
@@ -41,7 +48,7 @@ def _resamples(df: DataFrame, n: int) -> DataFrame:
     return d.withColumn("_r", F.explode(F.sequence(F.col("_b") * block, hi))).drop("_b")
 
 
-def permutation_test(df: DataFrame, id_col: str, x: str, y: str, *, resamples: int = PERMUTATIONS, seed: int = 0, plus_one: bool = True) -> DataFrame:
+def permutation_test(df: DataFrame, id_col: str, x: str, y: str, *, resamples: int = PERMUTATIONS, seed: int = 0, plus_one: bool = True, portable: bool = False) -> DataFrame:
     """Two-sided p of the correlation under random pairings: observed, p, n; one row.
 
     ``plus_one`` gives (c + 1) / (m + 1), else c / m.
@@ -49,7 +56,7 @@ def permutation_test(df: DataFrame, id_col: str, x: str, y: str, *, resamples: i
     u = units(df, id_col, x, y)
     observed = single(u.agg(correlation(F.col(x), F.col(y)).alias("observed"), F.count("*").alias("n")))
     drawn = _resamples(u.select("_i", x), resamples)
-    w = Window.partitionBy("_r").orderBy(draw(seed, F.col("_r"), F.col("_i")), "_i")
+    w = Window.partitionBy("_r").orderBy(draw(seed, F.col("_r"), F.col("_i"), portable=portable), "_i")
     paired = drawn.withColumn("_at", F.row_number().over(w) - 1).join(u.select(F.col("_i").alias("_at"), y), "_at")
     stat = paired.groupBy("_r").agg(correlation(F.col(x), F.col(y)).alias("s"))
     out = stat.withColumns({"observed": observed["observed"], "n": observed["n"]})
@@ -100,22 +107,22 @@ def exact_permutation_test(df: DataFrame, id_col: str, x: str, y: str) -> DataFr
     return parts.agg(F.max("observed").alias("observed"), (F.sum("hits") / F.sum("total")).alias("p"), F.sum("total").alias("total"))
 
 
-def sign_flip_test(df: DataFrame, id_col: str, diff: str, *, resamples: int = SIGN_FLIPS, seed: int = 0) -> DataFrame:
+def sign_flip_test(df: DataFrame, id_col: str, diff: str, *, resamples: int = SIGN_FLIPS, seed: int = 0, portable: bool = False) -> DataFrame:
     """Two-sided p of the mean paired difference under random signs; one row."""
     u = units(df, id_col, diff)
     observed = single(u.agg(F.avg(diff).alias("observed"), F.count("*").alias("n")))
-    sign = F.when(draw(seed, F.col("_r"), F.col("_i")).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
+    sign = F.when(draw(seed, F.col("_r"), F.col("_i"), portable=portable).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
     stat = _resamples(u, resamples).groupBy("_r").agg(F.avg(F.col(diff) * sign).alias("s"))
     out = stat.withColumns({"observed": observed["observed"], "n": observed["n"]})
     hit = F.count(F.when(F.abs("s") >= F.abs("observed") - TIE, 1))
     return out.agg(F.first("observed").alias("observed"), ((hit + 1) / (F.count("*") + 1)).alias("p"), F.first("n").alias("n"))
 
 
-def bootstrap_ci(df: DataFrame, id_col: str, x: str, y: str, *, resamples: int = BOOTSTRAPS, seed: int = 0) -> DataFrame:
+def bootstrap_ci(df: DataFrame, id_col: str, x: str, y: str, *, resamples: int = BOOTSTRAPS, seed: int = 0, portable: bool = False) -> DataFrame:
     """Percentile interval 2.5/97.5 of the correlation over resamples with replacement; one row."""
     u = units(df, id_col, x, y)
     n = u.agg(F.count("*")).scalar()
-    drawn = _resamples(u.select("_i"), resamples).select("_r", F.pmod(draw(seed, F.col("_r"), F.col("_i")), n).alias("_i"))
+    drawn = _resamples(u.select("_i"), resamples).select("_r", F.pmod(draw(seed, F.col("_r"), F.col("_i"), portable=portable), n).alias("_i"))
     stat = drawn.join(u, "_i").groupBy("_r").agg(correlation(F.col(x), F.col(y)).alias("s"))
     return stat.agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi"), F.count("*").alias("resamples"))
 
