@@ -11,6 +11,7 @@ from trajq.bindings.vectors import PARTS_SQL
 from trajq.functions import responses
 from trajq.operators import quality, sampling
 from trajq.operators import tactile as tac
+from trajq.plans.lineage import checkpoint
 
 QUERIES, SQL = {}, {}
 HAND = ["recording_id", "hand"]
@@ -123,7 +124,8 @@ def qc_inputs(spark, sf):
     f = f.withColumn("free_id", F.col("conv_id") * 2 + F.col("free_id")).drop("conv_id")
     t = tactile(spark, sf).withColumn("force", F.when(F.col("pad") == 18, F.transform("force", lambda v: v * 0)).otherwise(
         F.transform("force", lambda v: F.when(F.abs(v) < 0.2, 0.0).otherwise(v))))
-    return t, quality.hand_frames(t), c, f
+    # One row per frame instead of one per pad: small next to the taxels and read several times.
+    return t, checkpoint(quality.hand_frames(t)), c, f
 
 
 FRAME_SQL = f"""{TACTILE_SQL.replace('SELECT recording_id, hand, pad, sample_idx, t_ns, generate_subscripts(force, 1) - 1 AS cell, unnest(force) AS x FROM tactile',

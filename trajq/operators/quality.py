@@ -12,7 +12,7 @@ from trajq.functions.text import fixed
 from trajq.operators.rows import SECOND_NS, interval_join
 from trajq.operators.tactile import HAND_KEYS, ZERO_FLOOR, visible_force
 from trajq.operators.windows import interval_diff, segments
-from trajq.plans.lineage import single
+from trajq.plans.lineage import checkpoint, single
 from trajq.plans.ordered import HOUR_NS
 from trajq.plans.quantiles import exact_quantiles
 
@@ -48,7 +48,8 @@ def integrity_check(
     ``gloves``: key, hand, t_ns; ``recordings``: key.
     """
     def gaps(df: DataFrame, group: str, factor: float) -> DataFrame:
-        d = interval_diff(df.select(key, group, "t_ns"), [key, group], "t_ns", size=size)
+        # Used by both quantile passes and the final count: written once instead of three times sorted.
+        d = checkpoint(interval_diff(df.select(key, group, "t_ns"), [key, group], "t_ns", size=size))
         med = exact_quantiles(d, [key, group], F.col("dt"), {"med": 0.5}).drop("n")
         d = d.join(med, [key, group], "left")
         big = F.col("dt") > F.col("med") * factor
