@@ -80,7 +80,10 @@ def read_ts_csv(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataF
 
 
 def read_frame_table(spark: SparkSession, root: str, pattern: str = "*.csv", *, fps: float = 30.0) -> DataFrame:
-    """CSV files with a header: ``recording_id, stream, frame_index, t_ns`` by the time column's alias."""
+    """CSV files with a header: ``recording_id, stream, frame_index, t_ns`` by the time column's alias.
+
+    The files of one pattern share their header; read kinds with other columns separately.
+    """
     from trajq.operators.dataset import time_column
 
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreLeadingWhiteSpace", True).csv(root, header=True)
