@@ -9,23 +9,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.functions import broadcast, struct
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; driver and executors must share it.
 
-    Only where the session names none (tests, local runs) is a temporary folder used.
+    Only a session within one machine may leave it unset: it gets a folder of its own.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trajq-checkpoint-"))
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='trajq-')}")
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path in the shared checkpoint folder, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajq-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 SMALL_ROWS = 100_000
