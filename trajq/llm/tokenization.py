@@ -8,7 +8,7 @@ text; a piece that was seen before costs a dictionary lookup.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -47,7 +47,7 @@ class Encoder:
         self.code: dict[str, int] = {}
         self.words: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def word(self, word: str) -> tuple[int, ...]:
         known = self.words.get(word)
@@ -63,11 +63,16 @@ class Encoder:
         """Plain Latin pieces go to the library's model word by word, all others through its whole pipeline."""
         got: list = [None] * len(new)
         odd, ids_of = [], self.word
+        tokenize, lower, space = self.model.tokenize, self.lower, self.space
         for i, piece in enumerate(new):
-            plain = piece.lower() if self.lower else piece
-            stem, tail = (plain[:-1], plain[-1]) if plain[-1:] in (",", ".") else (plain, "")
-            if stem.isascii() and stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
-                got[i] = ids_of(stem[1:] if self.lower and stem[0] == " " else stem) + (ids_of(tail) if tail else ())
+            plain = piece.lower() if lower else piece
+            tail = plain[-1:]
+            stem = plain[:-1] if tail == "," or tail == "." else plain
+            bare = stem[1:] if stem[:1] == " " else stem
+            if bare.isalpha() and bare.isascii():
+                got[i] = [t.id for t in tokenize(bare if lower or bare is stem else space + bare)]
+                if stem is not plain:
+                    got[i] += ids_of(tail)
             elif PLAIN.fullmatch(piece) and "<|" not in piece:
                 got[i] = tuple(chain.from_iterable(map(ids_of, self.split(plain))))
             else:
@@ -105,18 +110,24 @@ class Encoder:
         if len(self.code) > self.most:
             self.forget()
         cut = [self.pieces(t) for t in texts]
-        known = self.code
-        new = list({p for ps in cut for p in ps if p not in known})
-        if new:
-            self.learn(new)
+        every = list(chain.from_iterable(cut))
+        codes = np.fromiter(map(self.code.get, every, repeat(-1)), np.int32, len(every))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            unknown = [every[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(unknown)))
+            codes[missing] = np.fromiter(map(self.code.__getitem__, unknown), np.int32, len(unknown))
+        sizes = self.sizes[codes]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(self.starts[codes] - (ends - sizes).astype(np.int32), sizes)
+        place += np.arange(total, dtype=np.int32)
+        flat = self.flat[place]
+        last = ends[np.cumsum([len(c) for c in cut]) - 1].tolist() if cut else []
         out = []
-        for ps in cut:
-            codes = np.fromiter(map(known.__getitem__, ps), np.int64, len(ps))
-            sizes = self.sizes[codes]
-            total = int(sizes.sum())
-            ids = np.empty(total + 1, np.uint32)
-            before = np.cumsum(sizes) - sizes
-            ids[:total] = self.flat[np.repeat(self.starts[codes] - before, sizes) + np.arange(total)]
-            ids[total] = self.end
+        for a, b in zip([0, *last[:-1]], last):
+            ids = np.empty(b - a + 1, np.uint32)
+            ids[:-1] = flat[a:b]
+            ids[-1] = self.end
             out.append(ids)
         return out
