@@ -25,33 +25,34 @@ def stored(df: DataFrame, name: str = "llm") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    return scratch_dir(spark, name)
+    """A new folder in the shared one, with its file system spelled out for readers outside Spark."""
+    path = scratch_dir(spark, name)
+    if ":" not in path.split("/")[0]:
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + path
+    return "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
 def write_file(folder: str, name: str, data: bytes) -> None:
     """A whole file or nothing: written under a name of its own, then renamed, so a repeated task is harmless."""
-    import os
-
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     part = f"{root}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
         out.write(data)
     try:
         store.move(part, f"{root}/{name}")
-    except OSError:  # a store that does not replace on a move
+    except OSError:  # a store that does not replace on a move: an earlier attempt wrote the same bytes
         if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
             raise
         store.delete_file(part)
-    del os
 
 
 def open_file(path: str):
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    store, root = fs.FileSystem.from_uri(path)
     return store.open_input_file(root)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajq.llm import packing, tokens
+from trajq.llm import fingerprints, labelled, packing, quality, tokens, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -21,12 +21,33 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end=2, vocabulary=50_257)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return labelled.graded(quality.score(docs, quality.fit(docs, labels(spark, sf_dir), of=3, held=1)), of=3, held=1)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return labelled.graded(toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir), of=5, held=0)), of=5, held=0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end=1)
 
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_quality": op3_quality,
+    "op8_toxicity": op8_toxicity,
     "op7_packing": op7_packing,
 }
 
