@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajq.llm import fingerprints, labelled, packing, quality, tokens, toxicity
+from trajq.llm import fingerprints, labelled, mixing, packing, quality, secret_scan, shards, tokens, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +39,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.graded(toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir), of=5, held=0)), of=5, held=0)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir))
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end=1)
 
@@ -47,6 +59,9 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_fingerprints": op2_fingerprints,
     "op3_quality": op3_quality,
+    "op5_secrets": op5_secrets,
+    "op6_mixing": op6_mixing,
+    "op10_shards": op10_shards,
     "op8_toxicity": op8_toxicity,
     "op7_packing": op7_packing,
 }
