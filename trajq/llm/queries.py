@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajq.llm import fingerprints, labelled, mixing, packing, quality, secret_scan, shards, tokens, toxicity
+from trajq.llm import fingerprints, labelled, mixing, near, neighbours, packing, quality, secret_scan, shards, tokens, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +39,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.graded(toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir), of=5, held=0)), of=5, held=0)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.clusters(documents(spark, sf_dir))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -59,6 +67,8 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_fingerprints": op2_fingerprints,
     "op3_quality": op3_quality,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op9_neighbours": op9_neighbours,
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op10_shards": op10_shards,
