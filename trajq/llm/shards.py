@@ -103,6 +103,7 @@ def slots(written: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, from the written shards."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = slots(shuffle(slim, shared_folder(docs.sparkSession, "shards"), shards))
+    written = shuffle(slim, shared_folder(docs.sparkSession, "shards"), shards)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return rows.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))
+    rows = slots(written.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), "shard", "bucket", "position"))  # no text in the join
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))
