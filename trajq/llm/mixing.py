@@ -5,8 +5,8 @@ all words; a target stops at twice its source's words and what is left over is s
 a source, every document is due a number of copies that falls slowly with its length and never
 passes two. Its whole copies are certain. What remains of it is an inclusion probability p: the
 document draws a uniform u from a hash of itself, and documents are ranked by the odds of u divided
-by the odds of p. The sample is the head of this order whose words come nearest to what the target
-still lacks.
+by the odds of p. The sample is the longest head of this order whose words do not pass what the target
+still lacks; the one later document whose size comes nearest to the gap follows.
 
 No task sorts a source: ranks are cut into fine buckets whose words are summed first, and only the
 bucket that holds the cut is sorted. Null text or one without words has size 0 and takes nothing.
@@ -93,7 +93,7 @@ def ranked(rows: DataFrame, due: DataFrame) -> DataFrame:
 
 
 def cuts(rows: DataFrame) -> DataFrame:
-    """Per source the last (bucket, rank, key) of the sample."""
+    """Per source the last (bucket, rank, key) of the sample, and the row that fills the gap to the target best."""
     lacks = rows.groupBy("source_key").agg((F.first("target") - F.sum(F.col("size") * F.col("certain"))).alias("lack"))
     buckets = rows.where("rank is not null").groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("source_key").orderBy("bucket"))
@@ -101,19 +101,25 @@ def cuts(rows: DataFrame) -> DataFrame:
     edge = edge.where("upto >= lack").groupBy("source_key").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "lack")).alias("e")).select("source_key", "e.*")
     within = rows.join(edge, ["source_key", "bucket"]).where("rank is not null")
     run = F.sum("size").over(Window.partitionBy("source_key").orderBy("rank", "key")) + F.col("before")
-    near = within.withColumn("upto", run).where(F.col("upto") - F.col("size") / 2 <= F.col("lack"))
-    # rows up to the first whose middle lies beyond what is lacking: its words would be nearer outside
-    beyond = within.withColumn("upto", run).where(F.col("upto") - F.col("size") / 2 > F.col("lack")).groupBy("source_key").agg(F.min("upto").alias("stop"))
-    last = near.join(beyond, "source_key", "left").where(F.col("stop").isNull() | (F.col("upto") < F.col("stop")))
-    last = last.groupBy("source_key").agg(F.max(F.struct("rank", "key")).alias("l"))
-    return edge.join(last, "source_key", "left").select("source_key", F.col("bucket").alias("cut_bucket"), F.col("l.rank").alias("cut_rank"), F.col("l.key").alias("cut_key"))
+    last = within.withColumn("upto", run).where("upto <= lack").groupBy("source_key").agg(F.max(F.struct("rank", "key", "upto")).alias("l"))
+    gap = F.col("lack") - F.coalesce("l.upto", "before")
+    cut = edge.join(last, "source_key", "left").select("source_key", F.col("bucket").alias("cut_bucket"), F.col("l.rank").alias("cut_rank"), F.col("l.key").alias("cut_key"), gap.alias("gap"))
+    rest = rows.where("rank is not null").join(cut, "source_key").withColumn("miss", F.abs(F.col("size") - F.col("gap")))
+    fill = rest.where(~head() & (F.col("miss") < F.col("gap"))).groupBy("source_key").agg(F.min(F.struct("miss", "rank", "key")).alias("f"))
+    return cut.join(fill, "source_key", "left").select("source_key", "cut_bucket", "cut_rank", "cut_key", F.col("f.rank").alias("fill_rank"), F.col("f.key").alias("fill_key"))
+
+
+def head() -> Column:
+    """Whether a ranked row beside its source's cut belongs to the head of the order."""
+    at = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("key") <= F.col("cut_key")))
+    return (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & F.coalesce(at, F.lit(False)))
 
 
 def taken() -> Column:
     """Copies of a ranked row beside its source's cut; a source without a cut takes every ranked row."""
-    inside = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & ((F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("key") <= F.col("cut_key")))))
-    more = F.col("rank").isNotNull() & F.coalesce(F.when(F.col("cut_bucket").isNull(), F.lit(True)).otherwise(inside), F.lit(False))
-    return F.col("certain") + more.cast("long")
+    fills = F.coalesce((F.col("rank") == F.col("fill_rank")) & (F.col("key") == F.col("fill_key")), F.lit(False))
+    more = F.col("rank").isNotNull() & (F.col("cut_bucket").isNull() | head() | fills)
+    return F.col("certain") + F.coalesce(more, F.lit(False)).cast("long")
 
 
 def decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
