@@ -93,8 +93,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, vocabulary: int) -> Dat
         for batch in slices(batches):
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for key, ids in zip(keys, encoder.ids([x or "" for x in batch.column(1).to_pylist()])):
-                counts += np.bincount(ids, minlength=vocabulary)
+            found = encoder.ids([x or "" for x in batch.column(1).to_pylist()])
+            counts += np.bincount(np.concatenate(found), minlength=vocabulary)
+            for key, ids in zip(keys, found):
                 planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T  # equal places of the ids together
                 rows.append((key, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), pa.compress(planes.tobytes(), codec="zstd", asbytes=True)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n", "crc", "data"])
