@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajq.functions.layout import PADS
 from trajq.plans.ordered import row_index
 
 STREAMS = ("click", "view", "purchase", "signup", "error")
@@ -87,7 +88,7 @@ near AS (SELECT recording_id, stream, ord, tick, t_ns,
          FROM both_)"""
 
 
-SLOT_IDS = (0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 15, 16, 18)
+SLOT_IDS = PADS
 
 
 def tactile(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,11 +57,10 @@ def _(spark, sf):
     return rounded(tac.total_force(tactile(spark, sf)).drop("t_ns"), ["total"])
 
 
-@query("hard_fault", f"""WITH {TACTILE_SQL}, s AS (SELECT recording_id, hand, pad, sample_idx, coalesce(sum(x) FILTER (abs(x) >= 0.03), 0) AS v FROM cells
-    WHERE recording_id % 4 <> 1 OR pad BETWEEN 9 AND 13 GROUP BY ALL)
+@query("hard_fault", f"""WITH {TACTILE_SQL}, s AS (SELECT recording_id, hand, pad, sample_idx, coalesce(sum(x) FILTER (abs(x) >= 0.03), 0) AS v FROM cells GROUP BY ALL)
   SELECT recording_id, hand, sum((m > 0.03)::INT) = 0 AS hard_fault FROM (SELECT recording_id, hand, pad, max(v) AS m FROM s GROUP BY ALL) GROUP BY 1, 2""")
 def _(spark, sf):
-    return tac.hard_fault(tactile(spark, sf).where("recording_id % 4 <> 1 OR pad BETWEEN 9 AND 13"))
+    return tac.hard_fault(tactile(spark, sf))
 
 
 @query("pad_shear", f"""WITH {TACTILE_SQL} SELECT recording_id, hand, pad::BIGINT AS pad, sample_idx, round(avg(x), 6) AS mean_x, round(avg(x * 0.5), 6) AS mean_y FROM cells GROUP BY 1, 2, 3, 4""")
@@ -181,8 +180,8 @@ def _(spark, sf):
 def verdicts(spark, sf):
     t, fr, c, f = qc_inputs(spark, sf)
     losses = quality.loss_check(fr, c)
-    answers = (F.col("recording_id") + F.col("rank")) % 2 == 0  # the confirmation answers of the noise clips
-    noise = top_candidates(spark, sf, fr, f).withColumn("confirmed", answers)
+    answers = (F.col("recording_id") + F.col("free_id")) % 2 == 0  # the confirmation answers of the noise clips
+    noise = quality.noise_candidates(fr, f).withColumn("confirmed", answers)
     hands = t.select(*HAND).distinct()
     return t, losses, quality.hand_verdict(hands, tac.hard_fault(t), c, losses, f, noise)
 
@@ -197,7 +196,7 @@ lr AS (SELECT recording_id, hand, count(*) FILTER (kind = 'hard') AS nh, count(*
    string_agg(finger || ' reported touching ' || span || ' but is silent, ' || CASE WHEN len(others) > 0 THEN 'while ' || array_to_string(others, ', ') || ' in the same grasp respond'
      ELSE 'and it is the only confirmed finger in that grasp (weak evidence)' END, '; ' ORDER BY contact_id, fpos) FILTER (kind = 'weak') AS tw FROM lt GROUP BY 1, 2),
 fs AS (SELECT recording_id, hand, sum(greatest(end_ns - start_ns, 0)) / 1e9 AS free_s FROM free GROUP BY 1, 2),
-ns AS (SELECT recording_id, hand, sum(e - s) / 1e9 AS noise_s, count(*) AS seg FROM topn WHERE rank <= 5 AND (recording_id + rank) % 2 = 0 GROUP BY 1, 2),
+ns AS (SELECT recording_id, hand, sum(e - s) / 1e9 AS noise_s, count(*) AS seg FROM cand WHERE (recording_id + free_id) % 2 = 0 GROUP BY 1, 2),
 hv0 AS (SELECT h.recording_id, h.hand, fault AND EXISTS (SELECT 1 FROM contacts c WHERE c.recording_id = h.recording_id AND c.hand = h.hand) AS dead,
    coalesce(nh, 0) AS nh, coalesce(nw, 0) AS nw, th, tw, coalesce(free_s, 0) AS free_s, coalesce(noise_s, 0) AS noise_s, coalesce(seg, 0) AS seg
    FROM hf h LEFT JOIN lr USING (recording_id, hand) LEFT JOIN fs USING (recording_id, hand) LEFT JOIN ns USING (recording_id, hand)),

@@ -67,25 +67,22 @@ def _(spark, sf):
     return rounded(out, ["mean", "std", "q01", "q99"])
 
 
-# Two datasets (even / odd episodes) with different delta rules, capped in order.
-def _capped(cap):
-    return f"""lens AS (SELECT episode_index % 2 AS ds, episode_index, count(*) AS length FROM frames GROUP BY ALL),
-  cap AS (SELECT *, least(length, {cap} - (sum(length) OVER (ORDER BY ds, episode_index) - length)) AS take FROM lens),
-  kept AS (SELECT f.*, ds FROM frames f JOIN cap USING (episode_index) WHERE take > 0 AND frame_index < take),
+# Two datasets (even / odd episodes) with different delta rules.
+MULTI_SQL = """kept AS (SELECT *, episode_index % 2 AS ds FROM frames),
   last AS (SELECT episode_index, max(frame_index) AS last FROM kept GROUP BY 1),
   hz AS (SELECT k.ds, k.state, n.action FROM (SELECT *, unnest(range(0, 8)) AS s FROM kept JOIN last USING (episode_index)) k
          JOIN kept n ON n.episode_index = k.episode_index AND n.frame_index = least(k.frame_index + s, last)),
   flat0 AS (SELECT 'state' AS key, generate_subscripts(state, 1) - 1 AS dim, unnest(state) AS x FROM kept UNION ALL
     SELECT 'actions', generate_subscripts(action, 1) - 1, unnest(list_transform(action, lambda v, i: CASE WHEN i <= CASE WHEN ds = 0 THEN 9 ELSE 3 END THEN v - state[i] ELSE v END)) FROM hz),
-  flat AS (SELECT {{'key': key, 'd': dim}} AS dim, x FROM flat0)"""
+  flat AS (SELECT {'key': key, 'd': dim} AS dim, x FROM flat0)"""
 
 
-@query("norm_stats_multi", f"""WITH {FRAMES_SQL}, {_capped(300)}, {HIST_SQL}, m AS (SELECT dim, count(*) AS count, avg(x) AS mean, stddev_pop(x) AS std FROM flat GROUP BY 1)
+@query("norm_stats_multi", f"""WITH {FRAMES_SQL}, {MULTI_SQL}, {HIST_SQL}, m AS (SELECT dim, count(*) AS count, avg(x) AS mean, stddev_pop(x) AS std FROM flat GROUP BY 1)
   SELECT dim.key AS key, dim.d AS dim, count, round(mean, 6) AS mean, round(std, 6) AS std, round(q01, 6) AS q01, round(q99, 6) AS q99 FROM m JOIN hist USING (dim)""")
 def _(spark, sf):
     f = frames(spark, sf)
     sets = [(f.where("episode_index % 2 = 0"), [True] * 9 + [False]), (f.where("episode_index % 2 = 1"), [True] * 3)]
-    out = stats.norm_stats_multi(sets, max_frames=300, horizon=8, size=1000)
+    out = stats.norm_stats_multi(sets, horizon=8)
     out = out.select("key", F.col("dim").cast("bigint").alias("dim"), "count", "mean", "std", "q01", "q99")
     return rounded(out, ["mean", "std", "q01", "q99"])
 
@@ -125,7 +122,8 @@ def _(spark, sf):
     return out.select("recording_id", "hand", F.col("pad").cast("bigint").alias("pad"), "sample_idx")
 
 
-FIT_SQL = f"""{CELLS_SQL},
+ALL_SQL = f"{TACTILE_SQL}, pool AS (SELECT * FROM cells)"
+FIT_SQL = f"""{ALL_SQL},
 q AS (SELECT hand, pad, count(*) AS n, quantile_cont(x, 0.05) AS base, quantile_cont(x, 0.999) AS high, quantile_cont(x, 0.5) AS med FROM pool GROUP BY 1, 2),
 ma AS (SELECT hand, pad, quantile_cont(abs(x - med), 0.5) AS mad FROM pool JOIN q USING (hand, pad) GROUP BY 1, 2),
 f AS (SELECT *, greatest(high - base, 1e-6) AS raw FROM q JOIN ma USING (hand, pad)),
@@ -140,10 +138,10 @@ def _(spark, sf):
     return rounded(out, ["base", "scale", "threshold"])
 
 
-@query("dead_sensor_exclude", f"""WITH {TACTILE_SQL}, p AS (SELECT recording_id, hand, pad, stddev_pop(x) AS s FROM cells WHERE pad < 6 GROUP BY ALL)
+@query("dead_sensor_exclude", f"""WITH {TACTILE_SQL}, p AS (SELECT recording_id, hand, pad, stddev_pop(x) AS s FROM cells GROUP BY ALL)
   SELECT recording_id, hand, round(max(s), 6) AS max_std, max(s) < 0.122 AS dead FROM p GROUP BY 1, 2""")
 def _(spark, sf):
-    return rounded(padfit.dead_sensor_exclude(tactile(spark, sf).where("pad < 6"), limit=0.122), ["max_std"])
+    return rounded(padfit.dead_sensor_exclude(tactile(spark, sf), limit=0.122), ["max_std"])
 
 
 @query("robust_limits", f"""WITH {TACTILE_SQL}, s AS (SELECT recording_id, hand, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM cells GROUP BY 1, 2),
@@ -165,7 +163,7 @@ def tasks(spark, sf):
         "task", F.when(r < 4, "light").when(r < 8, "hard").when(r == 8, "rare"))
 
 
-SCALE_SQL = f"""{CELLS_SQL}, {TASKS_SQL}, sb AS (SELECT hand, pad, quantile_cont(x, 0.05) AS base FROM pool GROUP BY 1, 2),
+SCALE_SQL = f"""{ALL_SQL}, {TASKS_SQL}, sb AS (SELECT hand, pad, quantile_cont(x, 0.05) AS base FROM pool GROUP BY 1, 2),
 dev AS (SELECT recording_id, task, x - base AS d FROM pool JOIN sb USING (hand, pad) JOIN tasks USING (recording_id)),
 scales AS (SELECT task, greatest(quantile_cont(d, 0.999), 1e-6) AS scale, count(DISTINCT recording_id) AS n_episodes FROM dev WHERE task IS NOT NULL GROUP BY 1 HAVING n_episodes >= 3
   UNION ALL SELECT NULL, greatest(quantile_cont(d, 0.999), 1e-6), NULL FROM dev)"""
@@ -187,9 +185,7 @@ def _(spark, sf):
   FROM tactile t JOIN tasks k USING (recording_id) LEFT JOIN scales s ON s.task = k.task JOIN sb ON sb.hand = t.hand AND sb.pad = t.pad""")
 def _(spark, sf):
     t, k = tactile(spark, sf), tasks(spark, sf)
-    base = padfit.exact_quantiles(
-        padfit.finite_cells(sampling.seeded_sample(t, ["recording_id", "hand"], ["sample_idx"], 4), ["hand", "pad"]),
-        ["hand", "pad"], F.col("x"), {"base": 0.05})
+    base = padfit.exact_quantiles(padfit.finite_cells(t, ["hand", "pad"]), ["hand", "pad"], F.col("x"), {"base": 0.05})
     out = padfit.broadcast_lookup(t, k, padfit.task_scale_fit(t, k), base)
     out = out.select("recording_id", "hand", F.col("pad").cast("bigint").alias("pad"), "sample_idx", "base", "scale")
     return rounded(out, ["base", "scale"])

@@ -1,4 +1,4 @@
-"""Normalization fitted from sampled glove frames."""
+"""Normalization fitted from glove frames: all of them, or a seeded sample where asked for."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajq.operators.sampling import hash_order, seeded_sample
-from trajq.plans.lineage import measured
+from trajq.plans.lineage import checkpoint, measured
 from trajq.plans.quantiles import exact_quantiles
 
 # Fixed values.
-SAMPLES_PER_RECORDING = 4
 SEED = 42
 DEAD_STD = 1e-4
 MIN_SCALE = 1e-6
@@ -31,13 +30,13 @@ def finite_cells(tactile: DataFrame, ids: Sequence[str]) -> DataFrame:
     return cells.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
 
 
-def pad_norm_fit(tactile: DataFrame, *, samples: int = SAMPLES_PER_RECORDING, seed: int = SEED, floor_by: Sequence[str] = ()) -> DataFrame:
-    """Baseline, scale and contact threshold per (hand, pad) from sampled frames.
+def pad_norm_fit(tactile: DataFrame, *, samples: int | None = None, seed: int = SEED, floor_by: Sequence[str] = ()) -> DataFrame:
+    """Baseline, scale and contact threshold per (hand, pad), from all frames or ``samples`` per hand.
 
     ``floor_by`` (for instance the hand) says over which pads the scale floor is taken; empty
     means all. MAD needs the median first, hence the second quantile pass over the sample.
     """
-    sampled = seeded_sample(tactile, HAND_KEYS, ["sample_idx"], samples, seed=seed)
+    sampled = tactile if samples is None else seeded_sample(tactile, HAND_KEYS, ["sample_idx"], samples, seed=seed)
     pool = finite_cells(sampled, ["hand", "pad"])
     first = measured(exact_quantiles(pool, ["hand", "pad"], F.col("x"), {"base": 0.05, "high": 0.999, "med": 0.5}))
     dev = pool.join(first.select("hand", "pad", "med"), ["hand", "pad"])
@@ -53,42 +52,48 @@ def pad_norm_fit(tactile: DataFrame, *, samples: int = SAMPLES_PER_RECORDING, se
     return fit.select("hand", "pad", "n", "base", "scale", threshold.alias("threshold"))
 
 
-def robust_limits(tactile: DataFrame, *, shear: DataFrame | None = None, every: int = 200, max_pads: int = 16) -> DataFrame:
-    """Display limits per recording and hand: P1/P99 of every (n/200)-th sample of the first pads.
+def robust_limits(tactile: DataFrame, *, shear: DataFrame | None = None, every: int | None = None, max_pads: int | None = None) -> DataFrame:
+    """Display limits per recording and hand: P1/P99 of all samples and pads.
 
-    Without spread the limits fall back to min/max, then to lo + 1.
+    ``every`` takes only every (n/every)-th sample, ``max_pads`` only the first pads, of gloves that
+    have more. Without spread the limits fall back to min/max, then to lo + 1.
     """
-    n = tactile.groupBy(*HAND_KEYS).agg((F.max("sample_idx") + 1).alias("_n"))
-    pads = tactile.select(*HAND_KEYS, "pad").distinct()
-    w = Window.partitionBy(*HAND_KEYS).orderBy("pad")
-    pads = pads.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_pads).drop("_r")
-    stride = F.greatest(F.floor(F.col("_n") / every), F.lit(1))
-    kept = tactile.join(n, HAND_KEYS).join(pads, [*HAND_KEYS, "pad"], "left_semi").where(F.col("sample_idx") % stride == 0)
-    cells = kept.select(*HAND_KEYS, F.explode("force").alias("x")).where(~F.isnan("x"))
-    q = exact_quantiles(cells, HAND_KEYS, F.col("x"), {"lo": 0.01, "hi": 0.99, "min": 0.0, "max": 1.0})
+    columns = ["force"] if shear is None else ["force", "shear_x", "shear_y"]
+    both = tactile if shear is None else tactile.join(shear, [*HAND_KEYS, "pad", "sample_idx"], "left")
+    if every is not None:
+        n = measured(tactile.groupBy(*HAND_KEYS).agg((F.max("sample_idx") + 1).alias("_n")))
+        both = both.join(n, HAND_KEYS).where(F.col("sample_idx") % F.greatest(F.floor(F.col("_n") / every), F.lit(1)) == 0)
+    if max_pads is not None:
+        w = Window.partitionBy(*HAND_KEYS).orderBy("pad")
+        pads = tactile.select(*HAND_KEYS, "pad").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_pads)
+        both = both.join(measured(pads.drop("_r")), [*HAND_KEYS, "pad"], "left_semi")
+    both = checkpoint(both.select(*HAND_KEYS, *columns))
+    cells = both.select(*HAND_KEYS, F.explode("force").alias("x")).where(~F.isnan("x"))
+    q = exact_quantiles(cells, HAND_KEYS, F.col("x"), {"lo": 0.01, "hi": 0.99})
+    q = q.join(measured(cells.groupBy(*HAND_KEYS).agg(F.min("x").alias("min"), F.max("x").alias("max"))), HAND_KEYS)
     bad = F.col("hi") <= F.col("lo")
     q = q.withColumns({"lo": F.when(bad, F.col("min")).otherwise(F.col("lo")), "hi": F.when(bad, F.col("max")).otherwise(F.col("hi"))})
     q = q.withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi"))).select(*HAND_KEYS, "lo", "hi")
     if shear is None:
         return q
-    both = F.explode(F.concat("shear_x", "shear_y"))
-    sk = shear.join(n, HAND_KEYS).join(pads, [*HAND_KEYS, "pad"], "left_semi").where(F.col("sample_idx") % stride == 0)
-    mag = exact_quantiles(sk.select(*HAND_KEYS, both.alias("x")).where(~F.isnan("x")), HAND_KEYS, F.abs("x"), {"shear_mag": 0.99})
+    parts = both.select(*HAND_KEYS, F.explode(F.concat("shear_x", "shear_y")).alias("x")).where(~F.isnan("x"))
+    mag = exact_quantiles(parts, HAND_KEYS, F.abs("x"), {"shear_mag": 0.99})
     return q.join(mag.drop("n"), HAND_KEYS, "left").withColumn("shear_mag", F.coalesce("shear_mag", F.lit(1.0)))
 
 
-def task_scale_fit(tactile: DataFrame, tasks: DataFrame, *, frames: int = 4, values: int = 64, min_episodes: int = 3, seed: int = SEED) -> DataFrame:
+def task_scale_fit(tactile: DataFrame, tasks: DataFrame, *, frames: int | None = None, values: int | None = None, min_episodes: int = 3, seed: int = SEED) -> DataFrame:
     """Scale per task (P99.9 of value minus pad baseline) and, with a null task, the default.
 
     ``tasks``: recording_id, task (null where unnamed). Tasks seen in fewer than
-    ``min_episodes`` recordings are left out.
+    ``min_episodes`` recordings are left out. ``frames`` per hand and ``values`` per pad sample.
     """
-    sampled = seeded_sample(tactile, HAND_KEYS, ["sample_idx"], frames, seed=seed)
+    sampled = tactile if frames is None else seeded_sample(tactile, HAND_KEYS, ["sample_idx"], frames, seed=seed)
     cells = sampled.select(*HAND_KEYS, "pad", "sample_idx", F.posexplode("force").alias("cell", "x"))
     cells = cells.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
-    ids = ["recording_id", "hand", "pad", "sample_idx", "cell"]
-    w = Window.partitionBy("recording_id", "hand", "pad").orderBy(hash_order(ids, seed), "sample_idx", "cell")
-    cells = cells.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= values)
+    if values is not None:
+        ids = ["recording_id", "hand", "pad", "sample_idx", "cell"]
+        w = Window.partitionBy("recording_id", "hand", "pad").orderBy(hash_order(ids, seed), "sample_idx", "cell")
+        cells = cells.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= values)
     base = measured(exact_quantiles(cells, ["hand", "pad"], F.col("x"), {"base": 0.05}).drop("n"))
     dev = cells.join(base, ["hand", "pad"]).join(tasks.select("recording_id", "task"), "recording_id", "left")
     dev = dev.select("recording_id", "task", (F.col("x") - F.col("base")).alias("d"))

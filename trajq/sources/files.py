@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAD_IDS = (0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 15, 16, 18)
+from trajq.functions.layout import PADS
+
+PAD_IDS = PADS
 PATH = "_path"
 
 
