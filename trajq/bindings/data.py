@@ -17,6 +17,8 @@ STREAMS = ("click", "view", "purchase", "signup", "error")
 HALF_DAY_NS = 43_200_000_000_000
 FIVE_DAYS_NS = 432_000_000_000_000
 DAY_NS = 86_400_000_000_000
+#: Glove samples carry epoch times.
+EPOCH_NS = 1_700_000_000_000_000_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,13 +110,13 @@ def tactile(spark: SparkSession, sf: str) -> DataFrame:
     x = F.slice("v", F.col("p") * 4 + 1, 4)
     return e.select(
         "recording_id", "hand", F.get(slots, F.col("p")).alias("pad"), "sample_idx",
-        (F.col("sample_idx") * 100_000_000).alias("t_ns"), F.lit(2).alias("h"), F.lit(2).alias("w"),
+        (F.col("sample_idx") * 100_000_000 + EPOCH_NS).alias("t_ns"), F.lit(2).alias("h"), F.lit(2).alias("w"),
         F.when(dead, F.array_repeat(F.lit(0.0), 4)).otherwise(x).alias("force"),
     )
 
 
-TACTILE_SQL = """tactile AS (
-  SELECT recording_id, hand, ([0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 15, 16, 18])[p + 1] AS pad, sample_idx, sample_idx * 100000000 AS t_ns,
+TACTILE_SQL = f"""tactile AS (
+  SELECT recording_id, hand, ([0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 15, 16, 18])[p + 1] AS pad, sample_idx, {EPOCH_NS} + sample_idx * 100000000 AS t_ns,
     CASE WHEN (recording_id + p // 3) % 4 = 0 THEN [0.0::DOUBLE, 0, 0, 0] ELSE list_transform(embedding[p * 4 + 1:p * 4 + 4], lambda x: x::DOUBLE) END AS force
   FROM (SELECT *, row_number() OVER (PARTITION BY label, hand ORDER BY vec_id) - 1 AS sample_idx FROM
         (SELECT label::BIGINT AS recording_id, label, CASE WHEN vec_id % 2 = 0 THEN 'left' ELSE 'right' END AS hand, vec_id, embedding FROM embeddings)),

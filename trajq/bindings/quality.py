@@ -38,7 +38,7 @@ def _(spark, sf):
 
 
 FINGERS_SQL = f"""{TACTILE_SQL}, {PARTS_SQL},
-padf AS (SELECT recording_id, hand, pad, sample_idx, any_value(t_ns) AS t_ns, coalesce(sum(x) FILTER (x >= 0.03), 0) AS f, max(x) AS mx FROM cells GROUP BY 1, 2, 3, 4),
+padf AS (SELECT recording_id, hand, pad, sample_idx, any_value(t_ns) - min(any_value(t_ns)) OVER (PARTITION BY recording_id, hand) AS t_ns, coalesce(sum(x) FILTER (x >= 0.03), 0) AS f, max(x) AS mx FROM cells GROUP BY 1, 2, 3, 4),
 fing AS (SELECT recording_id, hand, part, sample_idx, any_value(t_ns) AS t_ns, max(f) AS force FROM padf JOIN parts USING (pad) GROUP BY 1, 2, 3, 4)"""
 
 
@@ -129,7 +129,7 @@ def qc_inputs(spark, sf):
 
 FRAME_SQL = f"""{TACTILE_SQL.replace('SELECT recording_id, hand, pad, sample_idx, t_ns, generate_subscripts(force, 1) - 1 AS cell, unnest(force) AS x FROM tactile',
   'SELECT recording_id, hand, pad, sample_idx, t_ns, cell, CASE WHEN pad = 18 OR abs(x0) < 0.2 THEN 0 ELSE x0 END AS x FROM (SELECT *, generate_subscripts(force, 1) - 1 AS cell, unnest(force) AS x0 FROM tactile)')},
-{PARTS_SQL}, padf AS (SELECT recording_id, hand, pad, sample_idx, any_value(t_ns) AS t_ns, coalesce(sum(x) FILTER (x >= 0.03), 0) AS f, max(x) AS mx FROM cells GROUP BY 1, 2, 3, 4),
+{PARTS_SQL}, padf AS (SELECT recording_id, hand, pad, sample_idx, any_value(t_ns) - min(any_value(t_ns)) OVER (PARTITION BY recording_id, hand) AS t_ns, coalesce(sum(x) FILTER (x >= 0.03), 0) AS f, max(x) AS mx FROM cells GROUP BY 1, 2, 3, 4),
 fing AS (SELECT recording_id, hand, part, sample_idx, any_value(t_ns) AS t_ns, max(f) AS force, max(mx) AS mx FROM padf JOIN parts USING (pad) GROUP BY 1, 2, 3, 4),
 fr AS (SELECT recording_id, hand, sample_idx, any_value(t_ns) AS t_ns, sum(force) AS total, max(mx) >= 0.03 AS visible FROM fing GROUP BY 1, 2, 3),
 {RESP_SQL},

@@ -103,7 +103,7 @@ def _(spark, sf):
     return files.parse_exclude_list(d.select(text.alias("value")))
 
 
-@query("read_npz_tactile", f"""WITH {TACTILE_SQL} SELECT recording_id, hand, sample_idx // 16 AS block, pad::BIGINT AS pad, sample_idx % 16 AS sample_idx, t_ns, round(sum(x), 4) AS total
+@query("read_npz_tactile", f"""WITH {TACTILE_SQL} SELECT recording_id, hand, sample_idx // 16 AS block, pad::BIGINT AS pad, sample_idx % 16 AS sample_idx, t_ns // 1000000 AS t_ms, round(sum(x), 4) AS total
   FROM cells WHERE (recording_id + sample_idx // 16) % 6 <> 5 GROUP BY ALL""")
 def _(spark, sf):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:  # a block of at most 16 frames
@@ -122,7 +122,7 @@ def _(spark, sf):
     part = lambda i: F.get(F.split("path", "/"), i)
     d = files.decode_npz(archives)
     return d.select(
-        part(1).cast("bigint").alias("recording_id"), part(3).alias("hand"), part(2).cast("bigint").alias("block"), F.col("pad").cast("bigint").alias("pad"), "sample_idx", "t_ns",
+        part(1).cast("bigint").alias("recording_id"), part(3).alias("hand"), part(2).cast("bigint").alias("block"), F.col("pad").cast("bigint").alias("pad"), "sample_idx", F.round(F.col("t_ns") / 1e6).cast("bigint").alias("t_ms"),
         F.round(F.aggregate("force", F.lit(0.0), lambda s, v: s + v.cast("double")), 4).alias("total"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trajq.functions.layout import FINGERS, PARTS, part_of_slot
 from trajq.functions.text import fixed
 from trajq.operators.rows import SECOND_NS, interval_join
-from trajq.operators.tactile import HAND_KEYS, ZERO_FLOOR, visible_force
+from trajq.operators.tactile import HAND_KEYS, ZERO_FLOOR, relative, visible_force
 from trajq.operators.windows import interval_diff, segments
 from trajq.plans.lineage import checkpoint, single
 from trajq.plans.ordered import HOUR_NS
@@ -121,13 +121,13 @@ def recording_durations(samples: DataFrame, meta: DataFrame, *, key: str = "reco
 
 
 def hand_frames(tactile: DataFrame, *, floor: float = ZERO_FLOOR) -> DataFrame:
-    """One row per hand and frame: force per part, their total, and whether any taxel is visible."""
+    """One row per hand and common frame (time from the hand's first sample): force per part, their total, and whether any taxel is visible."""
     t = tactile.withColumns({"_p": part_of_slot(F.col("pad")), "_f": visible_force(F.col("force"), floor)})
     part = lambda p: F.coalesce(F.max(F.when(F.col("_p") == p, F.col("_f"))), F.lit(0.0))
     f = t.groupBy(*HAND_KEYS, "sample_idx").agg(
         F.first("t_ns").alias("t_ns"), F.max((F.array_max("force") >= floor).cast("int")).alias("_v"), *[part(p).alias(p) for p in PARTS])
     total = sum((F.col(p) for p in PARTS[1:]), F.col(PARTS[0]))
-    return f.withColumns({"visible": F.col("_v") == 1, "total": total}).drop("_v")
+    return relative(f.withColumns({"visible": F.col("_v") == 1, "total": total}).drop("_v"), tactile)
 
 
 def loss_check(frames: DataFrame, contacts: DataFrame, *, size: int = SECOND_NS) -> DataFrame:

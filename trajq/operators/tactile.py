@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajq.functions.layout import pad_layout, part_of_slot
 from trajq.functions.vectors import pressure_gray
+from trajq.plans.lineage import measured
 
 # Fixed value: a taxel below this shows no signal.
 ZERO_FLOOR = 0.03
@@ -35,10 +36,23 @@ def pad_series(tactile: DataFrame, *, floor: float = ZERO_FLOOR) -> DataFrame:
     return tactile.select(*HAND_KEYS, "pad", "sample_idx", "t_ns", signed_force(F.col("force"), floor).alias("value"))
 
 
+def common_frames(tactile: DataFrame) -> DataFrame:
+    """Per hand: ``n_common``, the frames that every pad has, and ``t0``, the time of the first sample."""
+    per = tactile.groupBy(*HAND_KEYS, "pad").agg((F.max("sample_idx") + 1).alias("_n"), F.min_by("t_ns", "sample_idx").alias("_t"))
+    return per.groupBy(*HAND_KEYS).agg(F.min("_n").alias("n_common"), F.min("_t").alias("t0"))
+
+
+def relative(frames: DataFrame, tactile: DataFrame) -> DataFrame:
+    """Frames up to the shortest pad of their hand, ``t_ns`` counted from the hand's first sample."""
+    j = frames.join(measured(common_frames(tactile)), HAND_KEYS).where(F.col("sample_idx") < F.col("n_common"))
+    return j.withColumn("t_ns", F.col("t_ns") - F.col("t0")).select(*frames.columns)
+
+
 def finger_force(tactile: DataFrame, *, floor: float = ZERO_FLOOR) -> DataFrame:
-    """Visible force per part and frame: the strongest pad of the part."""
+    """Visible force per part and common frame: the strongest pad of the part."""
     t = tactile.withColumns({"part": part_of_slot(F.col("pad")), "_f": visible_force(F.col("force"), floor)})
-    return t.groupBy(*HAND_KEYS, "part", "sample_idx").agg(F.max("_f").alias("force"), F.first("t_ns").alias("t_ns"))
+    force = t.groupBy(*HAND_KEYS, "part", "sample_idx").agg(F.max("_f").alias("force"), F.first("t_ns").alias("t_ns"))
+    return relative(force, tactile)
 
 
 def pad_peak(fingers: DataFrame) -> DataFrame:

@@ -53,25 +53,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A metadata table in any of the accepted layouts: a folder or file of parquet or JSON lines."""
+    folder = f"{root}/meta/{name}"
+    if _exists(spark, folder):
+        nested = spark.read.option("recursiveFileLookup", True)
+        if not nested.option("pathGlobFilter", "*.parquet").format("binaryFile").load(folder).select("path").isEmpty():
+            return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+        return spark.read.option("recursiveFileLookup", True).json(folder)
+    for reader, path in ((spark.read.json, f"{folder}.jsonl"), (spark.read.parquet, f"{folder}.parquet")):
+        if _exists(spark, path):
+            return reader(path)
+    raise FileNotFoundError(folder)
+
+
 def read_canonical(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """``frames``, ``episodes`` (with row ranges) and ``tasks``; metadata as JSON lines or parquet.
+    """``frames``, ``episodes`` (with row ranges), ``tasks`` and ``info`` of a dataset.
 
-    The frame count must equal the announced total, which is checked when ``info`` is read.
+    Frames may lie in one folder, in ``key=value`` folders or in nested folders of other names;
+    metadata may be JSON lines or parquet, in a file or nested in a folder; info may span lines. The
+    text of a task may be the unnamed index of its table. The frame count must equal the announced
+    total, which is checked when ``info`` is read.
     """
-    frames = spark.read.parquet(f"{root}/data")
-    meta = {}
-    for name in ("episodes", "tasks"):
-        for reader, path in ((spark.read.json, f"{root}/meta/{name}"), (spark.read.json, f"{root}/meta/{name}.jsonl"), (spark.read.parquet, f"{root}/meta/{name}.parquet")):
-            if _exists(spark, path):
-                meta[name] = reader(path)
-                break
-        else:
-            raise FileNotFoundError(f"{root}/meta/{name}")
-    info = spark.read.json(f"{root}/meta/info" if _exists(spark, f"{root}/meta/info") else f"{root}/meta/info.json")
+    files = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).format("binaryFile").load(f"{root}/data").select("path")
+    keyed = not files.where(F.col("path").rlike("/[^/=]+=[^/]*/[^/]*$")).isEmpty()
+    frames = spark.read.option("recursiveFileLookup", not keyed).parquet(f"{root}/data")
+    tasks = _table(spark, root, "tasks")
+    if "task" not in tasks.columns and "__index_level_0__" in tasks.columns:
+        tasks = tasks.withColumnRenamed("__index_level_0__", "task")
+    info = spark.read.json(f"{root}/meta/info") if _exists(spark, f"{root}/meta/info") else spark.read.option("multiLine", True).json(f"{root}/meta/info.json")
     info = info.withColumn("_n", frames.agg(F.count("*")).scalar())
     message = F.concat(F.lit("rows "), F.col("_n").cast("string"), F.lit(" differ from total_frames "), F.col("total_frames").cast("string"))
     info = info.withColumn("total_frames", F.when(F.col("_n") != F.col("total_frames"), F.raise_error(message)).otherwise(F.col("total_frames"))).drop("_n")
-    return {"frames": frames, "episodes": episode_offsets(meta["episodes"]), "tasks": meta["tasks"], "info": info}
+    episodes = _table(spark, root, "episodes").drop("from_index", "to_index")
+    return {"frames": frames, "episodes": episode_offsets(episodes), "tasks": tasks, "info": info}
 
 
 def write_stats(stats: DataFrame, path: str, *, tag: str, fit_split: str = "train") -> None:

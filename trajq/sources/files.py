@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajq.functions.layout import PADS
+from trajq.plans.lineage import measured
+from trajq.plans.ordered import row_index
 
 PAD_IDS = PADS
 PATH = "_path"
 
 
-def _paths(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Paths below a root; file contents are not read, only listed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+def _paths(spark: SparkSession, root: str | Sequence[str], pattern: str) -> DataFrame:
+    """Paths below a root or several; file contents are not read, only listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root if isinstance(root, str) else list(root))
     return files.select(F.col("path").alias(PATH))
 
 
@@ -47,11 +49,7 @@ def scan_by_date(spark: SparkSession, root: str, *, dates: Sequence[str] | None
     from trajq.operators.sampling import sample_n
 
     paths = [f"{root}/{d}" for d in dates] if dates else [root]
-    found = None
-    for p in paths:
-        one = _paths(spark, p, marker)
-        found = one if found is None else found.unionByName(one)
-    dirs = found.select(folder_of(F.col(PATH)).alias("path")).distinct()
+    dirs = _paths(spark, paths, marker).select(folder_of(F.col(PATH)).alias("path")).distinct()
     dirs = dirs.select("path", base_of(folder_of(F.col("path"))).alias("date"), base_of(F.col("path")).alias("episode"))
     if listed is not None:
         dirs = dirs.join(listed.select(F.col("path").alias("_rel")).distinct(), F.concat_ws("/", "date", "episode") == F.col("_rel"), "left_semi")
@@ -81,19 +79,40 @@ def read_ts_csv(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataF
         F.rint(F.col("_s") * 1e9).cast("bigint").alias("t_ns"), "block", "line")
 
 
+#: Names of the time column, in seconds; the first that a file has counts.
+TIME_COLUMNS = ("epoch", "epoch_s", "timestamp", "timestamp_s", "time")
+
+
 def read_frame_table(spark: SparkSession, root: str, pattern: str = "*.csv", *, fps: float = 30.0) -> DataFrame:
-    """CSV files with a header: ``recording_id, stream, frame_index, t_ns`` by the time column's alias.
+    """CSV files, each with a header of its own: ``recording_id, stream, frame_index, t_ns``.
 
-    The files of one pattern share their header; read kinds with other columns separately.
+    A field is found by the header of its own file, so files of one call may have other columns or
+    another order. Without a time column the time is frame index / ``fps``; without a frame index the
+    row number in the file counts. Lines without a readable time or with too few fields are dropped;
+    a file whose first line is no header gives no rows.
     """
-    from trajq.operators.dataset import time_column
-
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreLeadingWhiteSpace", True).csv(root, header=True)
-    index = F.col("frame_index").cast("bigint")
-    path = F.col("_metadata.file_path")
-    return df.select(
-        base_of(folder_of(path)).alias("recording_id"), F.regexp_replace(base_of(path), r"\.[^.]*$", "").alias("stream"), index.alias("frame_index"),
-        F.rint(time_column(df, index, fps=fps) * 1e9).cast("bigint").alias("t_ns"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"),
+    ).where(F.col("value") != "")
+    heads = lines.where("block = 0").groupBy(PATH).agg(F.min(F.struct("line", "value")).alias("h"))
+    names = F.transform(F.split("h.value", ","), lambda c: F.lower(F.trim(F.translate(c, '"', ""))))
+    heads = heads.select(PATH, F.col("h.line").alias("_first"), names.alias("_names")).where(F.exists("_names", lambda c: c.rlike("^[a-z_]")))
+    time = F.greatest(F.lit(0), F.coalesce(*[F.nullif(F.array_position("_names", c), F.lit(0)) for c in TIME_COLUMNS], F.lit(0)))
+    heads = measured(heads.select(PATH, "_first", F.array_position("_names", "frame_index").alias("_index"), time.alias("_time"), F.size("_names").alias("_width")))
+    rows = lines.join(heads, PATH).where(F.col("line") > F.col("_first")).withColumn("_f", F.split("value", ",")).where(F.size("_f") >= F.col("_width"))
+    field = lambda at: F.trim(F.translate(F.try_element_at("_f", F.nullif(at, F.lit(0)).cast("int")), '"', ""))
+    index = field(F.col("_index")).try_cast("bigint")
+    missing = rows.where("_index = 0")
+    numbered = missing.withColumn("_row", F.lit(None).cast("bigint"))
+    if not heads.where("_index = 0").isEmpty():  # rows of such a file are numbered in its order
+        numbered = row_index(missing.withColumn("_key", F.concat_ws("|", PATH)), ["_key"], "line", "_row").drop("_key")
+    rows = rows.where("_index > 0").withColumn("_row", index).unionByName(numbered)
+    seconds = F.when(F.col("_time") > 0, field(F.col("_time")).try_cast("double")).otherwise(F.col("_row") / F.lit(fps))
+    path = F.col(PATH)
+    return rows.withColumn("_s", seconds).where("_s IS NOT NULL AND NOT isnan(_s)").select(
+        base_of(folder_of(path)).alias("recording_id"), F.regexp_replace(base_of(path), r"\.[^.]*$", "").alias("stream"), F.col("_row").alias("frame_index"),
+        F.rint(F.col("_s") * 1e9).cast("bigint").alias("t_ns"))
 
 
 TACTILE_SCHEMA = T.StructType([
@@ -115,18 +134,19 @@ def decode_npz(archives: DataFrame, *, pads: Sequence[int] = PAD_IDS, rows_per_b
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                        data = {k: z[k] for k in z.files}
-                    t = np.rint(np.asarray(data["timestamps"], np.float64) * 1e9).astype(np.int64)
+                        names = {f"{kind}_{pad}" for pad in wanted for kind in ("tactile", "tf_tactile_x", "tf_tactile_y")}
+                        data = {k: z[k] for k in z.files if k in names or k == "timestamps"}
+                    t = np.rint(np.asarray(data["timestamps"], np.float64).reshape(-1) * 1e9).astype(np.int64)
+                    grids = {pad: data[f"tactile_{pad}"] for pad in wanted if f"tactile_{pad}" in data}
+                    if any(g.ndim != 3 or g.dtype.kind not in "fiu" for g in grids.values()):
+                        continue
                 except Exception:
                     continue
-                for pad in wanted:
-                    grid = data.get(f"tactile_{pad}")
-                    if grid is None:
-                        continue
+                for pad, grid in grids.items():
                     n, h, w = grid.shape
                     n = min(n, len(t))
                     flat = lambda a: list(np.asarray(a[:n], np.float32).reshape(n, -1))
-                    sx, sy = data.get(f"tf_tactile_x_{pad}"), data.get(f"tf_tactile_y_{pad}")
+                    sx, sy = (x if x is not None and x.shape[:1] >= (n,) and x.dtype.kind in "fiu" else None for x in (data.get(f"tf_tactile_x_{pad}"), data.get(f"tf_tactile_y_{pad}")))
                     both = sx is not None and sy is not None
                     out = pd.DataFrame({
                         "path": path, "pad": pad, "sample_idx": np.arange(n), "t_ns": t[:n], "h": h, "w": w, "force": flat(grid),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from trajq.operators.dataset import incremental_batch
@@ -14,17 +15,19 @@ def stream_gate(samples: DataFrame, gate: Callable[[DataFrame], DataFrame], resu
     """Judge each arriving recording once and append the results (parquet at ``results``).
 
     A file of the source holds whole recordings. Recordings already in the results are left out,
-    and each micro-batch writes its own folder, replaced when the batch is repeated, so a
-    restart neither loses nor doubles a row.
+    and each micro-batch of a query writes its own folder, replaced when the batch is repeated, so a
+    restart neither loses nor doubles a row. The query's id is part of the folder, so a query with a
+    new checkpoint, whose batches count from 0 again, leaves earlier results alone.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "query"
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(results)
         exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
         todo = batch
         if exists:
-            done = spark.read.parquet(results).where(f"batch_id <> {batch_id}")
+            done = spark.read.parquet(results).where(~((F.col("query") == query) & (F.col("batch_id") == batch_id))).select(key)
             todo = incremental_batch(batch, done, [key])
-        gate(todo).write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+        gate(todo).write.mode("overwrite").parquet(f"{results}/query={query}/batch_id={batch_id}")
 
     return samples.writeStream.foreachBatch(run)
