@@ -12,8 +12,9 @@ ten mantissa bits. Equal sets are one node from the start.
 3. What is left is confirmed on the full sets, the likeliest pair of each node first, the others only
    if they still lie in different components.
 4. Bands whose members are not all in one component yet are searched through: each member outside
-   the largest component meets every member of the band, in blocks of registers, and what passes
-   the estimate is confirmed on full sets.
+   the component of the smallest meets every member of the band, in blocks of registers; what
+   passes the estimate is confirmed on full sets, the likeliest first, since one link settles a
+   whole component, and in the last round all that still lie apart.
 
 Two documents at the threshold of 0.75 share no band with a probability of 5e-6, at 0.8 of 5e-8.
 Null text counts as empty; a document without words is linked with nothing. Rows that share a doc_id
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajq.llm.common import Words, mix, shingles, slices, stored
@@ -41,6 +42,8 @@ REGISTERS, ROWS = 1 << BUCKET_BITS, 4
 BANDS = REGISTERS // ROWS
 #: Standard errors that an estimate may lie below the threshold.
 MARGIN = 5.0
+#: Candidates that a node confirms in each round of the search through unresolved bands; the last round leaves none out.
+SEARCH = (1, 8, 64, None)
 #: Members of a band that one block holds.
 BLOCK = 512
 
@@ -172,8 +175,11 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("c_a <> c_b").drop("c_a", "c_b")
 
 
-def unresolved(members: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of bands that span several components; a lies outside the component of the band's smallest node."""
+def unresolved(members: DataFrame, comps: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of bands that span several components; a lies outside the component of the band's smallest node.
+
+    Of each a only the ``most`` likeliest, None: all.
+    """
     at = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = at.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(F.col("node") == F.col("head"), F.col("component"))).alias("major"))
     open_ = at.join(split.where("m > 2 and low < high"), "key")
@@ -201,18 +207,25 @@ def unresolved(members: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFr
                     held.append(part[1:])
                     continue
                 node, comp, minor, head, n, reg = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0)] * 6
-                a, b = [], []
+                a, b, e = [], [], []
                 for k in range(j - i):  # one visitor against the block
                     other = (comp != part[2][k]) & ~head & (~minor | (node > part[1][k]))
                     if part[4][k] or not other.any():
                         continue
                     t = np.flatnonzero(other)
-                    ok = likely(np.broadcast_to(part[6][k], (len(t), REGISTERS)), reg[t], np.full(len(t), part[5][k]), n[t])[1]
-                    a += [int(part[1][k])] * int(ok.sum())
-                    b += node[t[ok]].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    estimate, ok = likely(np.broadcast_to(part[6][k], (len(t), REGISTERS)), reg[t], np.full(len(t), part[5][k]), n[t])
+                    hit = np.flatnonzero(ok)
+                    hit = hit[np.argsort(-estimate[hit], kind="stable")[:most]]
+                    a += [int(part[1][k])] * len(hit)
+                    b += node[t[hit]].tolist()
+                    e += estimate[hit].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], ["a", "b", "estimate"])
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    found = ordered.mapInArrow(run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("estimate"), "b"))
+        found = found.withColumn("place", place).where(F.col("place") <= most)
+    return found.select("a", "b")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -235,11 +248,14 @@ def clusters(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         edges = edges.unionAll(more)
         comps = components(edges)
-    left = stored(unresolved(members, comps, nodes), "pairs")
-    if not left.isEmpty():
+    for most in SEARCH:
+        left = stored(unresolved(members, comps, nodes, most), "pairs")
+        if left.isEmpty():
+            break
         last = stored(confirmed(left, full_sets(docs, left.select(F.col("a").alias("node")).unionAll(left.select("b")))), "edges")
         if not last.isEmpty():
-            comps = components(edges.unionAll(last))
+            edges = edges.unionAll(last)
+            comps = components(edges)
     of_set = nodes.select("set_key", "node").join(comps, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     found = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
