@@ -63,9 +63,6 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
     """Pieces with their window in their partition; closed: the window is complete. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        gc.disable()
         part, encoder, windows = TaskContext.get().partitionId(), Encoder(tokenizer, end), Windows(size, most)
         waiting: dict[int, list[tuple]] = {}
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "window", "offset", "closed"]

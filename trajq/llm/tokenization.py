@@ -7,6 +7,7 @@ text; a piece that was seen before costs a dictionary lookup.
 
 from __future__ import annotations
 
+import gc
 import re
 from itertools import chain, repeat
 
@@ -33,7 +34,7 @@ class Encoder:
     ``most`` bounds the remembered pieces; beyond it the memory starts afresh.
     """
 
-    def __init__(self, path: str, end: int, most: int = 400_000):
+    def __init__(self, path: str, end: int, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end, most
@@ -107,8 +108,18 @@ class Encoder:
         return whole
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the collector rests meanwhile, since what is remembered holds no cycles."""
+        gc.disable()
+        try:
+            return self.encoded(texts)
+        finally:
+            gc.enable()
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.code) > self.most:
             self.forget()
+        elif len(self.words) > self.most // 2:
+            self.words.clear()
         cut = [self.pieces(t) for t in texts]
         every = list(chain.from_iterable(cut))
         codes = np.fromiter(map(self.code.get, every, repeat(-1)), np.int32, len(every))

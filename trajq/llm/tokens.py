@@ -86,9 +86,6 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, vocabulary: int) -> Dat
     """One row per document with its ids, packed, and one row (n = -1) per task with its counts of ids. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        gc.disable()  # the remembered words hold no cycles
         encoder, counts = Encoder(tokenizer, end), np.zeros(vocabulary, np.int64)
         for batch in slices(batches):
             keys = batch.column(0).to_pylist()
