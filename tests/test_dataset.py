@@ -249,14 +249,14 @@ def latents(spark):
 
 def test_contrastive_error(spark):
     rows, df = latents(spark)
-    got = {r.id: r.error for r in ev.contrastive_error(ev.pools(df, "id", 8), valid=F.col("valid"), temperature=0.5).collect()}
+    got = {r.id: r.error for r in ev.contrastive_error(df.withColumn("pool", F.floor(F.col("id") / 8)), pool=["pool"], valid=F.col("valid"), temperature=0.5, tile=3).collect()}
     keep = [r for r in rows if r[3]]
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     logits = unit(np.array([r[1] for r in keep])) @ unit(np.array([r[2] for r in keep])).T / 0.5
     ce = lambda m: np.log(np.exp(m).sum(1)) - np.diag(m)
     want = 0.5 * (ce(logits) + ce(logits.T))
     assert [got[r[0]] for r in keep] == pytest.approx(want.tolist()) and set(got) == {0, 1, 3}
-    assert [r.error for r in ev.contrastive_error(ev.pools(df.where("id = 0"), "id", 8)).collect()] == [0.0]
+    assert [r.error for r in ev.contrastive_error(df.where("id = 0")).collect()] == [0.0]
 
 
 def corr(x, y):

@@ -60,26 +60,18 @@ def _(spark, sf):
     return rounded(ev.prediction_summary(s), ["mae", "zero_mae", "active_mae", "active_zero_mae", "macro_episode_mae"])
 
 
-POOL_SQL = f"""{FRAMES_SQL}, v AS (SELECT vec_id AS id, vec_id - vec_id % 64 AS pool, state AS z, action AS s FROM frames WHERE vec_id % 5 <> 0),
-pair AS (SELECT a.pool, a.id, b.id AS other, list_cosine_similarity(a.z, b.s) / 0.5 AS l FROM v a JOIN v b ON a.pool = b.pool)"""
+POOL_SQL = f"""{FRAMES_SQL}, v AS (SELECT vec_id AS id, state AS z, action AS s FROM frames WHERE vec_id % 5 <> 0),
+pair AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.z, b.s) / 0.5 AS l FROM v a, v b)"""
 
 
 def pool(spark, sf):
-    f = frames(spark, sf).select(F.col("vec_id").alias("id"), F.col("state").alias("z"), F.col("action").alias("z_star"))
-    return ev.pools(f, "id", 64)
-
-
-@query("all_pairs_similarity", f"WITH {POOL_SQL} SELECT pool, id, row_number() OVER (PARTITION BY id ORDER BY other) - 1 AS pos, round(l, 6) AS similarity FROM pair")
-def _(spark, sf):
-    out = ev.pool_similarity(pool(spark, sf), valid=F.col("id") % 5 != 0, temperature=0.5)
-    out = out.select("pool", "id", F.posexplode("similarity").alias("pos", "s"))
-    return out.select("pool", "id", F.col("pos").cast("bigint").alias("pos"), F.round("s", 6).alias("similarity"))
+    return frames(spark, sf).select(F.col("vec_id").alias("id"), F.col("state").alias("z"), F.col("action").alias("z_star"))
 
 
 @query("contrastive_error", f"""WITH {POOL_SQL}, r AS (SELECT id, ln(sum(exp(l))) AS lr, max(l) FILTER (id = other) AS own FROM pair GROUP BY 1), c AS (SELECT other AS id, ln(sum(exp(l))) AS lc FROM pair GROUP BY 1)
   SELECT id, round(0.5 * ((lr - own) + (lc - own)), 6) AS error FROM r JOIN c USING (id)""")
 def _(spark, sf):
-    return rounded(ev.contrastive_error(pool(spark, sf), valid=F.col("id") % 5 != 0, temperature=0.5).drop("pool"), ["error"])
+    return rounded(ev.contrastive_error(pool(spark, sf), valid=F.col("id") % 5 != 0, temperature=0.5), ["error"])
 
 
 def latents(spark, sf):

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajq.plans.ordered import BUCKET, HOUR_NS, bucket_start
+from trajq.plans.ordered import BUCKET, HOUR_NS, bucket_start, dealt
 
 
 def asof_wide(
@@ -56,7 +56,7 @@ def asof_wide(
     local = {f"_p_{s}": F.last(v, ignorenulls=True).over(past) for s, v in of.items()}
     if forward:
         local |= {f"_n_{s}": F.last(v, ignorenulls=True).over(coming) for s, v in of.items()}
-    rows = u.withColumns(local).where(is_tick)
+    rows = dealt(u, keys).withColumns(local).where(is_tick)
 
     edges = [F.max(v).alias(f"_hi_{s}") for s, v in of.items()]
     if forward:

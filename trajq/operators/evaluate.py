@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajq.functions.vectors import dot, norm
-from trajq.plans.ordered import bucket_start
+from trajq.plans.lineage import checkpoint, measured
 
 # Slots of the scored groups, active-target threshold, ratio bands.
 GROUPS = {"xyz": (10, 13), "rot6d": (13, 19), "hand": (20, 26)}
@@ -62,57 +62,64 @@ def prediction_summary(scored: DataFrame, *, episode: str = "episode_index") ->
         F.try_divide(F.sum("za"), F.sum("na")).alias("active_zero_mae"), F.avg("_m").alias("macro_episode_mae"))
 
 
-def pools(df: DataFrame, index: str, size: int) -> DataFrame:
-    """Number the contrastive pools: consecutive blocks of at most ``size`` rows of a unique index."""
-    return df.withColumn("pool", bucket_start(F.col(index), size))
+TILE = 1024
 
 
-def _similarity_udf(temperature: float, errors: bool):
+def _tile_udf(temperature: float):
+    """Row and column log-sums of one tile of the cosine matrix; nested, so executors need only numpy."""
     def unit(x):
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.maximum(n, 1e-12)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def logsumexp(a, axis):
-        top = a.max(axis=axis, keepdims=True)
-        return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
+    def sums(a, axis):
+        top = a.max(axis=axis)
+        return top, np.exp(a - np.expand_dims(top, axis)).sum(axis=axis)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        logits = unit(np.stack(pdf["z"])) @ unit(np.stack(pdf["z_star"])).T / temperature
-        out = pdf[["pool", "id"]].copy()
-        if not errors:
-            out["similarity"] = list(logits)
-            return out
-        own = np.diagonal(logits)
-        n = len(pdf)
-        out["error"] = 0.5 * ((logsumexp(logits, 1) - own) + (logsumexp(logits, 0) - own)) if n >= 2 else 0.0
-        return out
+        rows, cols = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        names = ["_pool", "id", "side", "own", "top", "total"]
+        if rows.empty or cols.empty:
+            return pd.DataFrame([], columns=names)
+        logits = unit(np.stack(rows["v"])) @ unit(np.stack(cols["v"])).T / temperature
+        own = pd.Series(np.nan, index=rows.index)
+        at = {i: k for k, i in enumerate(cols["id"])}
+        for k, i in enumerate(rows["id"]):
+            if i in at:
+                own.iloc[k] = logits[k, at[i]]
+        out = []
+        for side, part, axis in ((0, rows, 1), (1, cols, 0)):
+            top, total = sums(logits, axis)
+            out.append(pd.DataFrame({"_pool": part["_pool"], "id": part["id"], "side": side, "own": own if side == 0 else np.nan, "top": top, "total": total}))
+        return pd.concat(out)[names]
 
     return run
 
 
-def _per_pool(df: DataFrame, z: str, z_star: str, valid: Column | None, fn, schema: str) -> DataFrame:
-    kept = df if valid is None else df.where(valid)
-    return kept.select("pool", "id", F.col(z).alias("z"), F.col(z_star).alias("z_star")).groupBy("pool").applyInPandas(fn, schema)
-
-
-def pool_similarity(df: DataFrame, *, z: str = "z", z_star: str = "z_star", valid: Column | None = None, temperature: float = 1.0) -> DataFrame:
-    """Rows of the cosine matrix of each pool, one array per vector in id order.
-
-    Pools are bounded (see ``pools``): one task holds pool x pool numbers, never an unbounded
-    group, and a row stays one row.
-    """
-    return _per_pool(df, z, z_star, valid, _similarity_udf(temperature, False), "pool bigint, id bigint, similarity array<double>")
-
+def contrastive_error(df: DataFrame, *, pool: Sequence[str] = (), z: str = "z", z_star: str = "z_star", valid: Column | None = None, temperature: float = 1.0, tile: int = TILE) -> DataFrame:
+    """Half the row plus half the column cross-entropy of each valid vector within its whole pool.
 
-def contrastive_error(df: DataFrame, *, z: str = "z", z_star: str = "z_star", valid: Column | None = None, temperature: float = 1.0) -> DataFrame:
-    """Half the row plus half the column cross-entropy of each valid vector within its bounded pool.
-
-    Pools with fewer than two valid vectors give 0.
+    ``pool``: the caller's keys, none means one pool; ``id`` is unique in a pool. The matrix of a pool
+    is summed in tiles: a task holds ``tile`` x ``tile`` numbers and gives one partial log-sum per row
+    and column, which are then merged; any tile size gives the same errors. The work grows with the
+    square of a pool, as the measure does; the data sent grows with rows x (rows / tile). Pools with
+    fewer than two valid vectors give 0.
     """
     if not (temperature > 0 and np.isfinite(temperature)):
         raise ValueError("temperature must be finite and positive")
-    return _per_pool(df, z, z_star, valid, _similarity_udf(temperature, True), "pool bigint, id bigint, error double")
+    kept = df if valid is None else df.where(valid)
+    key = F.to_json(F.struct(*pool)) if pool else F.lit("")
+    kept = checkpoint(kept.select(*pool, key.alias("_pool"), "id", F.col(z).alias("_a"), F.col(z_star).alias("_b")))
+    sizes = measured(kept.groupBy("_pool").agg(F.count("*").alias("_n")).withColumn("_t", F.ceil(F.col("_n") / tile).cast("int")))
+    at = kept.join(sizes, "_pool").withColumn("_own", F.pmod(F.xxhash64("id"), "_t").cast("int"))
+    every = F.sequence(F.lit(0), F.col("_t") - 1)
+    rows = at.select("_pool", "id", F.lit(0).alias("side"), F.col("_a").alias("v"), F.col("_own").alias("i"), F.explode(every).alias("j"))
+    cols = at.select("_pool", "id", F.lit(1).alias("side"), F.col("_b").alias("v"), F.explode(every).alias("i"), F.col("_own").alias("j"))
+    parts = rows.unionAll(cols).groupBy("_pool", "i", "j").applyInPandas(_tile_udf(temperature), "_pool string, id bigint, side int, own double, top double, total double")
+    parts = parts.groupBy("_pool", "id", "side").agg(F.max("own").alias("own"), F.collect_list(F.struct("top", "total")).alias("p"))  # one entry per tile
+    best = F.array_max(F.transform("p", lambda x: x["top"]))
+    merged = parts.withColumn("_m", best).withColumn("lse", F.col("_m") + F.log(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["top"] - F.col("_m")))))
+    per = merged.groupBy("_pool", "id").agg(F.sum("lse").alias("_l"), F.max("own").alias("_o"))
+    error = F.when(F.col("_n") >= 2, 0.5 * F.col("_l") - F.col("_o")).otherwise(0.0)
+    return at.select(*pool, "_pool", "id", "_n").join(per, ["_pool", "id"]).select(*pool, "id", error.alias("error"))
 
 
 def pair_metrics(a: Column, b: Column) -> tuple[Column, Column]:

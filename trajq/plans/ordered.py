@@ -32,6 +32,15 @@ def _names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have a bucket, dealt out by (keys, bucket).
+
+    A window over (keys, bucket) is content with rows that an earlier join has dealt out by the keys
+    alone, and would then sort a whole key in one task; hence the explicit repartition.
+    """
+    return df.repartition(*[F.col(k) for k in keys], F.col(BUCKET))
+
+
 def _global_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
@@ -58,7 +67,7 @@ def fill(
     sort = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
     part = Window.partitionBy(*keys, BUCKET).orderBy(*sort)
     local = part.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = d.withColumns({f"_l_{n}": F.last(v, ignorenulls=True).over(local) for n, v in values.items()})
+    rows = dealt(d, keys).withColumns({f"_l_{n}": F.last(v, ignorenulls=True).over(local) for n, v in values.items()})
     edge = F.min if backward else F.max
     summary = d.groupBy(*keys, BUCKET).agg(
         *[edge(F.when(v.isNotNull(), F.struct(*order, v.alias("_v")))).alias(f"_e_{n}") for n, v in values.items()]
@@ -89,7 +98,7 @@ def running_sum(
     df, keys = _global_key(df, list(keys))
     d = df.withColumn(BUCKET, bucket_start(F.col(order[0]), size))
     local = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = d.withColumns({f"_l_{n}": F.sum(v).over(local) for n, v in values.items()})
+    rows = dealt(d, keys).withColumns({f"_l_{n}": F.sum(v).over(local) for n, v in values.items()})
     totals = d.groupBy(*keys, BUCKET).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
     outer = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, BUCKET, *[F.sum(f"_t_{n}").over(outer).alias(f"_c_{n}") for n in values])
@@ -139,7 +148,7 @@ def neighbours(
     rows = df.withColumn("_target", F.explode(targets)).select(
         *[F.col(f"`{c}`") for c in df.columns], F.col("_target.b").alias(BUCKET), F.col("_target.c").alias("_core")
     )
-    return rows, [*keys, BUCKET]
+    return dealt(rows, keys), [*keys, BUCKET]
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -191,7 +200,7 @@ def runs(
     """
     keys, agg = list(keys), dict(agg or {})
     before = df.columns
-    d = df.withColumn(BUCKET, bucket_start(F.col(index), size))
+    d = dealt(df.withColumn(BUCKET, bucket_start(F.col(index), size)), keys)
     w = Window.partitionBy(*keys, BUCKET).orderBy(index)
     fresh = F.coalesce((F.col(index) - F.lag(index).over(w) > max_step).cast("int"), F.lit(1))
     d = d.withColumn("_new", fresh).withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -15,31 +15,33 @@ OUTPUT = "rollout string, t_ns bigint, delta array<double>, is_baseline boolean,
 BASELINE = "t_ns bigint, value array<double>"
 
 
-def _processor() -> StatefulProcessor:
+def _processor(idle_ms: int | None) -> StatefulProcessor:
     """Nested, so that executors need only numpy and pandas."""
 
     class Baseline(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.first = handle.getValueState("baseline", BASELINE)
+            self.first = handle.getValueState("baseline", BASELINE, ttlDurationMs=idle_ms)
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
             pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t_ns", "reset"], ascending=[True, False], kind="stable")
             base = self.first.get() if self.first.exists() else None
-            out = []
-            for t, value, reset in zip(pdf["t_ns"], pdf["value"], pdf["reset"]):
-                if reset:
+            values, t = np.array(pdf["value"].tolist(), dtype=float), pdf["t_ns"].to_numpy()
+            resets = np.flatnonzero(pdf["reset"].to_numpy(dtype=bool))
+            parts = []
+            for a, b in zip([0, *(resets + 1)], [*resets, len(pdf)]):  # the frames between two resets
+                if a > 0:
                     base = None
+                if a == b:
                     continue
-                fresh = base is None
-                if fresh:
-                    base = (int(t), [float(v) for v in value])
-                delta = np.asarray(value, float) - np.asarray(base[1], float)
-                out.append((key[0], int(t), [float(v) for v in delta], fresh, int(t) < base[0]))
+                fresh = np.zeros(b - a, bool)
+                if base is None:
+                    base, fresh[0] = (int(t[a]), values[a].tolist()), True
+                parts.append(pd.DataFrame({"rollout": key[0], "t_ns": t[a:b], "delta": (values[a:b] - np.asarray(base[1])).tolist(), "is_baseline": fresh, "late": t[a:b] < base[0]}))
             if base is None:
                 self.first.clear()
             else:
                 self.first.update((base[0], list(base[1])))
-            yield pd.DataFrame(out, columns=["rollout", "t_ns", "delta", "is_baseline", "late"])
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame([], columns=["rollout", "t_ns", "delta", "is_baseline", "late"])
 
         def close(self) -> None:
             pass
@@ -47,13 +49,15 @@ def _processor() -> StatefulProcessor:
     return Baseline()
 
 
-def stream_baseline_delta(frames: DataFrame) -> DataFrame:
+def stream_baseline_delta(frames: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     """Value minus the rollout's baseline: the first frame, until a ``reset`` row clears it.
 
-    ``frames``: rollout string, t_ns, value, reset. State is one vector per open rollout. Rows
+    ``frames``: rollout string, t_ns, value, reset. State is one vector per open rollout; with
+    ``idle_ms`` it expires that long after the rollout's last frames. Expiry keeps a query alive for its
+    clock, so leave it out with the ``availableNow`` trigger, which would never end. Rows
     older than the baseline are kept and flagged ``late``. Within one micro-batch rows are taken
     in time order, a reset before a frame of the same time. A task holds the rows of one rollout
     of one micro-batch, which the source bounds (``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
     return frames.select("rollout", "t_ns", "value", F.coalesce("reset", F.lit(False)).alias("reset")).groupBy("rollout").transformWithStateInPandas(
-        statefulProcessor=_processor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+        statefulProcessor=_processor(idle_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
