@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from trajq.plans.lineage import scratch_dir
@@ -60,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     """The same rows in batches of about ``most`` bytes of text (a longer text stands alone)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.zeros(batch.num_rows, np.int64) if batch.num_rows == 0 else np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        sizes = np.zeros(batch.num_rows, np.int64) if batch.num_rows == 0 else np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         at, total = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if i > at and total + n > most:

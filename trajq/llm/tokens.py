@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajq.llm.common import open_file, shared_folder, slices, stored, write_file
@@ -157,9 +157,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, vocabulary
     return stored(ordered.mapInArrow(run, "part long, number long, file string, docs long, ids long, before long"), "token-files")
 
 
-def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+def read_ids(folder: str, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    del spark
     parts = files.groupBy("part").agg(F.sum("ids").alias("n"))  # one row per partition of the writer
     first = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     jobs = files.join(first, "part").select("file", (F.col("base") + F.col("before")).alias("start")).repartition(max(1, files.count()))
@@ -183,4 +182,4 @@ def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of all texts to a new shared folder and read them back."""
     folder = shared_folder(docs.sparkSession, "ids")
-    return read_ids(docs.sparkSession, folder, write_ids(docs, folder, tokenizer, end, vocabulary, file_ids))
+    return read_ids(folder, write_ids(docs, folder, tokenizer, end, vocabulary, file_ids))
