@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajq.bindings.data import (
-    FIVE_DAYS_NS, GRID_SQL, HALF_DAY_NS, NEAR_SQL, STREAMS, STREAMS_SQL, WINDOW_SQL, streams, table,
+    FIVE_DAYS_NS, GRID_SQL, HALF_DAY_NS, NEAR_SQL, STREAMS, STREAMS_SQL, WINDOW_SQL, streams,
 )
 from trajq.operators import asof, gate
 

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from trajq.bindings.data import FRAMES_SQL, frames, table
 from trajq.bindings.motion import ISLANDS_SQL, conversation_episodes, series
-from trajq.bindings.statistics import rounded
 from trajq.operators import dataset as ds
-from trajq.operators import rows as rowops
 from trajq.plans.ordered import runs
 
 QUERIES, SQL = {}, {}

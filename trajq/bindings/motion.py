@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajq.bindings.alignment import STEP, TOL_NS, near
-from trajq.bindings.data import DAY_NS, FIVE_DAYS_NS, FRAMES_SQL, GRID_SQL, HALF_DAY_NS, NEAR_SQL, STREAMS_SQL, frames, streams, table
+from trajq.bindings.alignment import TOL_NS, near
+from trajq.bindings.data import DAY_NS, FIVE_DAYS_NS, FRAMES_SQL, NEAR_SQL, STREAMS_SQL, frames, streams, table
 from trajq.operators import asof, rows, windows
 from trajq.plans.ordered import row_index
 

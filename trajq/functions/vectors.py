@@ -136,18 +136,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def l2_normalize(a: Column) -> Column:
-    n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda v: v / n)
-
-
-def mean_pool(tokens: Column) -> Column:
-    """Mean over the rows of an array of vectors."""
-    return F.transform(
-        F.element_at(tokens, 1), lambda _, i: F.aggregate(tokens, F.lit(0.0), lambda s, row: s + row[i]) / F.size(tokens)
-    )
-
-
 def masked_view_mean(views: Sequence[Column], masks: Sequence[Column]) -> tuple[Column, Column]:
     """Mean over the valid views only, and whether any view is valid."""
     flags = [F.coalesce(m, F.lit(False)) for m in masks]

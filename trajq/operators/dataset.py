@@ -38,11 +38,6 @@ def task_to_prompt(frames: DataFrame, tasks: DataFrame, *, strict: bool = True)
     return j.withColumn("prompt", F.when(F.col("prompt").isNull(), F.raise_error(message)).otherwise(F.col("prompt")))
 
 
-def default_prompt(df: DataFrame, prompt: str | None) -> DataFrame:
-    """Add a prompt column where there is none."""
-    return df if prompt is None or "prompt" in df.columns else df.withColumn("prompt", F.lit(prompt))
-
-
 # Inventory
 
 def file_inventory(files: DataFrame, required: Sequence[str], *, key: str = "recording_id", file: str = "file") -> DataFrame:
@@ -159,12 +154,6 @@ def stride_sample(episodes: DataFrame, *, stride: int = 5, horizon: int = 50, in
     return e.select(index, "from_index", frame.alias("frame_index")).select(index, "frame_index", (F.col("from_index") + F.col("frame_index")).alias("row"))
 
 
-def stride_rows(frames: DataFrame, episodes: DataFrame, *, stride: int, margin: int, keys: Sequence[str] = ("episode_index",)) -> DataFrame:
-    """The same selection as a filter on existing frames."""
-    j = frames.join(episodes.select(*keys, "length"), list(keys))
-    return j.where((F.col("frame_index") % stride == 0) & (F.col("frame_index") < F.col("length") - margin)).drop("length")
-
-
 # Columns
 
 def _exists(schema: T.StructType, path: str) -> bool:

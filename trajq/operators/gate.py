@@ -38,10 +38,6 @@ def common_window(
     )
 
 
-def tick_count(start: Column, end: Column, step_ns: float) -> Column:
-    return F.greatest(F.lit(0), F.ceil((end - start) / F.lit(step_ns))).cast("bigint")
-
-
 def uniform_grid(
     windows: DataFrame,
     keys: Sequence[str] = ("recording_id",),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import broadcast, struct
 
 
@@ -39,7 +40,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What is broadcast holds at most so many rows and, by the width of their types, bytes.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
+
+
+def width(kind: T.DataType) -> int:
+    """Bytes that a value of a type is reckoned with; 64 entries for an array, 16 for a map."""
+    if isinstance(kind, T.StructType):
+        return sum(width(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 64 * width(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 16 * (width(kind.keyType) + width(kind.valueType))
+    return 256 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
 
 
 def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -50,7 +64,8 @@ def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     the checkpoint folder and counted. Larger summaries are joined by a shuffle.
     """
     done = checkpoint(df)
-    return broadcast(done) if done.count() <= max_rows else done
+    rows = done.count()
+    return broadcast(done) if rows <= max_rows and rows * width(done.schema) <= SMALL_BYTES else done
 
 
 def single(df: DataFrame) -> Column:
