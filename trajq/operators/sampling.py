@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajq.plans.lineage import measured
+
 
 def hash_order(keys: Sequence[str], seed: int) -> Column:
     """Seeded pseudo-random order of rows by their key."""
@@ -18,9 +20,16 @@ def hash_order(keys: Sequence[str], seed: int) -> Column:
 
 
 def seeded_sample(df: DataFrame, groups: Sequence[str], id_cols: Sequence[str], k: int, *, seed: int = 42) -> DataFrame:
-    """Up to k distinct ids per group with all their rows, without replacement."""
-    w = Window.partitionBy(*groups).orderBy(hash_order([*groups, *id_cols], seed), *id_cols)
-    return df.withColumn("_rank", F.dense_rank().over(w)).where(F.col("_rank") <= k).drop("_rank")
+    """Up to k distinct ids per group with all their rows, without replacement.
+
+    Only the distinct ids are ranked; the rows themselves are not sorted.
+    """
+    keys = [*groups, *id_cols]
+    w = Window.partitionBy(*groups).orderBy(hash_order(keys, seed), *id_cols)
+    ids = df.select(*keys).distinct().withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+    chosen = measured(ids).alias("chosen")
+    same = [F.col(f"all.{c}").eqNullSafe(F.col(f"chosen.{c}")) for c in keys]
+    return df.alias("all").join(chosen, same, "left_semi")
 
 
 def sample_n(df: DataFrame, id_cols: Sequence[str], n: int, *, seed: int = 42) -> DataFrame:
