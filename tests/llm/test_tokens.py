@@ -33,6 +33,13 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert [x.tolist() for x in encoder.ids(texts[at : at + 100])] == [whole(t) for t in texts[at : at + 100]]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_white_space_does_not_stand_in_for_merged_line_ends(name):
+    whole, encoder = ids_of(name, 7), Encoder(public_tokenizers.path(name), 7)
+    texts = ["a\n\n\nb\tc\td", "a\tb\tc\n\n", "a\n\n b\tc\td", "a\n\nb\xa0c", "a\r\n\nb\rc", "  a\tb\tc", "a b\nc d", "\n", ""]
+    assert [x.tolist() for x in encoder.ids(texts)] == [whole(t) for t in texts]
+
+
 def test_ranks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000, 100_003):

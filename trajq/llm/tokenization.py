@@ -96,7 +96,7 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if "\0" not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single spaces and line ends only
+        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line ends only
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         first, *rest = text.split(" ")
         whole = [first]
