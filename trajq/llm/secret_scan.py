@@ -3,7 +3,9 @@
 A candidate is a run of 20 or more key characters. For each character class, a window slides over
 the stretches of the candidate in that class; its Shannon entropy follows from counts of which one
 goes up and one down at each step. Windows at or above the threshold of the class join into a span,
-unless an allow-list names the candidate as harmless or a fixed pattern already covers it.
+unless an allow-list names the candidate as harmless. A placeholder acquits the stretch that it is part
+of; standing alone between separators it only cuts the stretch in two. Of a span, what fixed patterns
+do not cover is reported, in as many parts as are left.
 
 Spans are (start, end, kind) in code points, end exclusive. Null text counts as empty and has none;
 repeated rows are scanned each on its own; ``redacted`` keeps all other columns.
@@ -40,12 +42,14 @@ CLASSES = (
     (re.compile(r"[A-Za-z0-9]+"), 3.6),
     (re.compile(r"[A-Za-z0-9+/=_-]+"), 3.9),
 )
-#: Candidates that are no secrets: UUIDs, paths and hyphenated words, runs of one alphabet in order, placeholders.
+#: Candidates that are no secrets: UUIDs, paths and hyphenated words.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"([A-Za-z]+|[0-9]+)([/_=+-]+([A-Za-z]+|[0-9]+))*[/_=+-]*"),
-    re.compile(r".*(0123456789|abcdefghij|ABCDEFGHIJ|EXAMPLE|example|xxxxxx|XXXXXX).*"),
 )
+#: Runs of one alphabet in order and placeholders: no part of a secret's stretch.
+PLACEHOLDER = re.compile(r"0123456789|abcdefghij|ABCDEFGHIJ|EXAMPLE|example|xxxxxx|XXXXXX")
+ALONE = re.compile(r"(?<![A-Za-z0-9])(?:0123456789|abcdefghij|ABCDEFGHIJ|EXAMPLE|example|x{6,}|X{6,})(?![A-Za-z0-9])")
 BYTES_KEY = np.array([bool(re.fullmatch(r"[A-Za-z0-9+/=_-]", chr(i))) for i in range(256)]) & (np.arange(256) < 128)
 BYTES_HEX = np.array([chr(i) in "0123456789abcdef" for i in range(256)])
 
@@ -89,9 +93,12 @@ def entropy_spans(candidate: str, at: int, allowed: tuple = ALLOWED) -> list[Spa
     if any(a.fullmatch(candidate) for a in allowed):
         return []
     found: list[tuple[int, int]] = []
-    for chars, least in CLASSES:
-        for m in chars.finditer(candidate):
-            found += [(at + m.start() + a, at + m.start() + b) for a, b in random_windows(m.group(), WINDOW, least)]
+    cuts = [x for m in ALONE.finditer(candidate) for x in m.span()]
+    for begin, stop in zip([0, *cuts[1::2]], [*cuts[::2], len(candidate)]):
+        for chars, least in CLASSES:
+            for m in chars.finditer(candidate, begin, stop):
+                if not PLACEHOLDER.search(m.group()):
+                    found += [(at + m.start() + a, at + m.start() + b) for a, b in random_windows(m.group(), WINDOW, least)]
     joined: list[list[int]] = []
     for a, b in sorted(found):
         if joined and a <= joined[-1][1]:
@@ -101,6 +108,17 @@ def entropy_spans(candidate: str, at: int, allowed: tuple = ALLOWED) -> list[Spa
     return [Span(a, b, "entropy") for a, b in joined]
 
 
+def outside(span: Span, covered: list[Span]) -> list[Span]:
+    """The parts of a span that no other, sorted by start, covers."""
+    parts, at = [], span.start
+    for c in covered:
+        if c.end > at and c.start < span.end:
+            if c.start > at:
+                parts.append(Span(at, c.start, span.kind))
+            at = c.end
+    return parts + [Span(at, span.end, span.kind)] if at < span.end else parts
+
+
 def runs(inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
@@ -131,7 +149,7 @@ def find(texts: list[str], allowed: tuple = ALLOWED) -> list[list[Span]]:
         if candidates[d]:
             covered = sorted(found[d])
             for a, b in candidates[d]:
-                found[d] += [s for s in entropy_spans(text[a:b], a, allowed) if not any(c.start < s.end and s.start < c.end for c in covered)]
+                found[d] += [part for s in entropy_spans(text[a:b], a, allowed) for part in outside(s, covered)]
         if len(found[d]) > 1:
             found[d].sort(key=lambda s: (s.start, KINDS.index(s.kind)))
     return found
