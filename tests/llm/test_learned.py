@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, mixing, neighbours and the pipeline."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,6 +167,24 @@ def test_neighbours_of_odd_rows(spark):
     assert few.count() == 2
 
 
+def test_neighbours_of_repeated_queries(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(200)]
+    rows += [rows[20]] * 19 + [rows[40]] + [(60, [float(v) for v in rng.normal(size=6)])]  # 20 and 2 copies; two vectors of one vec_id
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=64, queries=8).toPandas()
+    assert got.columns.tolist() == ["query_id", "rank", "vec_id", "score"]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q in range(0, 200, 20):
+        own = got[got.query_id == q]
+        assert own.groupby("rank").size().tolist() == [int((ids == q).sum())] * 20
+        want = Counter()
+        for v in x[ids == q]:
+            score = (x * v).sum(1)
+            want.update([(ids[i], round(score[i], 9)) for i in np.lexsort([ids, -score]) if ids[i] != q][:20])
+        assert (want & Counter(zip(own.vec_id, own.score.round(9)))).total() >= 0.9 * want.total()
+    assert got[got.query_id == 20].vec_id.nunique() >= 19  # the two rows of 40 count each on its own
+
+
 def test_pipeline_stages(spark, sf):
     docs = queries.documents(spark, sf)
     left = docs

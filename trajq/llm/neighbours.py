@@ -13,7 +13,7 @@ block of rows, and only the k best of a visit are emitted.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most
 take no part. A query's own vec_id is no candidate. Equal scores are ordered by vec_id; repeated
-rows count each on its own. Too few rows give all candidates; none give an empty result.
+rows count each on its own: as candidates, and as queries, each of which gets k hits under its query_id. Too few rows give all candidates; none give an empty result.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK,
     rows = usable(vectors)
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     facts = rows.agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max(norm2).alias("m")).first()
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, copy long, vec_id long, score double"
     if not facts["n"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
@@ -158,7 +158,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK,
     is_query = F.col("vec_id") % every == 0
     own_rows = F.transform(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda b: b * row_blocks + F.pmod(spread, F.lit(row_blocks)))
     own_queries = F.transform(F.sequence(F.lit(0), F.lit(row_blocks - 1)), lambda b: F.pmod(spread, F.lit(query_blocks)) * row_blocks + b)
-    visits = rows.select("vec_id", "v", F.lit(0).alias("role"), F.explode(own_rows).alias("visit")).unionAll(rows.where(is_query).select("vec_id", "v", F.lit(1).alias("role"), F.explode(own_queries).alias("visit")))
+    asked = rows.where(is_query).withColumn("copy", F.monotonically_increasing_id())  # rows are stored, so a row read again has the same number
+    visits = rows.select("vec_id", "v", F.lit(0).alias("role"), F.explode(own_rows).alias("visit"), F.lit(0).cast("long").alias("copy")).unionAll(asked.select("vec_id", "v", F.lit(1).alias("role"), F.explode(own_queries).alias("visit"), "copy"))
     n = row_blocks * query_blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +167,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK,
         for batch in batches:
             visit, role, key = (batch.column(i).to_numpy() for i in range(3))
             flat = batch.column(3)
+            copy = batch.column(4).to_numpy()
             values = flat.flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
             cuts = np.flatnonzero(np.diff(visit * 2 + role, prepend=-1))
             for i, j in zip(cuts, [*cuts[1:], batch.num_rows]):
@@ -181,7 +183,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK,
                     v, known = np.concatenate(parts), np.concatenate(ids)
                     index = Index(codes.of(v))
                 out = []
-                for q, own, code in zip(values[i:j], key[i:j].tolist(), codes.of(values[i:j], query=True)):
+                for q, own, number, code in zip(values[i:j], key[i:j].tolist(), copy[i:j].tolist(), codes.of(values[i:j], query=True)):
                     near = index.within(code, radius)
                     near = near[known[near] != own]
                     if len(near) < k:  # sparse surroundings: the ball grows until it holds k, or all
@@ -191,10 +193,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK,
                             near = index.within(code, wide)
                             near = near[known[near] != own]
                     found, score = best(known[near], v[near], q, k)
-                    out.append((np.full(len(found), own), found, score))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+                    out.append((np.full(len(found), own), np.full(len(found), number), found, score))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "copy", "vec_id", "score"])
 
-    ordered = visits.repartitionById(n, F.col("visit").cast("int")).sortWithinPartitions("visit", "role", "vec_id").select("visit", "role", "vec_id", "v")
+    ordered = visits.repartitionById(n, F.col("visit").cast("int")).sortWithinPartitions("visit", "role", "vec_id").select("visit", "role", "vec_id", "v", "copy")
     hits = ordered.mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
