@@ -102,6 +102,13 @@ def test_bayes_learns_what_rules_block(spark):
     assert got[1]["host_words"].startswith("best casino #1")
 
 
+def test_vocabulary_is_cut_at_a_frequency(spark):
+    words = [w for k, w in enumerate(("a", "b", "c", "d", "e")) for _ in range((40, 20, 20, 3, 1)[k])]
+    df = spark.createDataFrame([(i, "", f"<i>{w}</i>") for i, w in enumerate(words)], "page_id long, url string, html string")
+    assert url_filter.unigrams(df, most=4) == {"a": 40, "b": 20, "c": 20, "d": 3}
+    assert url_filter.unigrams(df, most=2) == {"a": 40} and url_filter.unigrams(df, most=0) == {}
+
+
 def test_odd_urls(spark):
     schema = "page_id long, url string, html string, host string, path string, rule string, ruled string, word string, m string"
     odd = [None, "", "no scheme", "://", "a://b://c/d?e", "http://Example.NET/en/x", "http://example.net", "http://sub.example.net/en", "http://myexample.net/en/", "HTTP://ÄÉ.org/fr/?q", "http://net/", "http://.net/", "http://x.example.com/de/a#b",

@@ -5,7 +5,7 @@ Viterbi search finds the cheapest way to read a run of letters as known words an
 grows with their length, unknown pieces. The segmented tokens of host and path, kept apart, are scored
 by multinomial naive Bayes. It is trained on all pages that a rule decides, and judges those that none does.
 
-Models are bounded: the ``VOCABULARY`` most frequent words of at most ``LONGEST`` letters, counted over all pages,
+Models are bounded: at most ``VOCABULARY`` words of at most ``LONGEST`` letters, the most frequent over all pages,
 unknown pieces in ``BUCKETS`` classes, digits by how many there are; so at most 2 * (VOCABULARY + BUCKETS + 10)
 tokens are counted by class. Pages are not shuffled; names that recur in a task are split once.
 
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajq.llm.common import stored
+
 VOCABULARY = 65_536
 LONGEST = 24
 BUCKETS = 4096
@@ -69,11 +71,21 @@ def located(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def unigrams(pages: DataFrame, column: str = "html", most: int = VOCABULARY, longest: int = LONGEST) -> dict[str, int]:
-    """The most frequent words (lower-case letters) outside tags, with their counts over all pages; ties by the word."""
+    """The most frequent words (lower-case letters) outside tags, with their counts over all pages.
+
+    All words at least as frequent as a threshold 2 ** (k / 8), the lowest that at most ``most`` words pass. Only their
+    numbers by k and, once the threshold is known, they themselves reach the driver.
+    """
     text = F.lower(F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), "<[^>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where(F.length("word") <= longest)
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return {r["word"]: r["n"] for r in top.collect()}
+    counted = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.floor(F.log2("n") * 8)), "words")
+    least, total = None, 0
+    for r in sorted(counted.groupBy("k").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["k"]
+    return {} if least is None else {r["word"]: r["n"] for r in counted.where(F.col("k") >= least).select("word", "n").collect()}
 
 
 PARTS = re.compile(r"[^\W\d_]+|\d+")
