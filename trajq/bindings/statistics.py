@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajq.bindings.data import FRAMES_SQL, STREAMS_SQL, TACTILE_SQL, frames, streams, table, tactile
 from trajq.operators import padfit, sampling, stats
+from trajq.plans.lineage import checkpoint
 
 QUERIES, SQL = {}, {}
 
@@ -103,6 +104,21 @@ def _(spark, sf):
     return rounded(out.withColumn("dim", F.col("dim").cast("bigint")), ["min", "max", "mean", "std"])
 
 
+@query("merged_moments", f"""WITH {FRAMES_SQL}, u AS (SELECT episode_index, 'state' AS c, generate_subscripts(state, 1) - 1 AS dim, unnest(state) AS x FROM frames
+  UNION ALL SELECT episode_index, 'action', generate_subscripts(action, 1) - 1, unnest(action) FROM frames)
+  SELECT (episode_index % 3)::BIGINT AS part, c AS "column", dim::BIGINT AS dim, count(*) AS count, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std
+  FROM u GROUP BY GROUPING SETS ((episode_index % 3, c, dim), (c, dim))""")
+def _(spark, sf):
+    """Old and new batches of episodes, merged to three parts, and these to the whole."""
+    f = frames(spark, sf).withColumn("part", F.col("episode_index") % 3)
+    keys, columns = ["part", "episode_index"], ["state", "action"]
+    old, new = (stats.moment_rows(stats.column_entries(f.where(w), columns, keys), keys) for w in ("vec_id % 4 = 0", "vec_id % 4 <> 0"))
+    parts = checkpoint(stats.merge_moments(old.unionByName(new), ["part"]))
+    whole = stats.merge_moments(parts).withColumn("part", F.lit(None).cast("bigint"))
+    out = stats.moment_stats(parts.unionByName(whole)).select("part", "column", F.col("dim").cast("bigint").alias("dim"), "count", "min", "max", "mean", "std")
+    return rounded(out, ["min", "max", "mean", "std"])
+
+
 @query("delta_stats_check", f"""WITH {FRAMES_SQL}, m AS (SELECT dim, avg(x) AS mean FROM (SELECT generate_subscripts(action, 1) - 1 AS dim, unnest(action) AS x FROM frames) GROUP BY 1),
   v AS (SELECT list(mean ORDER BY dim) AS v FROM m)
   SELECT greatest(abs(v[11]), abs(v[12]), abs(v[13])) < 50 AS xyz_small, abs(v[14] - 1) < 0.3 AND abs(v[18] - 1) < 0.3 AS rot_near_identity FROM v""")

@@ -16,6 +16,7 @@ from trajq.operators import gate, padfit
 from trajq.operators.windows import episode_offsets
 from trajq.plans.lineage import scratch_dir
 from trajq.sources import canonical, files
+from trajq.sources.results import ResultStore
 from trajq.streaming.baseline import stream_baseline_delta
 from trajq.streaming.gate import stream_gate
 from trajq.streaming.moments import stream_moments
@@ -135,17 +136,71 @@ def canonical_dataset(spark, sf):
         (F.col("frame_index") / F.lit(30.0)).alias("timestamp"), "frame_index", "episode_index", (F.col("from_index") + F.col("frame_index")).alias("index"),
         F.lit(0).alias("task_index"))
     tasks = eps.select(F.lit(0).alias("task_index"), F.lit("move").alias("task")).distinct()
-    canonical.write_canonical(rows, eps, tasks, root)
+    sources = eps.select("episode_index", F.concat(F.lit("ep_"), F.col("episode_index").cast("string")).alias("source_episode"), (F.col("episode_index") * 7 + 3).alias("source_episode_id"))
+    dropped = table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_episode"), F.array(F.lit("excluded_by_file")).alias("reasons"))
+    canonical.write_canonical(rows, eps, tasks, root, sources=sources, dropped=dropped)
     return canonical.read_canonical(spark, root)
 
 
-@query("write_canonical", f"""WITH {FRAMES_SQL}, e AS (SELECT episode_index, count(*) AS n FROM frames GROUP BY 1), o AS (SELECT episode_index, sum(n) OVER (ORDER BY episode_index) - n AS f FROM e)
-  SELECT episode_index, frame_index, (f + frame_index)::BIGINT AS index, state[1]::FLOAT AS s0, action[32]::FLOAT AS a31, action[1] > 0 AS m0, (frame_index / 30.0::DOUBLE)::FLOAT AS timestamp
-  FROM frames JOIN o USING (episode_index)""")
+OFFSETS_SQL = f"""{FRAMES_SQL}, e AS (SELECT episode_index, count(*) AS n FROM frames GROUP BY 1), o AS (SELECT episode_index, n, sum(n) OVER (ORDER BY episode_index) - n AS f FROM e)"""
+
+
+@query("write_canonical", f"""WITH {OFFSETS_SQL}
+  SELECT episode_index, frame_index, (f + frame_index)::BIGINT AS index, dim, state[dim + 1]::FLOAT AS s, action[dim + 1]::FLOAT AS a, action[dim + 1] > 0 AS m, (frame_index / 30.0::DOUBLE)::FLOAT AS timestamp
+  FROM frames JOIN o USING (episode_index), range(0, 32) t(dim)""")
 def _(spark, sf):
     f = canonical_dataset(spark, sf)["frames"]
-    return f.select("episode_index", "frame_index", "index", F.col("`observation.state`")[0].alias("s0"), F.col("action")[31].alias("a31"),
-                    F.col("action_mask")[0].alias("m0"), "timestamp")
+    return f.select("episode_index", "frame_index", "index", "timestamp", F.posexplode(F.arrays_zip(F.col("`observation.state`").alias("s"), F.col("action").alias("a"), F.col("action_mask").alias("m"))).alias("dim", "x")).select(
+        "episode_index", "frame_index", "index", "timestamp", F.col("dim").cast("bigint").alias("dim"), "x.s", "x.a", "x.m")
+
+
+ENTRIES_SQL = f"""{OFFSETS_SQL},
+  u AS (SELECT episode_index, 'observation.state' AS c, generate_subscripts(state, 1) - 1 AS dim, unnest(state)::FLOAT::DOUBLE AS x FROM frames
+    UNION ALL SELECT episode_index, 'action', generate_subscripts(action, 1) - 1, unnest(action)::FLOAT::DOUBLE FROM frames
+    UNION ALL SELECT episode_index, 'action_mask', generate_subscripts(action, 1) - 1, (unnest(action) > 0)::INT FROM frames
+    UNION ALL SELECT episode_index, k.c, 0, CASE k.c WHEN 'timestamp' THEN (frame_index / 30.0::DOUBLE)::FLOAT::DOUBLE WHEN 'frame_index' THEN frame_index WHEN 'episode_index' THEN episode_index WHEN 'index' THEN f + frame_index ELSE 0 END
+      FROM frames JOIN o USING (episode_index), (SELECT unnest(['timestamp', 'frame_index', 'episode_index', 'index', 'task_index']) AS c) k)"""
+_FIVE = "round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS count"
+
+
+@query("dataset_norm_stats", f"""WITH {ENTRIES_SQL} SELECT c AS "column", dim::BIGINT AS dim, {_FIVE} FROM u GROUP BY 1, 2""")
+def _(spark, sf):
+    """Statistics of the whole dataset, merged from its episodes' rows."""
+    return rounded(canonical_dataset(spark, sf)["norm_stats"].select("column", "dim", "min", "max", "mean", "std", "count"), ["min", "max", "mean", "std"])
+
+
+@query("dataset_episode_stats", f"""WITH {ENTRIES_SQL} SELECT episode_index, c AS "column", dim::BIGINT AS dim, {_FIVE} FROM u GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    return rounded(canonical_dataset(spark, sf)["episodes_stats"].select("episode_index", "column", "dim", "min", "max", "mean", "std", "count"), ["min", "max", "mean", "std"])
+
+
+@query("source_episode_map", f"""WITH {OFFSETS_SQL} SELECT episode_index AS output_episode_index, 'ep_' || episode_index AS source_episode, (episode_index * 7 + 3)::VARCHAR AS source_episode_id, n AS length FROM o""")
+def _(spark, sf):
+    return canonical_dataset(spark, sf)["source_episode_map"]
+
+
+@query("conversion_report", f"""WITH {OFFSETS_SQL} SELECT episode_index AS output_episode_index, 'ep_' || episode_index AS source_episode, (episode_index * 7 + 3)::VARCHAR AS source_episode_id, n AS length, true AS kept, NULL AS reason FROM o
+  UNION ALL SELECT NULL, 'doc_' || doc_id, NULL, NULL, false, 'excluded_by_file' FROM labels WHERE toxic = 1""")
+def _(spark, sf):
+    r = canonical_dataset(spark, sf)["conversion_report"]
+    return r.select("output_episode_index", "source_episode", "source_episode_id", "length", "kept", F.array_join("reasons", ";").alias("reason"))
+
+
+# Answers of a first batch are kept; the second run works on the rest only, in blocks, and its failures are tried again.
+@query("resumable_results", """SELECT d.doc_id, length(text) - length(replace(text, ' ', '')) + 1 AS n_words,
+    CASE WHEN l.doc_id IS NOT NULL THEN 'first' WHEN d.doc_id % 10 = 3 THEN 'third' ELSE 'second' END AS answered_by
+  FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id""")
+def _(spark, sf):
+    store = ResultStore(spark, scratch_dir(spark, "results"), ["doc_id"])
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+
+    def work(who, fails):
+        n = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+        return lambda part: part.select("doc_id", n.cast("bigint").alias("n_words"), F.lit(who).alias("answered_by"), F.when(fails, "no answer").alias("error"))
+
+    store.run(docs.join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi"), work("first", F.lit(False)))
+    store.run(docs, work("second", F.col("doc_id") % 10 == 3), blocks=3)
+    return store.run(docs, work("third", F.lit(False))).select("doc_id", "n_words", "answered_by")
 
 
 @query("read_canonical", f"""WITH {FRAMES_SQL}, e AS (SELECT episode_index, count(*) AS length FROM frames GROUP BY 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trajq.functions.rotations import rotation_delta
 from trajq.functions.vectors import delta_mask
 from trajq.operators.windows import HORIZON, action_horizon, episode_offsets
-from trajq.plans.lineage import measured
+from trajq.plans.lineage import checkpoint, measured
 from trajq.plans.quantiles import exact_quantiles
 
 # Fixed values.
@@ -129,28 +129,58 @@ def norm_stats_multi(datasets: Sequence[tuple[DataFrame, Sequence | None]], *, m
     return norm_stats(flat, ["key"])
 
 
-def column_stats(df: DataFrame, columns: Sequence[str], *, episode: str = "episode_index") -> DataFrame:
-    """Min, max, mean, population std and count per column and dimension, per episode and overall.
-
-    The overall rows have a null episode (``is_total`` = 1); both come from one rollup.
-    """
+def column_entries(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per entry: keys, ``column``, ``dim``, ``x``; a scalar column has one dimension, true counts as 1."""
     types = dict(df.dtypes)
     flat = None
     for c in columns:
-        named = df.withColumn("_c", F.lit(c))
+        named = df.withColumn("column", F.lit(c))
         kind = types[c]
+        source = F.col(f"`{c}`")
         if kind.startswith("array"):
-            values = F.col(c).cast("array<int>").cast("array<double>") if "boolean" in kind else F.col(c).cast("array<double>")
-            part = named.select(episode, "_c", F.posexplode(values).alias("dim", "x"))
+            values = source.cast("array<int>").cast("array<double>") if "boolean" in kind else source.cast("array<double>")
+            part = named.select(*keys, "column", F.posexplode(values).alias("dim", "x"))
         else:
-            value = F.col(c).cast("int") if kind == "boolean" else F.col(c)
-            part = named.select(episode, "_c", F.lit(0).alias("dim"), value.cast("double").alias("x"))
+            part = named.select(*keys, "column", F.lit(0).alias("dim"), (source.cast("int") if kind == "boolean" else source).cast("double").alias("x"))
         flat = part if flat is None else flat.unionByName(part)
-    # Grouping sets keep (column, dim) in both levels.
-    out = flat.groupingSets([["_c", "dim", episode], ["_c", "dim"]], "_c", "dim", episode).agg(
-        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        F.count("*").alias("count"), F.grouping(episode).cast("bigint").alias("is_total"))
-    return out.withColumnRenamed("_c", "column")
+    return flat
+
+
+def moment_rows(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mergeable statistics: ``count, mean, m2`` (summed squared deviations), ``min, max`` per key, column and dimension."""
+    x = F.col("x")
+    return entries.groupBy(*keys, "column", "dim").agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+def merge_moments(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Moment rows of coarser keys from finer ones, of any grouping and any number of batches.
+
+    The pairwise rule for all parts at once: deviations from the common mean are the parts' own plus
+    count * (mean - common mean) ** 2. Only moment rows are read, twice; keep them written.
+    """
+    by = [*keys, "column", "dim"]
+    n = F.sum("count")
+    total = measured(rows.groupBy(*by).agg(n.alias("_n"), (F.sum(F.col("count") * F.col("mean")) / F.nullif(n, F.lit(0))).alias("_mean")))
+    apart = F.col("mean") - F.col("_mean")
+    return rows.join(total, by).groupBy(*by).agg(
+        F.sum("count").alias("count"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("count") * apart * apart).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def moment_stats(rows: DataFrame) -> DataFrame:
+    """``std`` (population) in place of ``m2``."""
+    return rows.withColumn("std", F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / F.col("count"))).drop("m2")
+
+
+def column_stats(df: DataFrame, columns: Sequence[str], *, episode: str = "episode_index") -> DataFrame:
+    """Min, max, mean, population std and count per column and dimension, per episode and overall.
+
+    The overall rows have a null episode (``is_total`` = 1); they are merged from the episodes' rows.
+    """
+    rows = checkpoint(moment_rows(column_entries(df, columns, [episode]), [episode]))
+    total = merge_moments(rows).withColumn(episode, F.lit(None).cast(df.schema[episode].dataType))
+    marked = [moment_stats(r).withColumn("is_total", F.lit(i).cast("bigint")) for i, r in enumerate((rows, total))]
+    return marked[0].unionByName(marked[1])
 
 
 def delta_stats_check(stats: DataFrame, *, first: int = 10) -> DataFrame:
