@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from trajq.bindings.alignment import GATE_SQL, STEP, TOL_NS
 from trajq.bindings.data import FRAMES_SQL, STREAMS, STREAMS_SQL, TACTILE_SQL, epoch_us, frames, streams, table, tactile
 from trajq.bindings.statistics import FIT_SQL, rounded
-from trajq.operators import gate, padfit
+from trajq.operators import gate, histograms, padfit
 from trajq.operators.windows import episode_offsets
 from trajq.plans.lineage import scratch_dir
 from trajq.sources import canonical, files
 from trajq.sources.results import ResultStore
+from trajq.sources.storage import children
 from trajq.streaming.baseline import stream_baseline_delta
-from trajq.streaming.gate import stream_gate
+from trajq.streaming.gate import assembled, stream_gate
+from trajq.streaming.histogram import stream_histograms
 from trajq.streaming.moments import stream_moments
 
 QUERIES, SQL = {}, {}
@@ -264,22 +266,67 @@ def _(spark, sf):
     both = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     e = e.select("rollout", "t_ns", "value", F.explode(both).alias("reset"))
     with rocksdb(spark):
-        q = stream_baseline_delta(e).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+        q = stream_baseline_delta(e, idle_ms=366 * 86_400_000, delay_ms=3_600_000).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
         q.awaitTermination()
     return spark.read.parquet(out).select("rollout", "t_ns", F.round(F.col("delta")[0], 6).alias("delta"), "is_baseline", "late")
 
 
+# Each recording arrives in five pieces (by event_id); the last one ends it.
 @query("stream_sync_gate", f"WITH q AS ({GATE_SQL}) SELECT recording_id, passed, reason, n_grid, n_holes FROM q")
 def _(spark, sf):
-    out = scratch_dir(spark, "gate")
-    e = stream_of(spark, sf, "events").select(
-        F.col("user_id").alias("recording_id"), F.col("event_type").alias("stream"), F.col("event_id").alias("sample_idx"), (epoch_us("ts") * 1000).alias("t_ns"))
+    out, pieces = scratch_dir(spark, "gate"), scratch_dir(spark, "pieces")
+    e = table(spark, sf, "events").select(
+        F.col("user_id").alias("recording_id"), F.col("event_type").alias("stream"), F.col("event_id").alias("sample_idx"), (epoch_us("ts") * 1000).alias("t_ns"), F.lit(False).alias("last"))
+    marks = e.groupBy("recording_id").agg(F.lit(None).cast("string").alias("stream"), F.lit(None).cast("bigint").alias("sample_idx"), F.min("t_ns").alias("t_ns"), F.lit(True).alias("last"))
+    for k in range(5):
+        part = e.where(F.col("sample_idx") % 5 == k)
+        (part.unionByName(marks) if k == 4 else part).write.parquet(f"{pieces}/{k}")
 
     def judge(df):
         return gate.sync_gate(
             df, STREAMS, cover_by=("click", "view"), cover_of="purchase", tol_ns=TOL_NS, frame_ns=2 * TOL_NS, min_aligned=0.8, max_hole_share=0.05,
             max_gap_ns=2 * TOL_NS, slack_ns=TOL_NS, **STEP)
 
-    q = stream_gate(e, judge, out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    # Five piece folders, in as many micro-batches as the source makes of them; recordings may run over the whole span of the table.
+    year = 366 * 86_400_000
+    arriving = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).option("latestFirst", False).option("maxFilesPerTrigger", 1 + sum(len(children(spark, f"{pieces}/{k}")) for k in range(5)) // 5).parquet(pieces)
+    with rocksdb(spark):
+        q = stream_gate(assembled(arriving, STREAMS, idle_ms=year, delay_ms=10 * year), judge, out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(out).select("recording_id", "passed", "reason", "n_grid", "n_holes")
+
+
+DYADIC_BITS = 12
+
+
+def _exponent(v):
+    guess = f"floor(log2({v}))"
+    return f"({guess} + (pow(2.0, {guess} + 1) <= {v})::INT - (pow(2.0, {guess}) > {v})::INT)"
+
+
+DYADIC_SQL = f"""flat AS (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+r AS (SELECT dim, min(x) AS lo, max(x) AS hi, count(*) AS n FROM flat GROUP BY 1),
+s AS (SELECT *, {_exponent("(hi - lo)")} - {DYADIC_BITS} + 1 AS e FROM r),
+l AS (SELECT dim, n, greatest({_exponent("greatest(abs(lo), abs(hi))")} - 52, CASE WHEN floor(hi / pow(2.0, e)) - floor(lo / pow(2.0, e)) < {1 << DYADIC_BITS} THEN e ELSE e + 1 END) AS level FROM s),
+b AS (SELECT dim, n, level, floor(x / pow(2.0, level)) AS bin, count(*) AS c FROM flat JOIN l USING (dim) GROUP BY ALL),
+c AS (SELECT *, sum(c) OVER (PARTITION BY dim ORDER BY bin) AS cum FROM b)
+SELECT dim::BIGINT AS dim, any_value(n)::BIGINT AS n, min(bin * pow(2.0, level)) FILTER (cum >= 0.01::DOUBLE * n) AS q01, min(bin * pow(2.0, level)) FILTER (cum >= 0.99::DOUBLE * n) AS q99 FROM c GROUP BY dim"""
+
+
+@query("dyadic_quantiles", f"WITH {DYADIC_SQL}")
+def _(spark, sf):
+    """Histograms of four parts of the table, merged."""
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("part"), F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    parts = histograms.dyadic_histogram(e, ["part"]).drop("part")
+    return histograms.dyadic_quantiles(histograms.merge_histograms(parts)).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+@query("stream_quantiles", f"WITH {DYADIC_SQL}")
+def _(spark, sf):
+    out = scratch_dir(spark, "quantiles")
+    with rocksdb(spark):
+        q = stream_histograms(stream_of(spark, sf, "embeddings"), "embedding").writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(
+            lambda df, i: df.select("dim", "n", "q01", "q99").write.mode("overwrite").parquet(f"{out}/batch_id={i}")).start()
+        q.awaitTermination()
+    newest = spark.read.parquet(out).groupBy("dim").agg(*[F.max_by(c, "batch_id").alias(c) for c in ("n", "q01", "q99")])
+    return newest.withColumn("dim", F.col("dim").cast("bigint"))

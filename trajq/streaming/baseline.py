@@ -2,62 +2,114 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+COLUMNS = ["rollout", "t_ns", "delta", "is_baseline", "late"]
 OUTPUT = "rollout string, t_ns bigint, delta array<double>, is_baseline boolean, late boolean"
-BASELINE = "t_ns bigint, value array<double>"
-
-
-def _processor(idle_ms: int | None) -> StatefulProcessor:
-    """Nested, so that executors need only numpy and pandas."""
-
-    class Baseline(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.first = handle.getValueState("baseline", BASELINE, ttlDurationMs=idle_ms)
-
-        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t_ns", "reset"], ascending=[True, False], kind="stable")
-            base = self.first.get() if self.first.exists() else None
-            values, t = np.array(pdf["value"].tolist(), dtype=float), pdf["t_ns"].to_numpy()
-            resets = np.flatnonzero(pdf["reset"].to_numpy(dtype=bool))
-            parts = []
-            for a, b in zip([0, *(resets + 1)], [*resets, len(pdf)]):  # the frames between two resets
-                if a > 0:
-                    base = None
-                if a == b:
-                    continue
-                fresh = np.zeros(b - a, bool)
-                if base is None:
-                    base, fresh[0] = (int(t[a]), values[a].tolist()), True
-                parts.append(pd.DataFrame({"rollout": key[0], "t_ns": t[a:b], "delta": (values[a:b] - np.asarray(base[1])).tolist(), "is_baseline": fresh, "late": t[a:b] < base[0]}))
+NS_PER_MS = 1_000_000
+
+
+class Baseline(StatefulProcessor):
+    """Per rollout its baseline and newest frame; once it ended, for a while, when that was."""
+
+    def __init__(self, idle_ms: int | None, delay_ms: int):
+        self.idle_ms, self.delay_ms = idle_ms, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("baseline", "t_ns bigint, value array<double>, newest bigint")
+        self.ended = handle.getValueState("ended", "t_ns bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self.idle_ms is not None:  # rows come before the timers of a batch
+            self.sweep(timerValues.getCurrentWatermarkInMs())
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t_ns", "reset"], ascending=[True, False], kind="stable")
+        base = self.first.get() if self.first.exists() else None
+        newest = base[2] if base else None
+        parts = []
+        if self.ended.exists():
+            end = self.ended.get()[0]
+            after = pdf["t_ns"] <= end
+            gone = pdf[after & ~pdf["reset"].astype(bool)]
+            parts.append(pd.DataFrame({"rollout": key[0], "t_ns": gone["t_ns"], "delta": None, "is_baseline": False, "late": True}))
+            pdf = pdf[~after]
+        values, t = np.array(pdf["value"].tolist(), dtype=float), pdf["t_ns"].to_numpy()
+        resets = np.flatnonzero(pdf["reset"].to_numpy(dtype=bool))
+        for a, b in zip([0, *(resets + 1)], [*resets, len(pdf)]):  # the frames between two resets
+            if a > 0:
+                base = None
+            if a == b:
+                continue
+            fresh = np.zeros(b - a, bool)
             if base is None:
-                self.first.clear()
-            else:
-                self.first.update((base[0], list(base[1])))
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame([], columns=["rollout", "t_ns", "delta", "is_baseline", "late"])
+                base, fresh[0] = (int(t[a]), values[a].tolist()), True
+            parts.append(pd.DataFrame({"rollout": key[0], "t_ns": t[a:b], "delta": (values[a:b] - np.asarray(base[1])).tolist(), "is_baseline": fresh, "late": t[a:b] < base[0]}))
+        if len(t):
+            newest = int(t[-1]) if newest is None else max(newest, int(t[-1]))
+        if base is None:
+            self.first.clear()
+        else:
+            self.first.update((base[0], list(base[1]), newest))
+        if self.idle_ms is not None:
+            self.sweep(timerValues.getCurrentWatermarkInMs())
+        parts = [p for p in parts if len(p)]
+        yield pd.concat(parts, ignore_index=True)[COLUMNS] if parts else pd.DataFrame([], columns=COLUMNS)
 
-        def close(self) -> None:
-            pass
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.sweep(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        return iter(())
 
-    return Baseline()
+    def sweep(self, watermark: int, fired: int | None = None) -> None:
+        """End what is due at this watermark (0: none yet) and set a timer for what will be."""
+        if watermark and self.first.exists():
+            newest = self.first.get()[2]
+            if newest // NS_PER_MS + self.idle_ms - self.delay_ms < watermark:  # the stream is ``idle`` ahead of it
+                self.first.clear()
+                self.ended.update((newest,))
+        if watermark and self.ended.exists() and self.ended.get()[0] // NS_PER_MS < watermark:  # nothing older than the watermark arrives
+            self.ended.clear()
+        due = []
+        if self.first.exists():
+            due.append(self.first.get()[2] // NS_PER_MS + self.idle_ms - self.delay_ms + 1)
+        if self.ended.exists():
+            due.append(self.ended.get()[0] // NS_PER_MS + 1)
+        for at in list(self.handle.listTimers()):
+            if at not in due and at != fired:
+                self.handle.deleteTimer(at)
+        for at in due:
+            self.handle.registerTimer(max(at, watermark + 1))
 
+    def close(self) -> None:
+        pass
 
-def stream_baseline_delta(frames: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
+
+def stream_baseline_delta(frames: DataFrame, *, idle_ms: int | None = None, delay_ms: int = 600_000) -> DataFrame:
     """Value minus the rollout's baseline: the first frame, until a ``reset`` row clears it.
 
-    ``frames``: rollout string, t_ns, value, reset. State is one vector per open rollout; with
-    ``idle_ms`` it expires that long after the rollout's last frames. Expiry keeps a query alive for its
-    clock, so leave it out with the ``availableNow`` trigger, which would never end. Rows
-    older than the baseline are kept and flagged ``late``. Within one micro-batch rows are taken
-    in time order, a reset before a frame of the same time. A task holds the rows of one rollout
+    ``frames``: rollout string, t_ns, value, reset. Within one micro-batch rows are taken in time order, a
+    reset before a frame of the same time. Rows older than the baseline are kept and flagged ``late``.
+
+    With ``idle_ms`` the stream has a watermark ``delay_ms`` behind its newest frame, and a rollout ends
+    once the stream is ``idle_ms`` ahead of its newest frame: its state goes, and a later frame starts a new
+    baseline. What still arrives of an ended rollout is flagged ``late`` and has no delta, until the
+    watermark passes its end; from then on nothing is kept of it, and what is older than the watermark Spark drops
+    and counts (``numRowsDroppedByWatermark``). Timers run on event time, so ``availableNow`` ends. Without
+    ``idle_ms`` one vector stays per rollout that was not reset. A task holds the rows of one rollout
     of one micro-batch, which the source bounds (``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
-    return frames.select("rollout", "t_ns", "value", F.coalesce("reset", F.lit(False)).alias("reset")).groupBy("rollout").transformWithStateInPandas(
-        statefulProcessor=_processor(idle_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
+    rows = frames.select("rollout", "t_ns", "value", F.coalesce("reset", F.lit(False)).alias("reset"))
+    if idle_ms is not None:
+        rows = rows.withColumn("at", F.timestamp_micros(F.expr("t_ns div 1000"))).withWatermark("at", f"{delay_ms} milliseconds")
+    return rows.groupBy("rollout").transformWithStateInPandas(
+        statefulProcessor=Baseline(idle_ms, delay_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if idle_ms is None else "EventTime")
