@@ -282,6 +282,41 @@ def test_permutation_tests(spark):
     assert sorted(r.partner_i for r in d) == list(range(6)) and all(r.partner_i != r._i for r in d)
 
 
+def test_resampling_of_nine_units_against_every_pairing(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=9)
+    y = x * 0.6 + rng.normal(size=9)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double").repartition(4)
+    perms = np.array(list(itertools.permutations(range(9))))
+    r = (x - x.mean()) / x.std() @ ((y - y.mean()) / y.std())[perms].T / 9
+    want = np.mean(np.abs(r) >= abs(corr(x, y)) - 1e-12)
+    exact = rs.exact_permutation_test(df, "id", "x", "y").first()
+    assert (exact.total, exact.p) == (len(perms), pytest.approx(want)) and exact.observed == pytest.approx(corr(x, y))
+    mc = rs.permutation_test(df, "id", "x", "y").first()
+    assert mc.resamples == 200_000 and mc.n == 9 and abs(mc.p - want) < 4 * np.sqrt(want * (1 - want) / 200_000) + 1e-5
+    signs = np.array(list(itertools.product([-1, 1], repeat=9))) @ x / 9
+    want = np.mean(np.abs(signs) >= abs(x.mean()) - 1e-12)
+    assert abs(rs.sign_flip_test(df, "id", "x").first().p - want) < 0.02
+    ci = rs.bootstrap_ci(df, "id", "x", "y").first()
+    at = np.random.default_rng(1).integers(0, 9, (10_000, 9))
+    lo, hi = np.percentile([corr(x[i], y[i]) for i in at], [2.5, 97.5])
+    assert ci.resamples == 10_000 and abs(ci.lo - lo) < 0.06 and abs(ci.hi - hi) < 0.02
+    assert rs.permutation_test(df, "id", "x", "y", resamples=2500).first() == rs.permutation_test(df.repartition(7), "id", "x", "y", resamples=2500).first()
+    ten = df.unionByName(df.limit(1).withColumn("id", F.lit(99).cast("long")))
+    assert rs.exact_permutation_test(ten, "id", "x", "y", resamples=1500).first().total == 1500
+    flat = df.withColumn("x", F.lit(2.0))
+    assert rs.permutation_test(flat, "id", "x", "y", resamples=100).first().p == 1.0
+
+
+def test_draws_are_the_same_in_tasks_and_in_text(spark):
+    rows = spark.range(3).withColumnRenamed("id", "r").crossJoin(spark.range(4).withColumnRenamed("id", "i"))
+    got = {(r.r, r.i): r.h for r in rows.withColumn("h", rs.draw(5, F.col("r"), F.col("i"), portable=True)).collect()}
+    table = rs.draws(5, np.arange(3), 4, portable=True)
+    assert all(table[r, i] == h for (r, i), h in got.items())
+    plain = rs.draws(5, np.arange(4000), 8)
+    assert len(np.unique(plain)) == plain.size and plain.min() >= 0 and np.abs((plain & 1).mean(axis=0) - 0.5).max() < 0.05
+
+
 def test_holm(spark):
     df = spark.createDataFrame([(0, 0.04), (1, 0.01), (2, 0.03)], "i int, p double")
     assert [r.p_holm for r in ev.holm_adjust(df, order=["i"]).orderBy("i").collect()] == pytest.approx([0.06, 0.03, 0.06])

@@ -136,25 +136,25 @@ def _draws(m):
 dr AS (SELECT un.*, r, ('0x' || substr(md5('0|' || r || '|' || i), 1, 15))::BIGINT AS h FROM un, range(0, {m}) t(r))"""
 
 
-@query("permutation_test", f"""WITH {_draws(2000)}, pm AS (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY h, i) - 1 AS at_ FROM dr),
+@query("permutation_test", f"""WITH {_draws(200_000)}, pm AS (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY h, i) - 1 AS at_ FROM dr),
   st AS (SELECT r, corr(pm.x, un.y) AS s FROM pm JOIN un ON un.i = at_ GROUP BY 1), o AS (SELECT corr(x, y) AS s, count(*) AS n FROM un)
   SELECT round(any_value(o.s), 6) AS observed, round((count(*) FILTER (abs(st.s) >= abs(o.s) - 1e-12) + 1) / (count(*) + 1), 9) AS p, any_value(n) AS n, count(*) AS resamples FROM st, o""")
 def _(spark, sf):
-    out = rs.permutation_test(nations(spark, sf), "c_nationkey", "x", "y", resamples=2000, portable=True)
+    out = rs.permutation_test(nations(spark, sf), "c_nationkey", "x", "y", portable=True)
     return out.withColumns({"observed": F.round("observed", 6), "p": F.round("p", 9)})
 
 
-@query("sign_flip_test", f"""WITH {_draws(2000)}, st AS (SELECT r, avg((x - y / 300) * CASE WHEN h & 1 = 0 THEN 1 ELSE -1 END) AS s FROM dr GROUP BY 1), o AS (SELECT avg(x - y / 300) AS s, count(*) AS n FROM un)
+@query("sign_flip_test", f"""WITH {_draws(20_000)}, st AS (SELECT r, avg((x - y / 300) * CASE WHEN h & 1 = 0 THEN 1 ELSE -1 END) AS s FROM dr GROUP BY 1), o AS (SELECT avg(x - y / 300) AS s, count(*) AS n FROM un)
   SELECT round(any_value(o.s), 4) AS observed, round((count(*) FILTER (abs(st.s) >= abs(o.s) - 1e-12) + 1) / (count(*) + 1), 9) AS p, any_value(n) AS n FROM st, o""")
 def _(spark, sf):
-    out = rs.sign_flip_test(nations(spark, sf).withColumn("d", F.col("x") - F.col("y") / 300), "c_nationkey", "d", resamples=2000, portable=True)
+    out = rs.sign_flip_test(nations(spark, sf).withColumn("d", F.col("x") - F.col("y") / 300), "c_nationkey", "d", portable=True)
     return out.withColumns({"observed": F.round("observed", 4), "p": F.round("p", 9)})
 
 
-@query("bootstrap_ci", f"""WITH {_draws(1000)}, st AS (SELECT r, corr(un.x, un.y) AS s FROM dr JOIN un ON un.i = h % dr.n GROUP BY 1)
+@query("bootstrap_ci", f"""WITH {_draws(10_000)}, st AS (SELECT r, corr(un.x, un.y) AS s FROM dr JOIN un ON un.i = h % dr.n GROUP BY 1)
   SELECT round(quantile_cont(s, 0.025), 6) AS lo, round(quantile_cont(s, 0.975), 6) AS hi, count(*) AS resamples FROM st""")
 def _(spark, sf):
-    return rounded(rs.bootstrap_ci(nations(spark, sf), "c_nationkey", "x", "y", resamples=1000, portable=True), ["lo", "hi"])
+    return rounded(rs.bootstrap_ci(nations(spark, sf), "c_nationkey", "x", "y", portable=True), ["lo", "hi"])
 
 
 REGION_SQL = f"""{CUST_SQL}, rg AS (SELECT n_regionkey AS i, avg(x) AS x, avg(y) AS y FROM cu JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajq.bindings.data import FRAMES_SQL, STREAMS_SQL, TACTILE_SQL, frames, streams, table, tactile
-from trajq.operators import padfit, sampling, stats
+from trajq.operators import endless, padfit, sampling, stats
 from trajq.plans.lineage import checkpoint
 
 QUERIES, SQL = {}, {}
@@ -248,3 +248,36 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     conv = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"))
     return sampling.weighted_mix({"documents": (docs, 0.25), "conversations": (conv, 0.75)}, ["id"])
+
+
+# The rounds of a swap-or-not permutation of 0..n-1, as text draws.
+def _draw_sql(seed, *parts):
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+_MIRROR = f"((({_draw_sql(42, 'dataset', 'epoch', 'r')} % n - x) % n + n) % n)"
+ENDLESS_SQL = f"""u AS (SELECT 'documents' AS dataset, doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents
+    UNION ALL SELECT 'conversations', conv_id * 100 + turn, row_number() OVER (ORDER BY conv_id * 100 + turn) - 1 FROM conversations),
+  s AS (SELECT dataset, count(*) AS n FROM u GROUP BY 1), p AS (SELECT unnest(range(0, 2 * (SELECT count(*)::BIGINT FROM u))) AS position),
+  w AS (SELECT position, CASE WHEN position // 4 < (position + 1) // 4 THEN 'documents' ELSE 'conversations' END AS dataset, CASE WHEN position // 4 < (position + 1) // 4 THEN position // 4 ELSE position - position // 4 END AS nth FROM p),
+  e AS (SELECT position, dataset, nth // n AS epoch, n, nth % n AS i FROM w JOIN s USING (dataset)),
+  m AS (SELECT *, list_reduce(list_prepend(i, range(0, 8)), lambda x, r: CASE WHEN {_draw_sql(42, 'dataset', 'epoch', 'r', f'greatest(x, {_MIRROR})')} & 1 = 1 THEN {_MIRROR} ELSE x END) AS place FROM e)
+  SELECT position, dataset, epoch, u.id FROM m JOIN u USING (dataset, place)"""
+
+
+@query("endless_mix", f"WITH {ENDLESS_SQL}")
+def _(spark, sf):
+    """Twice as many positions as there are rows: a quarter documents, the rest conversations, each repeated as its weight asks."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    conv = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"))
+    stop = 2 * (docs.count() + conv.count())
+    return endless.endless_mix({"documents": (docs, 0.25), "conversations": (conv, 0.75)}, ["id"], 0, stop, rounds=8, portable=True)
+
+
+@query("sample_with_replacement", f"""WITH {TACTILE_SQL}, f AS (SELECT DISTINCT recording_id, hand, sample_idx FROM tactile),
+  g AS (SELECT *, row_number() OVER (PARTITION BY recording_id, hand ORDER BY sample_idx) - 1 AS i, count(*) OVER (PARTITION BY recording_id, hand) AS n FROM f),
+  d AS (SELECT recording_id, hand, t AS draw, {_draw_sql(42, 'recording_id', 'hand', 't')} % n AS i FROM (SELECT DISTINCT recording_id, hand, n FROM g), range(0, 20) r(t))
+  SELECT recording_id, hand, pad::BIGINT AS pad, sample_idx, draw FROM d JOIN g USING (recording_id, hand, i) JOIN tactile USING (recording_id, hand, sample_idx)""")
+def _(spark, sf):
+    out = endless.sample_with_replacement(tactile(spark, sf), ["recording_id", "hand"], ["sample_idx"], 20, portable=True)
+    return out.select("recording_id", "hand", F.col("pad").cast("bigint").alias("pad"), "sample_idx", F.col("draw").cast("bigint").alias("draw"))
