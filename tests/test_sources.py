@@ -91,3 +91,10 @@ def test_windows_keep_their_bucket_after_a_join_on_the_key(spark, capsys):
         assert summed.agg(F.max("s")).first()[0] == sum(range(1, 200, 2))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_hand_commands_without_time_or_target_are_left_out(spark, tmp_path):
+    lines = ['{"recording_id": "r", "side": "left", "host_timestamp_ns": 9, "t_cmd_ns": 5, "target": [1, 2.5]}', '{"recording_id": "r", "t_cmd_ns": 6}', '{"recording_id": "r", "target": [1]}', '{"t_cmd_ns": 7, "tar', ""]
+    (tmp_path / "rec").mkdir()
+    (tmp_path / "rec" / "hand.jsonl").write_text("\n".join(lines))
+    assert [(r.recording_id, r.t_cmd_ns, r.target) for r in files.read_hand_cmd(spark, str(tmp_path)).collect()] == [("r", 5, [1.0, 2.5])]

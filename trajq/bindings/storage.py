@@ -15,7 +15,7 @@ from trajq.bindings.statistics import FIT_SQL, rounded
 from trajq.operators import gate, histograms, padfit
 from trajq.operators.windows import episode_offsets
 from trajq.plans.lineage import scratch_dir
-from trajq.sources import canonical, files
+from trajq.sources import archives, canonical, files
 from trajq.sources.results import ResultStore
 from trajq.sources.storage import children
 from trajq.streaming.baseline import stream_baseline_delta
@@ -129,6 +129,45 @@ def _(spark, sf):
         F.round(F.aggregate("force", F.lit(0.0), lambda s, v: s + v.cast("double")), 4).alias("total"))
 
 
+@query("read_npz_members", f"""WITH {TACTILE_SQL} SELECT recording_id, hand, sample_idx // 64 AS block, pad::BIGINT AS pad, sample_idx % 64 AS sample_idx, t_ns // 1000000 AS t_ms, cell::BIGINT AS cell, x::FLOAT AS x
+  FROM cells WHERE pad IN (0, 7, 18)""")
+def _(spark, sf):
+    """Three pads of every archive, read range by range."""
+    root = scratch_dir(spark, "gloves")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:  # a block of at most 64 frames
+        out, arrays = io.BytesIO(), {}
+        for pad, g in pdf.sort_values("sample_idx").groupby("pad"):
+            arrays[f"tactile_{pad}"] = np.stack(g["force"]).reshape(-1, 2, 2)
+            arrays["timestamps"] = g["t_ns"].to_numpy() / 1e9
+        np.savez(out, **arrays)
+        rec, block, hand = int(pdf["recording_id"].iloc[0]), int(pdf["block"].iloc[0]), pdf["hand"].iloc[0]
+        return pd.DataFrame({"path": [f"{rec}-{block}/{hand}_hand_data.npz"], "content": [out.getvalue()]})
+
+    t = tactile(spark, sf).withColumn("block", F.floor(F.col("sample_idx") / 64))
+    archives.write_archives(t.groupBy("recording_id", "hand", "block").applyInPandas(pack, "path string, content binary"), root).count()
+    d = archives.read_npz_members(spark, root, pads=(0, 7, 18), rows=20)
+    part = lambda i: F.get(F.split("recording_id", "-"), i).cast("bigint")
+    return d.select(part(0).alias("recording_id"), "hand", part(1).alias("block"), F.col("pad").cast("bigint").alias("pad"), "sample_idx", F.round(F.col("t_ns") / 1e6).cast("bigint").alias("t_ms"), F.posexplode("force").alias("cell", "x")).withColumn("cell", F.col("cell").cast("bigint"))
+
+
+# Hand commands: the time of the command, not of its arrival; without time or target it is not one.
+@query("read_hand_cmd", """SELECT 'rec_' || user_id AS recording_id, event_type AS side, epoch_us(ts) * 1000 AS host_timestamp_ns, epoch_us(ts) * 1000 - 5000000 AS t_cmd_ns, round(value, 6) AS target_0, round(value / 2, 6) AS target_1
+  FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""")
+def _(spark, sf):
+    root = scratch_dir(spark, "hand")
+    t = epoch_us("ts") * 1000
+    e = table(spark, sf, "events").select(
+        F.concat(F.lit("rec_"), F.col("user_id").cast("string")).alias("recording_id"), F.col("event_type").alias("side"), t.alias("host_timestamp_ns"),
+        F.when(F.col("event_id") % 7 != 0, t - 5_000_000).alias("t_cmd_ns"), F.when(F.col("event_id") % 11 != 0, F.array(F.col("value"), F.col("value") / 2)).alias("target"), "event_id")
+    lines = F.when(F.col("event_id") % 11 == 1, F.concat(F.to_json(F.struct("recording_id", "side", "host_timestamp_ns", "t_cmd_ns", "target")), F.lit("  "))).otherwise(
+        F.to_json(F.struct("recording_id", "side", "host_timestamp_ns", "t_cmd_ns", "target")))
+    torn = spark.createDataFrame([('{"recording_id": "rec_1", "t_cmd_ns": 5',)], "value string")  # the writer died in this line
+    e.select(lines.alias("value")).unionByName(torn).write.text(root)
+    out = files.read_hand_cmd(spark, root)
+    return out.select("recording_id", "side", "host_timestamp_ns", "t_cmd_ns", F.round(F.col("target")[0], 6).alias("target_0"), F.round(F.col("target")[1], 6).alias("target_1"))
+
+
 def canonical_dataset(spark, sf):
     root = scratch_dir(spark, "dataset")
     f = frames(spark, sf)

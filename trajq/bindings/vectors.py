@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajq.bindings.data import FRAMES_SQL, TACTILE_SQL, frames, table, tactile
 from trajq.functions import layout, rotations, vectors
-from trajq.operators.tactile import pad_tiles
+from trajq.operators.tactile import frame_canvases, pad_tiles
 
 QUERIES, SQL = {}, {}
 
@@ -320,6 +320,34 @@ def _(spark, sf):
         F.octet_length("tile").cast("bigint").alias("n_px"), F.md5(F.hex("tile")).alias("tile_md5"))
 
 
+_PLACES = ", ".join(f"({i}, {pad})" for i, pad in enumerate(layout.PADS))
+_HAND_BOUNDS = "SELECT hand, pad, place, x0, x1, y0, y1, pad = 18 AS turned FROM bounds JOIN places USING (pad)"
+_GRID_BOUNDS = "SELECT hand, pad, place, place % 4 * 56 AS x0, place % 4 * 56 + 56 AS x1, place // 4 * 56 AS y0, place // 4 * 56 + 56 AS y1, false AS turned FROM places, (VALUES ('left'), ('right')) h(hand)"
+
+
+def canvas_sql(bounds):
+    """Which cell lies under each pixel, the last pad on top; then each frame's values in that order."""
+    return f"""WITH {TACTILE_SQL}, {BOXES_SQL}, places AS (SELECT * FROM (VALUES {_PLACES}) v(place, pad)), bx AS ({bounds}),
+  px AS (SELECT unnest(range(0, 224 * 224)) AS i),
+  cover AS (SELECT hand, i, arg_max(place * 4 + CASE WHEN turned THEN ([1, 3, 0, 2])[least(floor((i // 224 - y0) * (1.0::DOUBLE / ((y1 - y0) / 2.0::DOUBLE))), 1)::INT * 2 + least(floor((i % 224 - x0) * (1.0::DOUBLE / ((x1 - x0) / 2.0::DOUBLE))), 1)::INT + 1]
+      ELSE least(floor((i // 224 - y0) * (1.0::DOUBLE / ((y1 - y0) / 2.0::DOUBLE))), 1)::INT * 2 + least(floor((i % 224 - x0) * (1.0::DOUBLE / ((x1 - x0) / 2.0::DOUBLE))), 1)::INT END + 1, place) AS j
+    FROM px JOIN bx ON i // 224 >= y0 AND i // 224 < y1 AND i % 224 >= x0 AND i % 224 < x1 GROUP BY hand, i),
+  map AS (SELECT hand, list(coalesce(j, 0) ORDER BY i) AS js FROM (SELECT hand, i FROM px, (VALUES ('left'), ('right')) h(hand)) LEFT JOIN cover USING (hand, i) GROUP BY hand),
+  fr AS (SELECT recording_id, hand, sample_idx, list(printf('%02X', round_even((least(greatest(x * 4, -1), 8) + 1) * (255 / 9.0::DOUBLE), 0)::BIGINT) ORDER BY place, cell) AS v FROM cells JOIN places USING (pad) GROUP BY ALL)
+  SELECT recording_id, hand, sample_idx, md5(array_to_string(list_transform(js, lambda j: CASE WHEN j = 0 THEN '00' ELSE v[j] END), '')) AS canvas_md5 FROM fr JOIN map USING (hand)"""
+
+
+def canvas_query(name):
+    def run(spark, sf):
+        t = tactile(spark, sf).withColumn("force", F.transform("force", lambda x: x * 4))
+        return frame_canvases(t, layout=name).select("recording_id", "hand", "sample_idx", F.md5(F.hex("canvas")).alias("canvas_md5"))
+    return run
+
+
+query("frame_canvas", canvas_sql(_HAND_BOUNDS))(canvas_query("hand"))
+query("frame_canvas_grid", canvas_sql(_GRID_BOUNDS))(canvas_query("grid"))
+
+
 @query("placeholder_targets", f"WITH {FRAMES_SQL} SELECT vec_id, 0::DOUBLE AS state_sum, 32::BIGINT AS width FROM frames")
 def _(spark, sf):
     state, action = vectors.placeholder_targets(32)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajq.functions.layout import pad_layout, part_of_slot
+from trajq.functions.layout import CANVAS, grid_layout, pad_layout, part_of_slot, row_order
 from trajq.functions.vectors import pressure_gray
 from trajq.plans.lineage import measured
 
@@ -116,3 +119,62 @@ def pad_tiles(tactile: DataFrame) -> DataFrame:
     bh, bw = F.greatest(F.col("y1") - F.col("y0"), F.lit(0)), F.greatest(F.col("x1") - F.col("x0"), F.lit(0))
     tile = _tile_udf()(F.col("_g"), F.col("h"), F.col("w"), bh, bw, F.col("pad") == PALM)
     return t.select(*HAND_KEYS, "pad", "sample_idx", "x0", "x1", "y0", "y1", tile.alias("tile"))
+
+
+#: Canvases that leave a task at once (50 KB each, three times that with three channels).
+FRAMES_PER_BATCH = 64
+
+
+def _painter(size: int, channels: int, at_once: int = FRAMES_PER_BATCH):
+    """Nested so that executors need nothing but numpy and pyarrow."""
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[tuple, np.ndarray] = {}
+
+        def cells(h, w, new_h, new_w, turned):
+            """Cell under each pixel of a tile, by nearest neighbour."""
+            grid = np.arange(h * w).reshape(h, w)
+            grid = np.rot90(grid) if turned else grid
+            at = lambda n, m: np.minimum(np.floor(np.arange(m) * (1.0 / (m / n))).astype(int), n - 1)
+            return grid[np.ix_(at(grid.shape[0], new_h), at(grid.shape[1], new_w))]
+
+        for batch in batches:
+            tiles = batch.schema.get_field_index("tiles")
+            for first in range(0, batch.num_rows, at_once):
+                part = batch.slice(first, at_once)
+                out = []
+                for frame in part.column(tiles).to_pylist():
+                    canvas = np.zeros((size, size), np.uint8)
+                    for t in frame:  # sorted by place: a later pad covers an earlier one
+                        if t["x1"] <= t["x0"] or t["y1"] <= t["y0"]:
+                            continue
+                        key = (t["h"], t["w"], t["y1"] - t["y0"], t["x1"] - t["x0"], t["turned"])
+                        if key not in maps:
+                            maps[key] = cells(*key)
+                        canvas[t["y0"]:t["y1"], t["x0"]:t["x1"]] = np.asarray(t["gray"], np.uint8)[maps[key]]
+                    out.append((np.repeat(canvas.reshape(-1), channels) if channels > 1 else canvas).tobytes())
+                keys = [part.column(i) for i in range(part.num_columns) if i != tiles]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(out, pa.binary())], [*[n for i, n in enumerate(part.schema.names) if i != tiles], "canvas"])
+
+    return paint
+
+
+def frame_canvases(tactile: DataFrame, *, layout: str = "hand", canvas: int = CANVAS, channels: int = 1) -> DataFrame:
+    """One square canvas per frame (recording, hand, sample): its pads painted in their order, row-major bytes.
+
+    Input force is normalized pressure. ``layout`` is ``hand`` (boxes of the hand, mirrored for the left one, the palm
+    turned) or ``grid`` (four pads a row). A frame without a pad leaves its box black; where boxes overlap, the later
+    pad stays. ``channels`` = 3 repeats each gray value. The cells of a frame, fifteen small lists, meet in one
+    shuffle on the frame; pixels are made afterwards, in batches, and never shuffled.
+    """
+    place = row_order(F.col("pad"))
+    if layout == "hand":
+        bounds, turned = pad_layout(F.col("pad"), F.col("hand"), canvas=canvas), F.col("pad") == PALM
+    elif layout == "grid":
+        bounds, turned = grid_layout(place, canvas=canvas), F.lit(False)
+    else:
+        raise ValueError(f"layout must be hand or grid, not {layout}")
+    tile = F.struct(place.alias("place"), "h", "w", *[c.cast("int").alias(n) for n, c in bounds.items()], turned.alias("turned"), F.transform("force", pressure_gray).cast("array<int>").alias("gray"))
+    frames = tactile.where(place >= 0).groupBy(*HAND_KEYS, "sample_idx").agg(F.array_sort(F.collect_list(tile)).alias("tiles"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema.fields if f.name != "tiles")
+    return frames.mapInArrow(_painter(canvas, channels), f"{kinds}, canvas binary")

@@ -145,6 +145,8 @@ def decode_npz(archives: DataFrame, *, pads: Sequence[int] = PAD_IDS, rows_per_b
                 for pad, grid in grids.items():
                     n, h, w = grid.shape
                     n = min(n, len(t))
+                    if n == 0:
+                        continue
                     flat = lambda a: list(np.asarray(a[:n], np.float32).reshape(n, -1))
                     sx, sy = (x if x is not None and x.shape[:1] >= (n,) and x.dtype.kind in "fiu" else None for x in (data.get(f"tf_tactile_x_{pad}"), data.get(f"tf_tactile_y_{pad}")))
                     both = sx is not None and sy is not None
