@@ -31,18 +31,14 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ds.task_name(name, folder).alias("task"))
 
 
-@query("task_prompt", """SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN text WHEN conv_id % 3 = 1 THEN role ELSE 'Perform the task.' END AS prompt FROM conversations WHERE turn = 0""")
+@query("task_prompt", """SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN text WHEN conv_id % 3 = 1 THEN role ELSE 'Perform the task.' END AS prompt FROM conversations""")
 def _(spark, sf):
-    return prompts(spark, sf).where("turn = 0").drop("turn")
-
-
-def prompts(spark, sf):
     i = F.col("conv_id")
     steps = F.when(i % 3 == 0, F.array("text", "role")).when(i % 3 == 1, F.array().cast("array<string>"))
     return table(spark, sf, "conversations").select("conv_id", "turn", ds.task_prompt(steps, F.when(i % 3 == 1, F.col("role")).otherwise("")).alias("prompt"))
 
 
-query("task_prompt_turns", SQL["task_prompt"].replace("SELECT conv_id,", "SELECT conv_id, turn,").replace(" WHERE turn = 0", ""))(prompts)
+query("task_prompt_turns", SQL["task_prompt"])(QUERIES["task_prompt"])  # a name it also had
 
 
 @query("task_to_prompt", """SELECT o_orderkey, n_name AS prompt FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from trajq.bindings.alignment import GATE_SQL, gate_result
@@ -17,6 +15,7 @@ from trajq.plans.lineage import checkpoint
 
 QUERIES, SQL = {}, {}
 HAND = ["recording_id", "hand"]
+ANSWER = ["conv_id", "turn"]
 GATE_ROWS = f"gate_rows AS ({GATE_SQL})"
 
 
@@ -72,11 +71,10 @@ def _(spark, sf):
 
 
 # Model answers written out of the conversation ids: fenced JSON, prose, object or text intervals, junk.
-def model_responses(spark, sf, turns=False):
-    """One answer per conversation, of its first turn; with ``turns`` one per (conv_id, turn)."""
-    c = table(spark, sf, "conversations")
-    c = c.select("conv_id", "turn") if turns else c.where("turn = 0").select("conv_id")
-    i = F.col("conv_id") + F.col("turn") if turns else F.col("conv_id")
+def model_responses(spark, sf):
+    """One answer per (conv_id, turn)."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
+    i = F.col("conv_id") + F.col("turn")
     s = (i % 13).cast("string")
     body = F.concat(
         F.lit('{"contacts": [{"start": '), (i % 17 / 10).cast("string"), F.lit(', "end": '), (i % 17 / 10 + 0.6).cast("string"),
@@ -90,49 +88,42 @@ def model_responses(spark, sf, turns=False):
     return c.select(*c.columns, (i % 10).alias("recording_id"), F.when(F.floor(i / 10) % 2 == 0, "left").otherwise("right").alias("hand"), raw.alias("raw"))
 
 
-RESP_SQL = """resp AS (SELECT conv_id, conv_id % 10 AS recording_id, CASE WHEN conv_id // 10 % 2 = 0 THEN 'left' ELSE 'right' END AS hand,
-  conv_id % 19 NOT IN (7, 8, 9) AS ok, conv_id % 19 = 9 AS bad FROM conversations WHERE turn = 0),
-contacts AS (SELECT conv_id, recording_id, hand, round((conv_id % 17) / 10 * 1e9)::BIGINT AS start_ns, round(((conv_id % 17) / 10 + 0.6) * 1e9)::BIGINT AS end_ns,
-  CASE conv_id % 3 WHEN 0 THEN ['thumb'] WHEN 1 THEN ['index', 'middle', 'pinky'] ELSE ['ring', 'thumb'] END AS confirmed,
-  CASE WHEN conv_id % 5 = 0 THEN '' ELSE 'cup' END AS object, conv_id % 11 = 0 AS skip FROM resp WHERE ok),
-free AS (SELECT conv_id, recording_id, hand, 0 AS free_id, (conv_id % 13) * 1000000000 AS start_ns, (conv_id % 13) * 1000000000 + 900000000 AS end_ns FROM resp WHERE ok
+#: An answer, and what follows from it, belongs to its (conv_id, turn).
+RESP_SQL = """resp AS (SELECT struct_pack(conv_id := conv_id, turn := turn) AS conv_id, conv_id + turn AS i, i % 10 AS recording_id, CASE WHEN i // 10 % 2 = 0 THEN 'left' ELSE 'right' END AS hand,
+  i % 19 NOT IN (7, 8, 9) AS ok, i % 19 = 9 AS bad FROM conversations),
+contacts AS (SELECT conv_id, recording_id, hand, round((i % 17) / 10 * 1e9)::BIGINT AS start_ns, round(((i % 17) / 10 + 0.6) * 1e9)::BIGINT AS end_ns,
+  CASE i % 3 WHEN 0 THEN ['thumb'] WHEN 1 THEN ['index', 'middle', 'pinky'] ELSE ['ring', 'thumb'] END AS confirmed,
+  CASE WHEN i % 5 = 0 THEN '' ELSE 'cup' END AS object, i % 11 = 0 AS skip FROM resp WHERE ok),
+free AS (SELECT conv_id, recording_id, hand, 0 AS free_id, (i % 13) * 1000000000 AS start_ns, (i % 13) * 1000000000 + 900000000 AS end_ns FROM resp WHERE ok
   UNION ALL SELECT conv_id, recording_id, hand, 1, 500000000, 2000000000 FROM resp WHERE ok)"""
 
 
 # '{"free": [1,' holds no closing brace, so nothing is salvaged: an empty answer, not an error.
-@query("parse_model_json", f"WITH {RESP_SQL} SELECT conv_id, CASE WHEN ok THEN 1 WHEN bad THEN -1 ELSE 0 END::BIGINT AS state, CASE WHEN ok THEN 'cup or none' END AS has_contact FROM resp")
-def _(spark, sf, turns=False):
-    j = model_responses(spark, sf, turns).withColumn("json", responses.parse_model_json(F.col("raw")))
+@query("parse_model_json", f"WITH {RESP_SQL} SELECT conv_id.conv_id AS conv_id, conv_id.turn AS turn, CASE WHEN ok THEN 1 WHEN bad THEN -1 ELSE 0 END::BIGINT AS state, CASE WHEN ok THEN 'cup or none' END AS has_contact FROM resp")
+def _(spark, sf):
+    j = model_responses(spark, sf).withColumn("json", responses.parse_model_json(F.col("raw")))
     state = F.when(F.col("json").isNull(), -1).when(F.col("json") == "{}", 0).otherwise(1)
-    return j.select(*answer_keys(turns), state.cast("bigint").alias("state"), F.when(F.get_json_object("json", "$.contacts").isNotNull(), "cup or none").alias("has_contact"))
-
+    return j.select(*ANSWER, state.cast("bigint").alias("state"), F.when(F.get_json_object("json", "$.contacts").isNotNull(), "cup or none").alias("has_contact"))
 
-def intervals(spark, sf, turns=False):
-    parsed = responses.normalize_responses(model_responses(spark, sf, turns))
-    return parsed, *responses.explode_intervals(parsed, [*answer_keys(turns), *HAND])
 
+def intervals(spark, sf):
+    parsed = responses.normalize_responses(model_responses(spark, sf))
+    return parsed, *responses.explode_intervals(parsed, [*ANSWER, *HAND])
 
-def answer_keys(turns):
-    return ["conv_id", "turn"] if turns else ["conv_id"]
 
-
-@query("normalize_intervals", f"""WITH {RESP_SQL} SELECT conv_id, 'free' AS kind, start_ns, end_ns FROM free
-  UNION ALL SELECT conv_id, 'contact', start_ns, end_ns FROM contacts""")
-def _(spark, sf, turns=False):
-    _, c, f = intervals(spark, sf, turns)
-    cols = [*answer_keys(turns), "kind", "start_ns", "end_ns"]
+@query("normalize_intervals", f"""WITH {RESP_SQL} SELECT conv_id.conv_id AS conv_id, conv_id.turn AS turn, 'free' AS kind, start_ns, end_ns FROM free
+  UNION ALL SELECT conv_id.conv_id, conv_id.turn, 'contact', start_ns, end_ns FROM contacts""")
+def _(spark, sf):
+    _, c, f = intervals(spark, sf)
+    cols = [*ANSWER, "kind", "start_ns", "end_ns"]
     return f.withColumn("kind", F.lit("free")).select(*cols).unionByName(c.withColumn("kind", F.lit("contact")).select(*cols))
 
 
-def qc_inputs(spark, sf, turns=False):
-    """Contacts and free intervals numbered by conversation (and turn), frames of every hand."""
-    _, c, f = intervals(spark, sf, turns)
-    if turns:
-        c = c.withColumn("contact_id", F.struct("conv_id", "turn")).drop("conv_id", "turn")
-        f = f.withColumn("free_id", F.struct("conv_id", "turn", "free_id")).drop("conv_id", "turn")
-    else:
-        c = c.withColumn("contact_id", F.col("conv_id")).drop("conv_id")
-        f = f.withColumn("free_id", F.col("conv_id") * 2 + F.col("free_id")).drop("conv_id")
+def qc_inputs(spark, sf):
+    """Contacts and free intervals numbered by conversation and turn, frames of every hand."""
+    _, c, f = intervals(spark, sf)
+    c = c.withColumn("contact_id", F.struct("conv_id", "turn")).drop("conv_id", "turn")
+    f = f.withColumn("free_id", F.struct("conv_id", "turn", "free_id")).drop("conv_id", "turn")
     t = tactile(spark, sf).withColumn("force", F.when(F.col("pad") == 18, F.transform("force", lambda v: v * 0)).otherwise(
         F.transform("force", lambda v: F.when(F.abs(v) < 0.2, 0.0).otherwise(v))))
     # One row per frame instead of one per pad: small next to the taxels and read several times.
@@ -157,25 +148,25 @@ loss AS (SELECT c.recording_id, c.hand, s.conv_id AS contact_id, s.finger, s.fpo
    FROM sl s JOIN contacts c USING (conv_id) JOIN ever e ON e.recording_id = c.recording_id AND e.hand = c.hand AND e.part = s.finger)"""
 
 
-@query("loss_check", f"WITH {FRAME_SQL} SELECT recording_id, hand, contact_id, finger, whole_hand, kind FROM loss")
-def _(spark, sf, turns=False):
-    _, fr, c, _ = qc_inputs(spark, sf, turns)
-    return quality.loss_check(fr, c).select("recording_id", "hand", *(["contact_id.*"] if turns else ["contact_id"]), "finger", "whole_hand", "kind")
+@query("loss_check", f"WITH {FRAME_SQL} SELECT recording_id, hand, contact_id.conv_id AS conv_id, contact_id.turn AS turn, finger, whole_hand, kind FROM loss")
+def _(spark, sf):
+    _, fr, c, _ = qc_inputs(spark, sf)
+    return quality.loss_check(fr, c).select("recording_id", "hand", "contact_id.*", "finger", "whole_hand", "kind")
 
 
 NOISE_SQL = f"""{FRAME_SQL},
-ff AS (SELECT f.conv_id * 2 + f.free_id AS free_id, fr.*, count(*) OVER (PARTITION BY f.conv_id, f.free_id) AS nfree FROM free f JOIN fr USING (recording_id, hand) WHERE t_ns BETWEEN start_ns AND end_ns),
+ff AS (SELECT struct_pack(conv_id := f.conv_id.conv_id, turn := f.conv_id.turn, free_id := f.free_id) AS free_id, fr.*, count(*) OVER (PARTITION BY f.conv_id, f.free_id) AS nfree FROM free f JOIN fr USING (recording_id, hand) WHERE t_ns BETWEEN start_ns AND end_ns),
 v1 AS (SELECT *, CASE WHEN sample_idx - lag(sample_idx) OVER (PARTITION BY free_id ORDER BY sample_idx) <= 2 THEN 0 ELSE 1 END AS nw FROM ff WHERE nfree >= 3 AND visible),
 v2 AS (SELECT *, sum(nw) OVER (PARTITION BY free_id ORDER BY sample_idx) AS g FROM v1),
 cand AS (SELECT recording_id, hand, free_id, g, min(t_ns) AS s, max(t_ns) AS e, max(total) AS peak FROM v2 GROUP BY ALL HAVING max(t_ns) - min(t_ns) >= 300000000),
 topn AS (SELECT *, row_number() OVER (PARTITION BY recording_id, hand ORDER BY (e - s) / 1e9 * greatest(peak, 1e-6) DESC, s, e, free_id) AS rank FROM cand)"""
 
 
-@query("noise_candidates", f"""WITH {NOISE_SQL} SELECT recording_id, hand, free_id, s / 1e9 AS start, e / 1e9 AS "end", (e - s) / 1e9 AS dur, round(peak, 6) AS peak FROM cand""")
-def _(spark, sf, turns=False):
-    _, fr, _, f = qc_inputs(spark, sf, turns)
+@query("noise_candidates", f"""WITH {NOISE_SQL} SELECT recording_id, hand, free_id.conv_id AS conv_id, free_id.turn AS turn, free_id.free_id AS free_id, s / 1e9 AS start, e / 1e9 AS "end", (e - s) / 1e9 AS dur, round(peak, 6) AS peak FROM cand""")
+def _(spark, sf):
+    _, fr, _, f = qc_inputs(spark, sf)
     out = rounded(quality.noise_candidates(fr, f).drop("fingers"), ["peak"])
-    return out.select("*", "free_id.*").drop(out["free_id"]) if turns else out
+    return out.select("*", "free_id.*").drop(out["free_id"])
 
 
 def top_candidates(spark, sf, fr, f):
@@ -184,16 +175,16 @@ def top_candidates(spark, sf, fr, f):
 
 
 @query("top_noise", f"""WITH {NOISE_SQL} SELECT recording_id, hand, rank::BIGINT AS rank, s / 1e9 AS start, e / 1e9 AS "end", round(peak, 6) AS peak FROM topn WHERE rank <= 5""")
-def _(spark, sf, turns=False):
-    _, fr, _, f = qc_inputs(spark, sf, turns)
+def _(spark, sf):
+    _, fr, _, f = qc_inputs(spark, sf)
     out = top_candidates(spark, sf, fr, f).withColumn("rank", F.col("rank").cast("bigint"))
     return rounded(out.select("recording_id", "hand", "rank", "start", "end", "peak"), ["peak"])
 
 
-def verdicts(spark, sf, turns=False):
-    t, fr, c, f = qc_inputs(spark, sf, turns)
+def verdicts(spark, sf):
+    t, fr, c, f = qc_inputs(spark, sf)
     losses = quality.loss_check(fr, c)
-    number = sum(F.col(f"free_id.{k}") for k in (*answer_keys(turns), "free_id")) if turns else F.col("free_id")
+    number = sum(F.col(f"free_id.{k}") for k in (*ANSWER, "free_id"))
     answers = (F.col("recording_id") + number) % 2 == 0  # the confirmation answers of the noise clips
     noise = quality.noise_candidates(fr, f).withColumn("confirmed", answers)
     hands = t.select(*HAND).distinct()
@@ -210,7 +201,7 @@ lr AS (SELECT recording_id, hand, count(*) FILTER (kind = 'hard') AS nh, count(*
    string_agg(finger || ' reported touching ' || span || ' but is silent, ' || CASE WHEN len(others) > 0 THEN 'while ' || array_to_string(others, ', ') || ' in the same grasp respond'
      ELSE 'and it is the only confirmed finger in that grasp (weak evidence)' END, '; ' ORDER BY contact_id, fpos) FILTER (kind = 'weak') AS tw FROM lt GROUP BY 1, 2),
 fs AS (SELECT recording_id, hand, sum(greatest(end_ns - start_ns, 0)) / 1e9 AS free_s FROM free GROUP BY 1, 2),
-ns AS (SELECT recording_id, hand, sum(e - s) / 1e9 AS noise_s, count(*) AS seg FROM cand WHERE (recording_id + free_id) % 2 = 0 GROUP BY 1, 2),
+ns AS (SELECT recording_id, hand, sum(e - s) / 1e9 AS noise_s, count(*) AS seg FROM cand WHERE (recording_id + free_id.conv_id + free_id.turn + free_id.free_id) % 2 = 0 GROUP BY 1, 2),
 hv0 AS (SELECT h.recording_id, h.hand, fault AND EXISTS (SELECT 1 FROM contacts c WHERE c.recording_id = h.recording_id AND c.hand = h.hand) AS dead,
    coalesce(nh, 0) AS nh, coalesce(nw, 0) AS nw, th, tw, coalesce(free_s, 0) AS free_s, coalesce(noise_s, 0) AS noise_s, coalesce(seg, 0) AS seg
    FROM hf h LEFT JOIN lr USING (recording_id, hand) LEFT JOIN fs USING (recording_id, hand) LEFT JOIN ns USING (recording_id, hand)),
@@ -224,26 +215,26 @@ ev AS (SELECT recording_id, CASE max(CASE verdict WHEN 'REJECT' THEN 2 WHEN 'REV
 
 
 @query("hand_verdict", f"WITH {VERDICT_SQL} SELECT recording_id, hand, verdict, reason, noise_seg, round(free_s, 6) AS free_s, round(noise_s, 6) AS noise_s, round(noise_pct, 6) AS noise_pct FROM hv")
-def _(spark, sf, turns=False):
-    return rounded(verdicts(spark, sf, turns)[2], ["free_s", "noise_s", "noise_pct"])
+def _(spark, sf):
+    return rounded(verdicts(spark, sf)[2], ["free_s", "noise_s", "noise_pct"])
 
 
-def episode_results(spark, sf, turns=False):
-    return quality.episode_verdict(verdicts(spark, sf, turns)[2])
+def episode_results(spark, sf):
+    return quality.episode_verdict(verdicts(spark, sf)[2])
 
 
 @query("episode_verdict", f"""WITH {VERDICT_SQL} SELECT recording_id, verdict, noise_seg, round(noise_s, 6) AS noise_s, round(free_s, 6) AS free_s,
   round(100 * noise_s / greatest(free_s, 1e-6), 6) AS noise_pct FROM ev""")
-def _(spark, sf, turns=False):
-    return rounded(episode_results(spark, sf, turns).drop("error"), ["noise_s", "free_s", "noise_pct"])
+def _(spark, sf):
+    return rounded(episode_results(spark, sf).drop("error"), ["noise_s", "free_s", "noise_pct"])
 
 
 @query("verdict_summary", f"""WITH {VERDICT_SQL}, x AS (SELECT recording_id, CASE WHEN recording_id = 9 THEN 'ERROR' ELSE verdict END AS verdict FROM ev)
   SELECT count(*) AS n, count(*) FILTER (verdict = 'REJECT') AS reject, count(*) FILTER (verdict = 'REVIEW') AS review, count(*) FILTER (verdict = 'PASS') AS pass,
     count(*) FILTER (verdict = 'ERROR') AS error, 100.0::DOUBLE * count(*) FILTER (verdict IN ('REJECT', 'PASS')) / count(*) AS auto_pct,
     100.0::DOUBLE * count(*) FILTER (verdict = 'REVIEW') / count(*) AS review_pct FROM x""")
-def _(spark, sf, turns=False):
-    hands = verdicts(spark, sf, turns)[2]
+def _(spark, sf):
+    hands = verdicts(spark, sf)[2]
     errors = hands.where("recording_id = 9").select("recording_id", F.lit("unreadable archive").alias("error")).distinct()
     return quality.verdict_summary(quality.episode_verdict(hands, errors))
 
@@ -251,16 +242,16 @@ def _(spark, sf, turns=False):
 @query("review_list", f"""WITH {VERDICT_SQL} SELECT e.verdict AS tier, h.recording_id, h.hand, h.verdict AS hand_verdict, finger, start_ns / 1e9 AS start, end_ns / 1e9 AS "end"
   FROM ev e JOIN hv h USING (recording_id) LEFT JOIN (SELECT * FROM loss WHERE kind IN ('hard', 'weak')) l ON l.recording_id = h.recording_id AND l.hand = h.hand
   WHERE e.verdict IN ('REJECT', 'REVIEW') AND h.verdict <> 'PASS'""")
-def _(spark, sf, turns=False):
-    t, losses, hands = verdicts(spark, sf, turns)
+def _(spark, sf):
+    t, losses, hands = verdicts(spark, sf)
     out = quality.review_list(quality.episode_verdict(hands), hands, losses, tac.pad_peak(tac.finger_force(t)))
     return out.select("tier", "recording_id", "hand", "hand_verdict", "finger", "start", "end")
 
 
 @query("noise_report", f"""WITH {VERDICT_SQL} SELECT recording_id, verdict, noise_seg, round(noise_s, 6) AS noise_s, round(100 * noise_s / greatest(free_s, 1e-6), 6) AS noise_pct
   FROM ev WHERE noise_seg > 0""")
-def _(spark, sf, turns=False):
-    return rounded(quality.noise_report(episode_results(spark, sf, turns)), ["noise_s", "noise_pct"])
+def _(spark, sf):
+    return rounded(quality.noise_report(episode_results(spark, sf)), ["noise_s", "noise_pct"])
 
 
 _GAPS = """d AS (SELECT recording_id, stream, t_ns, t_ns - lag(t_ns) OVER (PARTITION BY recording_id, stream ORDER BY t_ns) AS dt FROM streams),
@@ -325,28 +316,12 @@ def _(spark, sf):
 # The readable reasons of gate, integrity and verdicts in one list.
 @query("reason_text", f"""WITH {GATE_ROWS}, gate_text AS (SELECT 'gate' AS source, recording_id, reason AS text FROM gate_rows WHERE reason <> 'ok') SELECT * FROM gate_text""".replace(
     "SELECT * FROM gate_text", f"""SELECT * FROM gate_text UNION ALL SELECT 'hand', recording_id, text FROM (WITH {VERDICT_SQL} SELECT recording_id, hand || ': ' || reason AS text FROM hv WHERE reason <> '')"""))
-def _(spark, sf, turns=False):
+def _(spark, sf):
     g = gate_result(spark, sf).where("reason <> 'ok'").select(F.lit("gate").alias("source"), "recording_id", F.col("reason").alias("text"))
-    h = verdicts(spark, sf, turns)[2].where("reason <> ''").select(F.lit("hand").alias("source"), "recording_id", F.concat_ws(": ", "hand", "reason").alias("text"))
+    h = verdicts(spark, sf)[2].where("reason <> ''").select(F.lit("hand").alias("source"), "recording_id", F.concat_ws(": ", "hand", "reason").alias("text"))
     return g.unionByName(h)
 
 
-# The same over every turn: an answer, and what follows from it, belongs to its (conv_id, turn).
-TURNS_RESP_SQL = RESP_SQL.replace("SELECT conv_id, conv_id % 10", "SELECT struct_pack(conv_id := conv_id, turn := turn) AS conv_id, conv_id + turn AS i, i % 10").replace(
-    "conv_id // 10", "i // 10").replace("conv_id %", "i %").replace("FROM conversations WHERE turn = 0", "FROM conversations")
-
-
-def of_turns(sql):
-    for old, new in (
-            (RESP_SQL, TURNS_RESP_SQL), ("f.conv_id * 2 + f.free_id AS free_id", "struct_pack(conv_id := f.conv_id.conv_id, turn := f.conv_id.turn, free_id := f.free_id) AS free_id"),
-            ("(recording_id + free_id) %", "(recording_id + free_id.conv_id + free_id.turn + free_id.free_id) %"),
-            ("hand, contact_id, finger,", "hand, contact_id.conv_id AS conv_id, contact_id.turn AS turn, finger,"),
-            ("SELECT recording_id, hand, free_id, s /", "SELECT recording_id, hand, free_id.conv_id AS conv_id, free_id.turn AS turn, free_id.free_id AS free_id, s /"),
-            ("SELECT conv_id, CASE WHEN ok", "SELECT conv_id.conv_id AS conv_id, conv_id.turn AS turn, CASE WHEN ok"),
-            ("SELECT conv_id, 'free' AS", "SELECT conv_id.conv_id AS conv_id, conv_id.turn AS turn, 'free' AS"), ("SELECT conv_id, 'contact'", "SELECT conv_id.conv_id, conv_id.turn, 'contact'")):
-        sql = sql.replace(old, new)
-    return sql
-
-
+#: Names that these queries also had.
 for name in ("parse_model_json", "normalize_intervals", "loss_check", "noise_candidates", "top_noise", "hand_verdict", "episode_verdict", "verdict_summary", "review_list", "noise_report", "reason_text"):
-    query(f"{name}_turns", of_turns(SQL[name]))(partial(QUERIES[name], turns=True))
+    query(f"{name}_turns", SQL[name])(QUERIES[name])

@@ -117,26 +117,21 @@ def _(spark, sf):
         "vec_id", F.col("dim").cast("bigint").alias("dim"), F.col("b").cast("bigint").alias("bin"))
 
 
-_BINS = "array_to_string(list_transform(state[1:4], lambda v: least(greatest(floor((v + 1) * 128), -1), 255)::INT), ' ')"
+_BINS = "array_to_string(list_transform(state, lambda v: least(greatest(floor((v + 1) * 128), -1), 255)::INT), ' ')"
 
 
-@query("prompt_text", f"""WITH {FRAMES_SQL}, t AS (SELECT conv_id, text FROM conversations WHERE turn = 0)
-  SELECT vec_id, 'Task: ' || translate(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '_' || chr(10), '  ') || ', State: ' || {_BINS} || ';' || chr(10) || 'Action: ' AS prompt,
+@query("prompt_text", f"""WITH {FRAMES_SQL}, t AS (SELECT conv_id, turn, text FROM conversations)
+  SELECT vec_id, turn, 'Task: ' || translate(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '_' || chr(10), '  ') || ', State: ' || {_BINS} || ';' || chr(10) || 'Action: ' AS prompt,
     'Task: ' || translate(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '_', ' ') || ', State: ' || {_BINS} || ';' || chr(10) AS lower_prompt
   FROM frames JOIN t ON vec_id = conv_id""")
 def _(spark, sf):
-    return prompt_texts(spark, sf).where("turn = 0").drop("turn")
-
-
-def prompt_texts(spark, sf):
     t = table(spark, sf, "conversations").select(F.col("conv_id").alias("vec_id"), "turn", "text")
-    s = F.slice("state", 1, 4)
+    s = F.col("state")
     return frames(spark, sf).join(t, "vec_id").select(
         "vec_id", "turn", vectors.prompt_text(F.col("text"), s).alias("prompt"), vectors.prompt_text(F.col("text"), s, lower=True).alias("lower_prompt"))
 
 
-query("prompt_text_turns", SQL["prompt_text"].replace("SELECT conv_id, text FROM conversations WHERE turn = 0", "SELECT conv_id, turn, text FROM conversations").replace(
-    "SELECT vec_id, 'Task", "SELECT vec_id, turn, 'Task"))(prompt_texts)
+query("prompt_text_turns", SQL["prompt_text"])(QUERIES["prompt_text"])  # a name it also had
 
 
 @query("normalize_pressure", """SELECT event_id, round(least(greatest((value - 5) / greatest(20.0, 1e-6), -1), 8), 9) AS x FROM events""")
