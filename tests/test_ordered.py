@@ -1,13 +1,14 @@
 """Bucketed scans against brute force, whatever the bucket size."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trajq.operators import asof, rows, windows
-from trajq.plans import ordered
+from trajq.plans import lineage, ordered
 from trajq.plans.quantiles import exact_quantiles
 
 MS = 1_000_000
@@ -165,3 +166,20 @@ def test_command_validation(spark):
     df = seq(spark, [([0.0] * 6, [0.0] * 6), ([float("nan")] + [0.0] * 5, [0.0] * 6), ([0.0] * 6, [1001.0] + [0.0] * 5), ([0.0] * 5, [0.0] * 6)],
              "arm array<double>, hand array<double>")
     assert [r[0] for r in df.select(rows.command_validate(F.col("arm"), F.col("hand"))).collect()] == [True, False, False, False]
+
+
+def test_lookups_of_any_size_split_a_hot_key(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    lookup = spark.createDataFrame([(0, "a"), (0, "b"), (5, "c")], "k long, v string")
+    for how in ("inner", "left"):
+        want = sorted((r.k, r.t, r.v or "") for r in rows.join(lookup, "k", how).collect())
+        for most in (100, 0):  # broadcast, then dealt into parts
+            got = lineage.lookup_join(rows, lookup, ["k"], how, by=F.col("t"), max_rows=most)
+            assert got.columns == ["k", "t", "v"] and sorted((r.k, r.t, r.v or "") for r in got.collect()) == want
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lineage.lookup_join(rows, lookup, ["k"], by=F.col("t"), max_rows=0)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(k#\d+L, _part", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajq.bindings.data import FRAMES_SQL, frames, table
 from trajq.bindings.motion import ISLANDS_SQL, conversation_episodes, series
@@ -180,10 +181,10 @@ def _(spark, sf):
     return p.select("p_partkey", v[0].alias("x"), F.round(v[1], 6).alias("grip"))
 
 
-@query("drop_by_type", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem")
+@query("drop_by_type", "SELECT * EXCLUDE (l_returnflag, l_linestatus, l_shipdate) FROM lineitem")
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
-    return ds.drop_by_type(li)
+    """Numbers only: neither text nor dates."""
+    return ds.drop_by_type(ds.drop_by_type(table(spark, sf, "lineitem")), (T.TimestampType, T.TimestampNTZType))
 
 
 @query("concat_datasets", """SELECT doc_id AS id, n_chars, NULL AS turn, 'docs' AS norm_group, 0 AS dataset_order FROM documents

@@ -108,14 +108,19 @@ def _(spark, sf):
 @query("action_horizon", f"""WITH {FRAMES_SQL}, e AS (SELECT episode_index, max(frame_index) AS last FROM frames GROUP BY 1),
   h AS (SELECT f.episode_index, f.frame_index, f.frame_index + k > last AS is_pad, k AS step, least(f.frame_index + k, last) AS at
         FROM frames f JOIN e USING (episode_index), range(0, 16) t(k))
-  SELECT h.episode_index, h.frame_index, step, is_pad, f.action[1] AS a0, f.action[32] AS a31
-  FROM h JOIN frames f ON f.episode_index = h.episode_index AND f.frame_index = h.at""")
+  SELECT h.episode_index, h.frame_index, step, is_pad, dim, round(f.action[dim + 1], 9) AS a
+  FROM h JOIN frames f ON f.episode_index = h.episode_index AND f.frame_index = h.at, range(0, 32) t(dim)""")
 def _(spark, sf):
     out = windows.action_horizon(frames(spark, sf), ["episode_index"], "frame_index", F.col("action"), horizon=16, size=1000)
     zipped = F.arrays_zip("chunk", "chunk_is_pad")
-    return out.select("episode_index", "frame_index", F.posexplode(zipped).alias("step", "z")).select(
-        "episode_index", "frame_index", F.col("step").cast("bigint").alias("step"), F.col("z.chunk_is_pad").alias("is_pad"),
-        F.col("z.chunk")[0].alias("a0"), F.col("z.chunk")[31].alias("a31"))
+    steps = out.select("episode_index", "frame_index", F.posexplode(zipped).alias("step", "z"))
+    return entries(steps.select("episode_index", "frame_index", F.col("step").cast("bigint").alias("step"), F.col("z.chunk_is_pad").alias("is_pad"), F.col("z.chunk").alias("v")))
+
+
+def entries(df, value="v", name="a"):
+    """One row per entry of a vector."""
+    rest = [c for c in df.columns if c != value]
+    return df.select(*rest, F.posexplode(value).alias("dim", name)).select(*rest, F.col("dim").cast("bigint").alias("dim"), F.round(name, 9).alias(name))
 
 
 @query("delta_offsets", f"""WITH {FRAMES_SQL}, e AS (SELECT episode_index, max(frame_index) AS last FROM frames GROUP BY 1)
@@ -131,12 +136,12 @@ def _(spark, sf):
 
 
 @query("action_from_state_shift", f"""WITH {FRAMES_SQL}, e AS (SELECT episode_index, max(frame_index) AS last FROM frames GROUP BY 1)
-  SELECT f.episode_index, f.frame_index, n.state[1] AS a0, n.state[32] AS a31 FROM frames f JOIN e USING (episode_index)
-  JOIN frames n ON n.episode_index = f.episode_index AND n.frame_index = least(f.frame_index + 2, last)""")
+  SELECT f.episode_index, f.frame_index, dim, round(n.state[dim + 1], 9) AS a FROM frames f JOIN e USING (episode_index)
+  JOIN frames n ON n.episode_index = f.episode_index AND n.frame_index = least(f.frame_index + 2, last), range(0, 32) t(dim)""")
 def _(spark, sf):
     out = windows.action_from_state_shift(
         frames(spark, sf).drop("action"), ["episode_index"], "frame_index", F.col("state"), 2, size=1000)
-    return out.select("episode_index", "frame_index", F.col("action")[0].alias("a0"), F.col("action")[31].alias("a31"))
+    return entries(out.select("episode_index", "frame_index", F.col("action").alias("v")))
 
 
 def conversation_episodes(spark, sf):
@@ -162,18 +167,16 @@ def _(spark, sf):
   SELECT *, (sum(length) OVER (ORDER BY episode_index) - length)::BIGINT AS from_index,
     (sum(length) OVER (ORDER BY episode_index))::BIGINT AS to_index FROM l""")
 def _(spark, sf):
-    return windows.episode_offsets(
-        conversation_episodes(spark, sf).select(F.col("conv_id").alias("episode_index"), "length"), size=32)
+    return windows.episode_offsets(conversation_episodes(spark, sf).select(F.col("conv_id").alias("episode_index"), "length"))
 
 
 @query("row_to_episode", """WITH l AS (SELECT conv_id AS episode_index, count(*) AS length FROM conversations GROUP BY 1),
   e AS (SELECT *, sum(length) OVER (ORDER BY episode_index) - length AS f, sum(length) OVER (ORDER BY episode_index) AS t FROM l)
   SELECT event_id AS index, e.episode_index, (event_id - f)::BIGINT AS frame_index FROM events JOIN e ON event_id >= f AND event_id < t""")
 def _(spark, sf):
-    eps = windows.episode_offsets(
-        conversation_episodes(spark, sf).select(F.col("conv_id").alias("episode_index"), "length"), size=32)
+    eps = windows.episode_offsets(conversation_episodes(spark, sf).select(F.col("conv_id").alias("episode_index"), "length"))
     r = table(spark, sf, "events").select(F.col("event_id").alias("index"))
-    return rows.row_to_episode(r, eps, size=100)
+    return rows.row_to_episode(r, eps)
 
 
 @query("interval_diff", f"""WITH {STREAMS_SQL} SELECT recording_id, stream, sample_idx,
@@ -222,10 +225,9 @@ def trials(spark, sf):
 
 
 @query("trial_window_filter", f"""WITH {STREAMS_SQL}, {TRIALS_SQL} SELECT s.recording_id, sample_idx FROM streams s JOIN trials t
-  ON s.recording_id = t.recording_id AND t_ns >= engaged_ns AND t_ns < released_ns WHERE label = 'success' AND task <> 'task_1'""")
+  ON s.recording_id = t.recording_id AND t_ns >= engaged_ns AND t_ns < released_ns WHERE label = 'success'""")
 def _(spark, sf):
-    t = trials(spark, sf).where("task <> 'task_1'")
-    return rows.trial_window_filter(streams(spark, sf), t, ["recording_id"]).select("recording_id", "sample_idx")
+    return rows.trial_window_filter(streams(spark, sf), trials(spark, sf), ["recording_id"]).select("recording_id", "sample_idx")
 
 
 CONTACTS_SQL = f"""contacts AS (SELECT recording_id, sample_idx AS contact_id, t_ns AS start_ns, t_ns + (value * 3600000)::BIGINT * 1000000 AS end_ns

@@ -92,7 +92,7 @@ def _(spark, sf):
   c AS (SELECT *, least(length, 200 - (sum(length) OVER (ORDER BY episode_index) - length))::BIGINT AS take FROM l) SELECT * FROM c WHERE take > 0""")
 def _(spark, sf):
     e = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("episode_index")).agg(F.count("*").alias("length"))
-    return stats.row_cap(e, 200, size=32)
+    return stats.row_cap(e, 200)
 
 
 @query("column_stats", f"""WITH {FRAMES_SQL}, u AS (SELECT episode_index, 'state' AS c, generate_subscripts(state, 1) - 1 AS dim, unnest(state) AS x FROM frames

@@ -87,11 +87,11 @@ def _(spark, sf):
     return _masked(spark, sf, vectors.absolute_mask)
 
 
-@query("bool_mask", f"WITH {FRAMES_SQL} SELECT vec_id, list_sum(action[1:2]) + list_sum(action[5:6]) AS x FROM frames".replace(
-    "list_sum(action[1:2]) + list_sum(action[5:6])", "round(action[1] + action[2] + action[5] + action[6], 6)"))
+@query("bool_mask", f"WITH {FRAMES_SQL} SELECT vec_id, dim, round(CASE WHEN dim % 4 < 2 THEN action[dim + 1] ELSE -action[dim + 1] END, 6) AS x FROM frames, range(0, 32) t(dim)")
 def _(spark, sf):
-    on = [i for i, m in enumerate(vectors.bool_mask(2, -2, 2)) if m]
-    return frames(spark, sf).select("vec_id", F.round(sum((F.col("action")[i] for i in on[1:]), F.col("action")[on[0]]), 6).alias("x"))
+    mask = F.array(*map(F.lit, vectors.bool_mask(*[2, -2] * 8)))
+    signed = F.transform("action", lambda v, i: F.when(F.get(mask, i), v).otherwise(-v))
+    return frames(spark, sf).select("vec_id", F.posexplode(signed).alias("dim", "x")).select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
 
 
 @query("pad_to_width", f"""WITH {FRAMES_SQL} SELECT vec_id, dim, CASE WHEN dim < 20 THEN round(state[dim + 1], 6) ELSE 0 END AS x, dim < 20 AS real
@@ -343,11 +343,12 @@ query("frame_canvas", canvas_sql(_HAND_BOUNDS))(canvas_query("hand"))
 query("frame_canvas_grid", canvas_sql(_GRID_BOUNDS))(canvas_query("grid"))
 
 
-@query("placeholder_targets", f"WITH {FRAMES_SQL} SELECT vec_id, 0::DOUBLE AS state_sum, 32::BIGINT AS width FROM frames")
+@query("placeholder_targets", f"WITH {FRAMES_SQL} SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE list_sum(state) END, 6) AS state_sum, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE len(list_filter(action, lambda v: v <> 0)) END::BIGINT AS targets FROM frames")
 def _(spark, sf):
-    state, action = vectors.placeholder_targets(32)
-    f = frames(spark, sf).withColumns({"state": state, "action": action})
-    return f.select("vec_id", F.aggregate("state", F.lit(0.0), lambda s, v: s + v).alias("state_sum"), F.size("action").cast("bigint").alias("width"))
+    """Every third row has no robot targets and gets placeholders; the others keep theirs."""
+    blank = F.col("vec_id") % 3 == 0
+    f = frames(spark, sf).withColumns({n: F.when(blank, zero).otherwise(F.col(n)) for n, zero in zip(("state", "action"), vectors.placeholder_targets(32))})
+    return f.select("vec_id", F.round(F.aggregate("state", F.lit(0.0), lambda s, v: s + v), 6).alias("state_sum"), F.size(F.filter("action", lambda v: v != 0)).cast("bigint").alias("targets"))
 
 
 @query("grid_pool", f"""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),

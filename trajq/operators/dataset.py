@@ -242,7 +242,7 @@ def time_column(df: DataFrame, index: Column, *, names: Sequence[str] = ("epoch"
     return F.col(present[0]).cast("double") if present else index / F.lit(fps)
 
 
-def drop_by_type(df: DataFrame, kind: type = T.StringType) -> DataFrame:
+def drop_by_type(df: DataFrame, kind: type | tuple[type, ...] = T.StringType) -> DataFrame:
     """Without the columns of a type (text cannot enter statistics)."""
     return df.select(*[f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, kind)])
 

@@ -12,7 +12,7 @@ from trajq.functions.text import fixed
 from trajq.operators.rows import SECOND_NS, interval_join
 from trajq.operators.tactile import HAND_KEYS, ZERO_FLOOR, relative, visible_force
 from trajq.operators.windows import interval_diff, segments
-from trajq.plans.lineage import checkpoint, single
+from trajq.plans.lineage import checkpoint, lookup_join, single
 from trajq.plans.ordered import HOUR_NS
 from trajq.plans.quantiles import exact_quantiles
 
@@ -51,7 +51,7 @@ def integrity_check(
         # Used by both quantile passes and the final count: written once instead of three times sorted.
         d = checkpoint(interval_diff(df.select(key, group, "t_ns"), [key, group], "t_ns", size=size))
         med = exact_quantiles(d, [key, group], F.col("dt"), {"med": 0.5}).drop("n")
-        d = d.join(med, [key, group], "left")
+        d = lookup_join(d, med, [key, group], "left", by=F.col("t_ns"))
         big = F.col("dt") > F.col("med") * factor
         return d.groupBy(key, group).agg(
             F.count("*").alias("rows"), F.min("t_ns").alias("t0"), F.max("t_ns").alias("t1"), F.first("med").alias("med"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajq.operators.asof import asof_causal
+from trajq.plans.lineage import lookup_join
 from trajq.plans.ordered import BUCKET, HOUR_NS, bucket_start, fill
 
 # Freshness limits and command range.
@@ -26,7 +27,7 @@ def trial_window_filter(rows: DataFrame, trials: DataFrame, keys: Sequence[str],
         ok = ok & (F.col("label") == label)
     if task is not None:
         ok = ok & (F.col("task") == task)
-    j = rows.join(trials.where(ok).select(*keys, "engaged_ns", "released_ns"), list(keys))
+    j = lookup_join(rows, trials.where(ok).select(*keys, "engaged_ns", "released_ns"), keys, by=F.col(t))
     return j.where((F.col(t) >= F.col("engaged_ns")) & (F.col(t) < F.col("released_ns"))).select(*rows.columns)
 
 
@@ -141,7 +142,7 @@ def usable_rows(
     )
     r = asof_causal(ticks, samples, [key], ["arm", "hand", "glove"], payload=("issued", "sample_idx"), size=size)
     t = trials.where(F.col("label") == label) if label is not None else trials
-    r = r.join(t.select(key, "engaged_ns", "released_ns"), key, "left")
+    r = lookup_join(r, t.select(key, "engaged_ns", "released_ns"), [key], "left", by=F.col("t_ns"))
     within = lambda age, limit: F.coalesce(age.between(0, limit), F.lit(False))
     flags = {
         "in_trial": F.coalesce((F.col("t_ns") >= F.col("engaged_ns")) & (F.col("t_ns") < F.col("released_ns")), F.lit(False)),

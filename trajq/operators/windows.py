@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajq.plans.lineage import lookup_join
 from trajq.plans.ordered import ROWS_PER_BUCKET, fill, global_index, neighbours, running_sum, runs
 
 # Run length, horizon, frame rate, episodes per chunk.
@@ -122,7 +123,7 @@ def renumber(episodes: DataFrame, order: Sequence[str], *, length: str = "length
 
 def renumber_frames(frames: DataFrame, episodes: DataFrame, keys: Sequence[str], *, index: str = "frame_index") -> DataFrame:
     """Frames with their new episode, time stamp and global row index."""
-    out = frames.join(episodes.select(*keys, "episode_index", "from_index"), list(keys))
+    out = lookup_join(frames, episodes.select(*keys, "episode_index", "from_index"), keys, by=F.col(index))
     return out.withColumns({
         "timestamp": (F.col(index).cast("float") / F.lit(FPS).cast("float")).cast("float"),
         "index": F.col("from_index") + F.col(index),
@@ -140,7 +141,7 @@ def batch_center(df: DataFrame, batch: str, value: str, *, name: str = "centered
     flat = df.select(batch, F.posexplode(value).alias("_i", "_x"))
     means = flat.groupBy(batch, "_i").agg(F.avg("_x").alias("_m"))
     means = means.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_mu"))  # one entry per dimension
-    out = df.join(means, batch)
+    out = lookup_join(df, means, [batch], by=F.col(value))
     return out.withColumn(name, F.zip_with(value, "_mu", lambda x, m: x - m["_m"])).drop("_mu")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.functions import broadcast, struct
+from pyspark.sql.functions import broadcast, explode, lit, pmod, sequence, struct, xxhash64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,9 +64,33 @@ def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     summary beforehand and would shuffle the whole data on its few keys; here it is written to
     the checkpoint folder and counted. Larger summaries are joined by a shuffle.
     """
+    done, small = settled(df, max_rows)
+    return broadcast(done) if small else done
+
+
+def settled(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """The table written, and whether it is small enough to be broadcast."""
     done = checkpoint(df)
     rows = done.count()
-    return broadcast(done) if rows <= max_rows and rows * width(done.schema) <= SMALL_BYTES else done
+    return done, rows <= max_rows and rows * width(done.schema) <= SMALL_BYTES
+
+
+#: Parts that a key's rows are dealt into when the lookup is too large to be broadcast.
+SPLITS = 32
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", *, by: Column, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Join rows to a lookup with few rows per key, without gathering the rows of a key in one task.
+
+    A lookup that counts few rows is broadcast, so the rows are not shuffled. A larger one meets them on the
+    key and a part: each of the rows goes to the part that a hash of ``by`` names, the lookup's to all
+    ``SPLITS`` parts. Inner and left joins.
+    """
+    done, small = settled(lookup, max_rows)
+    if small:
+        return rows.join(broadcast(done), list(keys), how)
+    copied = done.withColumn("_part", explode(sequence(lit(0), lit(SPLITS - 1))))
+    return rows.withColumn("_part", pmod(xxhash64(by), lit(SPLITS)).cast("int")).join(copied, [*keys, "_part"], how).drop("_part")
 
 
 def single(df: DataFrame) -> Column:
