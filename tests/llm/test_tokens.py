@@ -40,6 +40,18 @@ def test_other_white_space_does_not_stand_in_for_merged_line_ends(name):
     assert [x.tolist() for x in encoder.ids(texts)] == [whole(t) for t in texts]
 
 
+def test_single_spaced_texts_are_told_from_others():
+    import sys
+
+    from trajq.llm.tokenization import single_spaced
+
+    spaces = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()]
+    assert single_spaced("a") and single_spaced("a b\nc é 漢") and not single_spaced("")
+    for s in spaces:
+        assert single_spaced(f"a{s}b") == (s in " \n") and not single_spaced(f"a {s}b") and not single_spaced(f"{s}a") and not single_spaced(f"a\n{s}") and not single_spaced(f"é{s}{s}b")
+    assert not single_spaced("a\0b")
+
+
 def test_ranks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000, 100_003):

@@ -28,13 +28,28 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: Controls that count as white space (or as a cut, 0) besides space and line end, and the UTF-8 of white space beyond ASCII.
+ODD_CONTROLS = bytes([0, 9, 11, 12, 13, 28, 29, 30, 31])
+WIDE_SPACES = [c.encode() for c in "\x85\xa0\u1680\u3000\u205f\u2028\u2029\u202f"] + [b"\xe2\x80" + bytes([k]) for k in range(0x80, 0x8B)]
+
+
+def single_spaced(text: str) -> bool:
+    """No white space but single spaces and line ends between words."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    raw = text.encode()
+    if len(raw.translate(None, ODD_CONTROLS)) != len(raw):
+        return False
+    return text.isascii() or not any(w in raw for w in WIDE_SPACES)
+
+
 class Encoder:
     """``ids(texts)``: the ids of each text, with ``end`` appended, as uint32 arrays.
 
     ``most`` bounds the remembered pieces; beyond it the memory starts afresh.
     """
 
-    def __init__(self, path: str, end: int, most: int = 200_000):
+    def __init__(self, path: str, end: int, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end, most
@@ -50,30 +65,39 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
         known = self.words.get(word)
         if known is None:
             if not word.isascii():
                 seen = word.encode().decode("latin-1").translate(self.alphabet)
             else:
                 seen = self.space + word[1:] if word[0] == " " else word if word != "\n" else self.alphabet[10]
-            known = self.words[word] = tuple([t.id for t in self.model.tokenize(seen)])
+            known = self.words[word] = [t.id for t in self.model.tokenize(seen)]
         return known
 
     def learn(self, new: list[str]) -> None:
         """Plain Latin pieces go to the library's model word by word, all others through its whole pipeline."""
         got: list = [None] * len(new)
         odd, ids_of = [], self.word
-        tokenize, lower, space = self.model.tokenize, self.lower, self.space
+        tokenize, lower, space, alphabet = self.model.tokenize, self.lower, self.space, self.alphabet
+        code, learnt = self.code, {}  # a piece is mostly another one with a comma, a full stop or a capital
         for i, piece in enumerate(new):
             plain = piece.lower() if lower else piece
             tail = plain[-1:]
             stem = plain[:-1] if tail == "," or tail == "." else plain
             bare = stem[1:] if stem[:1] == " " else stem
-            if bare.isalpha() and bare.isascii():
-                got[i] = [t.id for t in tokenize(bare if lower or bare is stem else space + bare)]
-                if stem is not plain:
-                    got[i] += ids_of(tail)
+            if bare.isalpha() and (bare.isascii() or max(bare) <= "\xff"):
+                ids = learnt.get(stem)
+                if ids is None:
+                    at = code.get(stem)
+                    if at is None:
+                        seen = bare if bare.isascii() else bare.encode().decode("latin-1").translate(alphabet)
+                        ids = [t.id for t in tokenize(seen if lower or bare is stem else space + seen)]
+                    else:
+                        start = self.starts[at]
+                        ids = self.flat[start : start + self.sizes[at]].tolist()
+                    learnt[stem] = ids
+                got[i] = ids if stem is plain else ids + ids_of(tail)
             elif PLAIN.fullmatch(piece) and "<|" not in piece:
                 got[i] = tuple(chain.from_iterable(map(ids_of, self.split(plain))))
             else:
@@ -96,7 +120,7 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line ends only
+        if single_spaced(text):
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         first, *rest = text.split(" ")
         whole = [first]
