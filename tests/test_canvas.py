@@ -57,3 +57,13 @@ def test_channels_and_nothing(spark):
     assert frame_canvases(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="layout"):
         frame_canvases(df, layout="foot")
+
+
+def test_a_pad_without_finite_values_fails_the_fit(spark):
+    from trajq.operators.padfit import pad_norm_fit
+
+    rows = [(1, "left", p, s, 0, 1, 2, [float(s), float("nan") if p == 3 else 1.0]) for p in (0, 3) for s in range(9)]
+    assert pad_norm_fit(spark.createDataFrame(rows, TACTILE)).count() == 2
+    rows += [(1, "right", 5, 0, 0, 1, 2, [float("nan"), float("inf")])]
+    with pytest.raises(Exception, match="no finite training values for pad right 5"):
+        pad_norm_fit(spark.createDataFrame(rows, TACTILE)).collect()

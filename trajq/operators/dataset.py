@@ -236,12 +236,6 @@ def column_alias(df: DataFrame, aliases: Sequence[Sequence[str]], *, last_scale:
     return F.array(*cells)
 
 
-def time_column(df: DataFrame, index: Column, *, names: Sequence[str] = ("epoch", "epoch_s", "timestamp", "timestamp_s", "time"), fps: float = 30.0) -> Column:
-    """First present time column in seconds, else frame index / fps."""
-    present = [n for n in names if n in df.columns]
-    return F.col(present[0]).cast("double") if present else index / F.lit(fps)
-
-
 def drop_by_type(df: DataFrame, kind: type | tuple[type, ...] = T.StringType) -> DataFrame:
     """Without the columns of a type (text cannot enter statistics)."""
     return df.select(*[f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, kind)])

@@ -34,11 +34,15 @@ def pad_norm_fit(tactile: DataFrame, *, samples: int | None = None, seed: int =
     """Baseline, scale and contact threshold per (hand, pad), from all frames or ``samples`` per hand.
 
     ``floor_by`` (for instance the hand) says over which pads the scale floor is taken; empty
-    means all. MAD needs the median first, hence the second quantile pass over the sample.
+    means all. MAD needs the median first, hence the second quantile pass over the sample. A pad that
+    occurs without any finite value fails the fit.
     """
     sampled = tactile if samples is None else seeded_sample(tactile, HAND_KEYS, ["sample_idx"], samples, seed=seed)
     pool = finite_cells(sampled, ["hand", "pad"])
-    first = measured(exact_quantiles(pool, ["hand", "pad"], F.col("x"), {"base": 0.05, "high": 0.999, "med": 0.5}))
+    quantiles = exact_quantiles(pool, ["hand", "pad"], F.col("x"), {"base": 0.05, "high": 0.999, "med": 0.5})
+    none = F.raise_error(F.concat(F.lit("no finite training values for pad "), F.concat_ws(" ", "hand", F.col("pad").cast("string")))).cast("double")
+    seen = sampled.select("hand", "pad").distinct().join(quantiles, ["hand", "pad"], "left")
+    first = measured(seen.withColumn("base", F.when(F.col("base").isNull(), none).otherwise(F.col("base"))))
     dev = pool.join(first.select("hand", "pad", "med"), ["hand", "pad"])
     mad = exact_quantiles(dev, ["hand", "pad"], F.abs(F.col("x") - F.col("med")), {"mad": 0.5}).drop("n")
     fit = first.join(mad, ["hand", "pad"]).withColumn("raw", F.greatest(F.col("high") - F.col("base"), F.lit(MIN_SCALE)))

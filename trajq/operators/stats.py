@@ -25,11 +25,6 @@ def flat_dims(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.select(*keys, F.posexplode(value).alias("dim", "x"))
 
 
-def flat_chunk_dims(df: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
-    """Like flat_dims for an array of vectors: all leading dimensions are flattened."""
-    return df.select(*keys, F.explode(chunk).alias("_v")).select(*keys, F.posexplode("_v").alias("dim", "x"))
-
-
 def vector_moments(flat: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per dimension: count, mean, mean of squares, min, max, population std; at least two rows."""
     x = F.col("x").cast("double")

@@ -39,11 +39,6 @@ def scan_recordings(spark: SparkSession, root: str, marker: str = "rgb_head.csv"
     return dirs.select("path", base_of(F.col("path")).alias("recording_id"))
 
 
-def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Files of all recordings: ``recording_id``, ``file`` (inventory input)."""
-    return _paths(spark, root, pattern).select(base_of(folder_of(F.col(PATH))).alias("recording_id"), base_of(F.col(PATH)).alias("file"))
-
-
 def scan_by_date(spark: SparkSession, root: str, *, dates: Sequence[str] | None = None, listed: DataFrame | None = None, marker: str = "*", sample: int | None = None, seed: int = 0) -> DataFrame:
     """``<root>/<date>/<episode>`` folders of some dates, of a list (``path`` below the root), or n sampled ones."""
     from trajq.operators.sampling import sample_n
