@@ -118,8 +118,7 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert ids[107] == 1 and ids[104] == 1 and 105 not in ids and ids[None] == 2 and ids[100] == ids[101] == ids[102] == 1
 
 
-def test_chains_large_groups_and_shared_passages(make, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 8)
+def test_chains_large_groups_and_shared_passages(make):
     rng = random.Random(8)
     texts = []
     chain = [f"c{i}" for i in range(120)]

@@ -11,11 +11,11 @@ ten mantissa bits. Equal sets are one node from the start.
    standard errors below the threshold are dropped, so are sizes that rule it out.
 3. What is left is confirmed on the full sets, the likeliest pair of each node first, the others only
    if they still lie in different components.
-4. Bands whose members are not all in one component yet are searched through: each member outside
-   the component of the smallest meets every member of the band, in blocks of registers; what
-   passes the estimate is confirmed on full sets, the likeliest first, since one link settles a
-   whole component, and in the last round all that still lie apart. A pair is met in the first band
-   it shares; there it was compared already or the band is unresolved.
+4. What bands leave apart meets on full sets: shingles are ordered from the rarest on, and two sets
+   at the threshold have one in common among the first quarter of each, with enough left behind it in
+   both (prefix and position filtering, exact). A passage that many documents share is frequent, so it
+   stands at the end and brings none together that are not alike. The members of a shingle are met
+   in rounds of stars, estimated and confirmed.
 
 Two documents at the threshold of 0.75 share no band with a probability of 5e-6, at 0.8 of 5e-8.
 Null text counts as empty; a document without words is linked with nothing. Rows that share a doc_id
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajq.llm.common import Words, mix, shingles, slices, stored
@@ -43,10 +43,8 @@ REGISTERS, ROWS = 1 << BUCKET_BITS, 4
 BANDS = REGISTERS // ROWS
 #: Standard errors that an estimate may lie below the threshold.
 MARGIN = 5.0
-#: Candidates that a node confirms in each round of the search through unresolved bands; the last round leaves none out.
-SEARCH = (1, 8, 64, None)
-#: Members of a band that one block holds.
-BLOCK = 512
+#: Buckets of the table of shingle frequencies: a byte each, so its size is fixed. Any table gives the same links.
+FREQUENCIES = 1 << 20
 
 
 def sets_of(texts: list[str], words: Words) -> list[np.ndarray]:
@@ -180,59 +178,100 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("c_a <> c_b").drop("c_a", "c_b")
 
 
-def unresolved(members: DataFrame, comps: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of bands that span several components; a lies outside the component of the band's smallest node.
+def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node) of the bands whose members other than the smallest lie in several components."""
+    at = placed(members.where("node <> head"), comps)
+    split = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return at.join(split.select("key"), "key").select("node").distinct()
 
-    Of each a only the ``most`` likeliest, None: all.
+
+def placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def frequencies(sets: DataFrame) -> bytes:
+    """One byte per bucket of shingle hashes, larger the more shingles of all sets fall into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCIES, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                every = np.frombuffer(b"".join(batch.column(0).slice(at, 1024).to_pylist()), np.uint64)
+                total += np.bincount(slot(every), minlength=FREQUENCIES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "n"])
+
+    counts = sets.select("hashes").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.select("slot", F.least(F.lit(255), F.round(F.log2("n") * 6)).cast("short").alias("level")).toArrow()
+    out = np.zeros(FREQUENCIES, np.uint8)
+    out[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return out.tobytes()
+
+
+def slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FREQUENCIES.bit_length() + 1)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, levels: bytes) -> DataFrame:
+    """(key, node, n, pos) of the shingles of each set that come first in the order of (frequency, hash).
+
+    Of a set of n shingles n - ceil(0.75 n) + 1: two sets at the threshold have one of these in common.
     """
-    at = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = at.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(F.col("node") == F.col("head"), F.col("component"))).alias("major"))
-    open_ = at.join(split.where("m > 2 and low < high"), "key")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    minor = F.col("component") != F.col("major")
-    visits = F.concat(F.array(own), F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")))
-    dealt = open_.select("key", "node", "component", minor.alias("minor"), (F.col("node") == F.col("head")).alias("is_head"), F.posexplode(visits).alias("visit", "block"))
-    dealt = dealt.join(nodes.select("node", "n", "registers"), "node").withColumn("visit", F.col("visit") > 0)
-    ordered = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "visit").select("key", "block", "visit", "node", "component", "minor", "is_head", "n", "registers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
+        level = np.frombuffer(levels, np.uint8)
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            regs = matrix(batch.column(8))
-            cuts = np.flatnonzero((np.diff(cols[0], prepend=cols[0][:1] - 1) != 0) | (np.diff(cols[1], prepend=-1) != 0) | (np.diff(cols[2].astype(np.int8), prepend=0) != 0))
-            for i, j in zip([0, *cuts[cuts > 0]], [*cuts[cuts > 0], batch.num_rows]):
-                if i == j:
-                    continue
-                part = [c[i:j] for c in cols[2:]] + [regs[i:j]]
-                if (cols[0][i], cols[1][i]) != place:
-                    place, held = (cols[0][i], cols[1][i]), []
-                if not part[0][0]:
-                    held.append(part[1:])
-                    continue
-                node, comp, minor, head, n, reg = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0)] * 6
-                a, b, e = [], [], []
-                for k in range(j - i):  # one visitor against the block
-                    other = (comp != part[2][k]) & ~head & (~minor | (node > part[1][k]))
-                    if part[4][k] or not other.any():
-                        continue
-                    t = np.flatnonzero(other)
-                    estimate, ok = likely(np.broadcast_to(part[6][k], (len(t), REGISTERS)), reg[t], np.full(len(t), part[5][k]), n[t])
-                    shared = (reg[t].view(np.uint64) == part[6][k].view(np.uint64)[None]) & (part[6][k].view(np.uint64) > 0)[None]
-                    ok &= band_keys(part[6][k].view(np.uint64))[shared.argmax(1)] == place[0]  # a pair counts in the first band it shares
-                    hit = np.flatnonzero(ok)
-                    hit = hit[np.argsort(-estimate[hit], kind="stable")[:most]]
-                    a += [int(part[1][k])] * len(hit)
-                    b += node[t[hit]].tolist()
-                    e += estimate[hit].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], ["a", "b", "estimate"])
-
-    found = ordered.mapInArrow(run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    if most is not None:
-        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("estimate"), "b"))
-        found = found.withColumn("place", place).where(F.col("place") <= most)
-    return found.select("a", "b")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                hashes = part.column(1).to_pylist()
+                n = np.array([len(h) // 8 for h in hashes], np.int64)
+                every = np.frombuffer(b"".join(hashes), np.uint64)
+                doc = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((every, level[slot(every)], doc))
+                pos = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+                keep = pos <= np.repeat(n + -LEAST * n // 100, n)
+                doc = doc[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(every[order][keep].view(np.int64)), pa.array(part.column(0).to_numpy()[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["key", "node", "n", "pos"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "key long, node long, n int, pos int")
+
+
+def searched(rows: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``comps`` with every link among the sets of ``rows`` (prefixes).
+
+    In each round some members of every key that spans several components are met by all others of
+    it, unless the sizes or what is left behind their places in both orders is too little for the
+    threshold; then they leave the key. The members met at once grow fourfold a round, so a key that
+    stays open ends after a logarithmic number of rounds.
+    """
+    most = 1
+    while True:
+        at = placed(rows, comps)
+        split = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        open_ = stored(at.join(split.select("key"), "key").select("key", "node", "n", "pos", "component"), "open")
+        if open_.isEmpty():
+            return comps
+        heads = open_.groupBy("key", F.pmod(F.xxhash64("node", F.lit(most)), F.lit(most)).alias("part")).agg(F.min(F.struct("node", "n", "pos", "component")).alias("h")).select("key", "h.*")
+        x, y = open_.alias("x"), heads.alias("y")
+        sizes = (100 * F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")) & ((100 + LEAST) * F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= LEAST * (F.col("x.n") + F.col("y.n")))
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes)
+        pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+        links = stored(confirmed(estimated(pairs, nodes).select("a", "b"), sets), "edges")
+        comps = extended(comps, links)
+        rows = open_.drop("component").join(heads.drop("component"), ["key", "node", "n", "pos"], "left_anti")
+        most *= 4
+
+
+def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after more edges: only these, between components as they are, are solved."""
+    if edges.isEmpty():
+        return comps
+    for x in ("a", "b"):
+        edges = placed(edges.withColumnRenamed(x, "node"), comps).drop("node").withColumnRenamed("component", x)
+    up = components(edges)
+    lone = up.join(comps.select("node"), "node", "left_anti")
+    moved = comps.join(up.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return stored(moved.unionByName(lone), "components")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -252,17 +291,11 @@ def clusters(docs: DataFrame) -> DataFrame:
     edges = stored(confirmed(best, sets).unionAll(same_id), "edges")
     comps = components(edges)
     more = stored(confirmed(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), comps), sets), "edges")
-    if not more.isEmpty():
-        edges = edges.unionAll(more)
-        comps = components(edges)
-    for most in SEARCH:
-        left = stored(unresolved(members, comps, nodes, most), "pairs")
-        if left.isEmpty():
-            break
-        last = stored(confirmed(left, full_sets(docs, left.select(F.col("a").alias("node")).unionAll(left.select("b")))), "edges")
-        if not last.isEmpty():
-            edges = edges.unionAll(last)
-            comps = components(edges)
+    comps = extended(comps, more)
+    left = stored(unresolved(members, comps), "left")
+    if not left.isEmpty():
+        sets = full_sets(docs, left)
+        comps = searched(prefixes(sets, frequencies(sets)), comps, nodes, sets)
     of_set = nodes.select("set_key", "node").join(comps, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     found = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
