@@ -241,10 +241,10 @@ def searched(rows: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFram
 
     In each round some members of every key that spans several components are met by all others of
     it, unless the sizes or what is left behind their places in both orders is too little for the
-    threshold; then they leave the key. The members met at once grow fourfold a round, so a key that
-    stays open ends after a logarithmic number of rounds.
+    threshold; then they leave the key. The members met at once grow sixteenfold a round, so a key
+    that stays open ends after a logarithmic number of rounds.
     """
-    most = 1
+    most = 8
     while True:
         at = placed(rows, comps)
         split = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
@@ -256,10 +256,12 @@ def searched(rows: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFram
         sizes = (100 * F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n")) & ((100 + LEAST) * F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= LEAST * (F.col("x.n") + F.col("y.n")))
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes)
         pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-        links = stored(confirmed(estimated(pairs, nodes).select("a", "b"), sets), "edges")
+        pairs = measured(estimated(pairs, nodes).select("a", "b"))
+        ends = measured(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
+        links = stored(confirmed(pairs, sets.join(ends, "node", "left_semi")), "edges")  # the other sets stay where they are
         comps = extended(comps, links)
         rows = open_.drop("component").join(heads.drop("component"), ["key", "node", "n", "pos"], "left_anti")
-        most *= 4
+        most *= 16
 
 
 def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
