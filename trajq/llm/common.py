@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajq.plans.lineage import scratch_dir
 
-#: Bytes of text that one numpy step works on.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one numpy step works on; SMALL_BYTES where a step makes many rows of numbers or strings of it.
+SLICE_BYTES, SMALL_BYTES = 2 << 20, 1 << 19
 #: Bytes that separate words: space and the ASCII controls from tab to carriage return.
 SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -58,8 +58,12 @@ def open_file(path: str):
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text (a longer text stands alone)."""
+    """The same rows in batches of about ``most`` bytes of text (a longer text stands alone).
+
+    Memory that Arrow holds back for later batches is returned before each, since workers outlive their tasks.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         col = batch.column(batch.schema.get_field_index(column))
         sizes = np.zeros(batch.num_rows, np.int64) if batch.num_rows == 0 else np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         at, total = 0, 0

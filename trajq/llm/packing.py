@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajq.llm.common import slices, stored
+from trajq.llm.common import SMALL_BYTES, slices, stored
 from trajq.llm.tokenization import Encoder
 
 SIZE, OPEN = 2048, 64
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
             cols = list(zip(*rows)) if rows else [[]] * 8
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([closed] * len(rows), pa.bool_())], names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_BYTES):
             done: list[tuple] = []
             for key, ids in zip(batch.column(0).to_pylist(), encoder.ids([x or "" for x in batch.column(1).to_pylist()])):
                 start, n = 0, len(ids)
