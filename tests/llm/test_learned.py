@@ -54,6 +54,33 @@ def test_thresholds_of_scores():
     assert quality.quantile_cut(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 0, 1, 1]), 0.1) == 1.5
 
 
+def labelled_rows(spark, n):
+    """Noisy documents of both labels, more than 2000 of label 1, in two languages."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(n) < 0.85).astype(int)
+    texts = [" ".join(f"{'Ab' if rng.random() < 0.3 + 0.3 * good else 'cd7'}{rng.integers(40)}" for _ in range(rng.integers(3, 25))) for good in y]
+    langs = [("en", "de")[i % 2] for i in range(n)]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(v), int(v)) for i, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    return docs, labels, texts, np.array(y), np.array(langs)
+
+
+def learned_from(n, of, held):
+    import zlib
+
+    return np.array([zlib.crc32(str(i).encode()) % of != held for i in range(n)])
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    docs, labels, texts, y, _ = labelled_rows(spark, 4500)
+    own = learned_from(len(y), 3, 1)
+    assert (y[own] == 1).sum() > 2000
+    x = quality.features([t for t, k in zip(texts, own) if k])
+    model = quality.fit(docs, labels)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-3)
+    assert model.threshold == pytest.approx(quality.quantile_cut(model.rank(x), y[own], (y[own] == 0).mean()), abs=1e-9)
+
+
 def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 

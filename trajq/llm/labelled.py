@@ -1,4 +1,4 @@
-"""A bounded, repeatable sample of labelled documents for fitting a classifier."""
+"""All labelled documents, in blocks, for fitting a classifier."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajq.llm.common import slices
+from trajq.llm.common import slices, stored
+from trajq.plans.lineage import measured
 
 #: Labelled documents of each class that a classifier is fitted on, at most.
 PER_CLASS = 2000
+#: Labelled documents that one step of a fit works on, about, and the most bytes of their features.
+BLOCK, BLOCK_BYTES = 4096, 64 << 20
 
 
 def remainder(key: str, of: int) -> Column:
@@ -26,6 +29,50 @@ def training(labels: DataFrame, label: str, of: int, held: int) -> DataFrame:
     return rows.where(F.col("y").isin(0, 1) & (remainder("doc_id", of) != held))
 
 
+def gathered(docs: DataFrame, rows: DataFrame, features: Callable[[list[str]], np.ndarray | list], size: int = BLOCK) -> DataFrame:
+    """block, doc_id, y, lang and x, the features as bytes, of every labelled document. Stored, block by block.
+
+    Blocks of about ``size`` documents are dealt by a hash, so their rows do not depend on how tables or tasks are
+    cut. A doc_id that stands in several rows gives several rows. Few labels are broadcast; more meet the
+    documents by a shuffle.
+    """
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            got = [np.ascontiguousarray(x).tobytes() for x in features(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(got, pa.binary())], ["doc_id", "y", "lang", "x"])
+
+    ids = measured(rows)
+    n = max(1, -(-ids.count() // size))
+    found = texts.join(ids, "doc_id").select("doc_id", "text", "lang", "y").mapInArrow(run, "doc_id long, y int, lang string, x binary")
+    found = found.select(F.pmod(F.xxhash64("doc_id", "x"), F.lit(n)).alias("block"), "*")
+    return stored(found.repartition(n, "block").sortWithinPartitions("block", "doc_id", "y", "x"), "labelled")
+
+
+def classes(rows: DataFrame) -> dict[int, int]:
+    """Rows of each label."""
+    return {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[tuple[int, int], list[bytes], np.ndarray]]:
+    """((block, part), features, labels) of the gathered rows; a block of more than ``most`` bytes comes in parts."""
+    now, part, size, x, y = None, 0, 0, [], []
+    for batch in batches:
+        for block, label, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "y", "x"))):
+            if x and (block != now or size + len(raw) > most):
+                yield (now, part), x, np.array(y, np.int64)
+                part, size, x, y = part + 1, 0, [], []
+            if block != now:
+                now, part = block, 0
+            size += len(raw)
+            x.append(raw)
+            y.append(label)
+    if x:
+        yield (now, part), x, np.array(y, np.int64)
+
+
 def sample(docs: DataFrame, rows: DataFrame, features: Callable[[list[str]], np.ndarray | list], per_class: int = PER_CLASS) -> tuple[list[bytes], np.ndarray, list]:
     """Features (as bytes), labels and languages of at most ``per_class`` documents of each class.
 
