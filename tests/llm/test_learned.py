@@ -81,6 +81,36 @@ def test_quality_learns_from_all_labelled_rows(spark):
     assert model.threshold == pytest.approx(quality.quantile_cut(model.rank(x), y[own], (y[own] == 0).mean()), abs=1e-9)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    docs, labels, texts, y, langs = labelled_rows(spark, 3600)
+    own = learned_from(len(y), 5, 0)
+    assert (y[own] == 1).sum() > 2000
+    rows = labelled.gathered(docs, labelled.training(labels, "toxic", 5, 0), toxicity.sample_features, 500)
+    assert rows.count() == own.sum() and rows.select("block").distinct().count() == -(-own.sum() // 500)
+    x = toxicity.sample_features([t for t, k in zip(texts, own) if k])
+    for k, seen in enumerate(toxicity.word_counts(rows)):
+        want = np.zeros_like(seen)
+        for t, label in zip(x, y[own]):
+            want[label, np.unique(t[:, k])] += 1
+        assert (seen == want).all()
+    model = toxicity.fit(docs, labels, epochs=1)
+    p = model.score_rows(x)
+    assert model.threshold == pytest.approx(toxicity.cut(p, y[own]), abs=1e-6)
+    for lang in ("en", "de"):
+        at = langs[own] == lang
+        assert model.thresholds[lang] == pytest.approx(toxicity.cut(p[at], y[own][at]), abs=1e-6)
+
+
+def test_blocks_are_averaged(spark):
+    """Blocks in any tasks give the same model, and one that differs from a block's own."""
+    docs, labels, *_ = labelled_rows(spark, 400)
+    rows = labelled.gathered(docs, labelled.training(labels, "toxic", 5, 0), toxicity.sample_features, 80)
+    n = labelled.classes(rows)
+    state, weight = toxicity.start(rows, n[0], n[1]), np.ones(2)
+    a, b = (toxicity.epoch(r, state, weight, 0) for r in (rows, rows.coalesce(1)))
+    assert all((x == y).all() for x, y in zip([*a.dense(), *a.model.tables, *a.speed, *a.moments], [*b.dense(), *b.model.tables, *b.speed, *b.moments])) and a.step == b.step > 0
+
+
 def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 

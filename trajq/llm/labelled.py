@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from trajq.llm.common import slices, stored
 from trajq.plans.lineage import measured
 
-#: Labelled documents of each class that a classifier is fitted on, at most.
-PER_CLASS = 2000
 #: Labelled documents that one step of a fit works on, about, and the most bytes of their features.
 BLOCK, BLOCK_BYTES = 4096, 64 << 20
 
@@ -73,27 +71,6 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
         yield (now, part), x, np.array(y, np.int64)
 
 
-def sample(docs: DataFrame, rows: DataFrame, features: Callable[[list[str]], np.ndarray | list], per_class: int = PER_CLASS) -> tuple[list[bytes], np.ndarray, list]:
-    """Features (as bytes), labels and languages of at most ``per_class`` documents of each class.
-
-    The documents are chosen by a hash of doc_id; their ids, bounded by 2 * per_class, are broadcast.
-    A doc_id that stands in several rows gives several samples.
-    """
-    parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    ids = F.broadcast(parts[0].unionByName(parts[1]))
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            got = [np.ascontiguousarray(x).tobytes() for x in features(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "x", "lang", "y"])
-
-    found = texts.join(ids, "doc_id").select("doc_id", "text", "lang", "y").mapInArrow(run, "doc_id long, x binary, lang string, y int").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
-    return [bytes(r["x"]) for r in found], np.array([r["y"] for r in found], np.int64), [r["lang"] for r in found]
-
-
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """doc_id, a score per whole text (null as empty)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
