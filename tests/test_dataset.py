@@ -247,6 +247,12 @@ def latents(spark):
     return rows, spark.createDataFrame(rows, "id long, z array<double>, z_star array<double>, valid boolean")
 
 
+def test_contrastive_error_sends_in_proportion(spark):
+    """Parts of a pool's matrix: a fixed number a side until one would hold too many bytes."""
+    sizes = spark.createDataFrame([(10, 32), (5_000, 32), (400_000, 32), (2_000_000, 32), (8_000_000, 32), (400_000, 4096)], "n long, d int")
+    assert [r.t for r in sizes.select(ev._sides(F.col("n"), F.col("d"), 1024).alias("t")).collect()] == [1, 5, 16, 16, 62, 391]
+
+
 def test_contrastive_error(spark):
     rows, df = latents(spark)
     got = {r.id: r.error for r in ev.contrastive_error(df.withColumn("pool", F.floor(F.col("id") / 8)), pool=["pool"], valid=F.col("valid"), temperature=0.5, tile=3).collect()}

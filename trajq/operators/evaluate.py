@@ -63,10 +63,18 @@ def prediction_summary(scored: DataFrame, *, episode: str = "episode_index") ->
 
 
 TILE = 1024
+#: Parts that a pool's vectors are dealt into at most on each side of the matrix, while a part's stay within so many bytes.
+SIDES, PART_BYTES = 16, 32 << 20
 
 
-def _tile_udf(temperature: float):
-    """Row and column log-sums of one tile of the cosine matrix; nested, so executors need only numpy."""
+def _sides(n: Column, dims: Column, tile: int) -> Column:
+    """Parts on each side of the matrix of n vectors."""
+    held = F.greatest(F.lit(tile), F.floor(F.lit(PART_BYTES // 8) / F.greatest(dims, F.lit(1))))
+    return F.greatest(F.least(F.lit(SIDES), F.ceil(n / tile)), F.ceil(n / held)).cast("int")
+
+
+def _part_udf(temperature: float, tile: int):
+    """Row and column log-sums of one part of the cosine matrix, tile by tile; nested, so executors need only numpy."""
     def unit(x):
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -79,16 +87,21 @@ def _tile_udf(temperature: float):
         names = ["_pool", "id", "side", "own", "top", "total"]
         if rows.empty or cols.empty:
             return pd.DataFrame([], columns=names)
-        logits = unit(np.stack(rows["v"])) @ unit(np.stack(cols["v"])).T / temperature
-        own = pd.Series(np.nan, index=rows.index)
-        at = {i: k for k, i in enumerate(cols["id"])}
-        for k, i in enumerate(rows["id"]):
-            if i in at:
-                own.iloc[k] = logits[k, at[i]]
-        out = []
-        for side, part, axis in ((0, rows, 1), (1, cols, 0)):
-            top, total = sums(logits, axis)
-            out.append(pd.DataFrame({"_pool": part["_pool"], "id": part["id"], "side": side, "own": own if side == 0 else np.nan, "top": top, "total": total}))
+        a, b = unit(np.stack(rows["v"])), unit(np.stack(cols["v"]))
+        top = [np.full(len(x), -np.inf) for x in (a, b)]
+        total = [np.zeros(len(x)) for x in (a, b)]
+        for i in range(0, len(a), tile):
+            for j in range(0, len(b), tile):
+                logits = a[i : i + tile] @ b[j : j + tile].T / temperature
+                for side, at, axis in ((0, slice(i, i + tile), 1), (1, slice(j, j + tile), 0)):
+                    new, n = sums(logits, axis)
+                    best = np.maximum(top[side][at], new)
+                    total[side][at] = total[side][at] * np.exp(top[side][at] - best) + n * np.exp(new - best)
+                    top[side][at] = best
+        place = {i: k for k, i in enumerate(cols["id"])}
+        found = np.array([place.get(i, -1) for i in rows["id"]])
+        own = np.where(found < 0, np.nan, (a * b[found]).sum(1) / temperature)
+        out = [pd.DataFrame({"_pool": part["_pool"], "id": part["id"], "side": side, "own": own if side == 0 else np.nan, "top": top[side], "total": total[side]}) for side, part in ((0, rows), (1, cols))]
         return pd.concat(out)[names]
 
     return run
@@ -98,23 +111,25 @@ def contrastive_error(df: DataFrame, *, pool: Sequence[str] = (), z: str = "z",
     """Half the row plus half the column cross-entropy of each valid vector within its whole pool.
 
     ``pool``: the caller's keys, none means one pool; ``id`` is unique in a pool. The matrix of a pool
-    is summed in tiles: a task holds ``tile`` x ``tile`` numbers and gives one partial log-sum per row
-    and column, which are then merged; any tile size gives the same errors. The work grows with the
-    square of a pool, as the measure does; the data sent grows with rows x (rows / tile). Pools with
-    fewer than two valid vectors give 0.
+    is cut into parts of at most ``SIDES`` by ``SIDES``; a task holds the vectors of a part's rows and columns
+    (``PART_BYTES`` of each; a pool of more is cut into more parts) and ``tile`` x ``tile`` numbers at once,
+    and gives one partial log-sum per row and column, which are then merged; any tile size gives the same
+    errors. The work grows with the square of a pool, as the measure does; every vector is sent ``2 * SIDES``
+    times at most, so the data sent grows with the rows, up to ``SIDES`` times ``PART_BYTES`` of vectors in a
+    pool. Pools with fewer than two valid vectors give 0.
     """
     if not (temperature > 0 and np.isfinite(temperature)):
         raise ValueError("temperature must be finite and positive")
     kept = df if valid is None else df.where(valid)
     key = F.to_json(F.struct(*pool)) if pool else F.lit("")
     kept = checkpoint(kept.select(*pool, key.alias("_pool"), "id", F.col(z).alias("_a"), F.col(z_star).alias("_b")))
-    sizes = measured(kept.groupBy("_pool").agg(F.count("*").alias("_n")).withColumn("_t", F.ceil(F.col("_n") / tile).cast("int")))
+    sizes = measured(kept.groupBy("_pool").agg(F.count("*").alias("_n"), F.max(F.size("_a")).alias("_d")).select("_pool", "_n", _sides(F.col("_n"), F.col("_d"), tile).alias("_t")))
     at = kept.join(sizes, "_pool").withColumn("_own", F.pmod(F.xxhash64("id"), "_t").cast("int"))
     every = F.sequence(F.lit(0), F.col("_t") - 1)
     rows = at.select("_pool", "id", F.lit(0).alias("side"), F.col("_a").alias("v"), F.col("_own").alias("i"), F.explode(every).alias("j"))
     cols = at.select("_pool", "id", F.lit(1).alias("side"), F.col("_b").alias("v"), F.explode(every).alias("i"), F.col("_own").alias("j"))
-    parts = rows.unionAll(cols).groupBy("_pool", "i", "j").applyInPandas(_tile_udf(temperature), "_pool string, id bigint, side int, own double, top double, total double")
-    parts = parts.groupBy("_pool", "id", "side").agg(F.max("own").alias("own"), F.collect_list(F.struct("top", "total")).alias("p"))  # one entry per tile
+    parts = rows.unionAll(cols).groupBy("_pool", "i", "j").applyInPandas(_part_udf(temperature, tile), "_pool string, id bigint, side int, own double, top double, total double")
+    parts = parts.groupBy("_pool", "id", "side").agg(F.max("own").alias("own"), F.collect_list(F.struct("top", "total")).alias("p"))  # one entry per part
     best = F.array_max(F.transform("p", lambda x: x["top"]))
     merged = parts.withColumn("_m", best).withColumn("lse", F.col("_m") + F.log(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["top"] - F.col("_m")))))
     per = merged.groupBy("_pool", "id").agg(F.sum("lse").alias("_l"), F.max("own").alias("_o"))
