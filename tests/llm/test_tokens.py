@@ -52,6 +52,26 @@ def test_single_spaced_texts_are_told_from_others():
     assert not single_spaced("a\0b")
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_single_spaced_texts_are_learnt_once_whatever_stands_around_them(name):
+    whole, encoder = ids_of(name, 7), Encoder(public_tokenizers.path(name), 7)
+    texts = ["the cat, the cat. The cat; (the cat) the cat's", "Größe, größe! È×É a\u017fb \u0117 12 ½ a1b22", "x\ncat:\nthe cat", "漢字, the <|endoftext|> cat", "_cat_ cat—cat", "the " * 3 + "end"]
+    assert [x.tolist() for x in encoder.ids(texts)] == [whole(t) for t in texts]
+    assert not encoder.code  # no piece was looked up by itself
+    known = encoder.count
+    again = [" ".join(["the", *["cat"] * 5]), "a, cat; the cat. a"] * 3
+    assert [x.tolist() for x in encoder.ids(again)] == [whole(t) for t in again] and encoder.count <= known + 2
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_one_hash_are_told_apart(name):
+    whole, encoder = ids_of(name, 7), Encoder(public_tokenizers.path(name), 7)
+    encoder.hashing.value[:] = 0
+    texts = ["one two three", "", "four five, six", "  seven", "one two"]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.ids(texts)] == [whole(t) for t in texts]
+
+
 def test_ranks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000, 100_003):
