@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trajq.llm.common import Words, mix, shingles, slices, stored
 from trajq.llm.components import components
-from trajq.plans.lineage import measured
+from trajq.plans.lineage import SMALL_ROWS, measured
 
 #: Similarity in hundredths.
 LEAST = 75
@@ -265,9 +265,15 @@ def searched(rows: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFram
 
 
 def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
-    """The components after more edges: only these, between components as they are, are solved."""
-    if edges.isEmpty():
+    """The components after more edges: only these, between components as they are, are solved.
+
+    Few components are solved again with the edges, which takes no join and so no broadcast from the driver.
+    """
+    more = edges.count()
+    if not more:
         return comps
+    if more + comps.count() <= SMALL_ROWS:
+        return components(edges.select("a", "b").unionAll(comps.select("node", "component")))
     for x in ("a", "b"):
         edges = placed(edges.withColumnRenamed(x, "node"), comps).drop("node").withColumnRenamed("component", x)
     up = components(edges)

@@ -237,21 +237,24 @@ def epoch(rows: DataFrame, state: State, weight: np.ndarray, number: int) -> Sta
 
     schema = "k int, row int, " + ", ".join(f"{c} long" for c in names[2:])
     # the last entry of what is no table row is the number of steps, of which the largest counts
-    found = rows.mapInArrow(run, schema).groupBy("k", "row").agg(*(F.sum(c).alias(c) for c in names[2:]), F.max("d0").alias("top")).toArrow()
+    sums = rows.mapInArrow(run, schema).groupBy("k", "row").agg(*(F.sum(c).alias(c) for c in names[2:]), F.max("d0").cast("double").alias("top"))
+    mean = [(F.col(c).cast("double") / UNIT / F.col("n")).cast("float").alias(c) for c in names[3:]]  # what the driver adds, no wider
+    found = sums.select("k", "row", *mean, "top").toArrow()
     columns = {c: np.asarray(found.column(c)) for c in found.column_names}
     out = state.copy()
     for k, (table, speed) in enumerate(zip(out.model.tables, out.speed)):
         own = columns["k"] == k
-        change = np.column_stack([columns[c][own] for c in names[3:]]) / UNIT / columns["n"][own][:, None]
-        table[columns["row"][own]] += change[:, :DIMS].astype(np.float32)
-        speed[columns["row"][own]] += change[:, DIMS].astype(np.float32)
+        at = columns["row"][own]
+        for i in range(DIMS):
+            table[at, i] += columns[f"d{i}"][own]
+        speed[at] += columns[f"d{DIMS}"][own]
     own = columns["k"] == dense
     order = np.argsort(columns["row"][own])
-    mean = (columns["d0"][own] / UNIT / columns["n"][own])[order]
+    mean = columns["d0"][own][order]
     out.step = state.step + int(columns["top"][own][order][-1])
     at = 0
     for param in [*out.dense(), *out.moments]:
-        param += mean[at : at + param.size].reshape(param.shape).astype(np.float32)
+        param += mean[at : at + param.size].reshape(param.shape)
         at += param.size
     return out
 
