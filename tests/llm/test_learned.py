@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trajq.llm import labelled, mixing, near, neighbours, quality, queries, toxicity
+from trajq.llm import common, labelled, mixing, near, neighbours, quality, queries, toxicity
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -111,6 +111,27 @@ def test_blocks_are_averaged(spark):
     assert all((x == y).all() for x, y in zip([*a.dense(), *a.model.tables, *a.speed, *a.moments], [*b.dense(), *b.model.tables, *b.speed, *b.moments])) and a.step == b.step > 0
 
 
+def test_workers_get_small_batches(spark, monkeypatch):
+    """What Spark hands a worker at once is bounded by bytes, and so is what it is sent with a function."""
+    import pickle
+
+    def watched(batches, *args, **kw):
+        for batch in batches:
+            assert batch.nbytes < 2 * common.BATCH_BYTES
+            yield batch
+
+    for module in (labelled, toxicity, near):
+        monkeypatch.setattr(module, "slices", watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 8000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" word" * 300)).alias("text"), F.lit("en").alias("lang"))
+    model = toxicity.Model([], [], [], np.zeros(0), np.zeros(1), constant=0.0)
+    assert toxicity.score(docs, model).count() == toxicity.kept(docs, model).count() == near.sketched(docs).count() == 8000
+    words = common.Words(letters=True)
+    sent = pickle.dumps(words)
+    assert len(sent) < 100_000
+    assert all((x == y).all() for x, y in zip(words.of_texts([b"One two", b"three"]), pickle.loads(sent).of_texts([b"One two", b"three"])))
+
+
 def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from trajq.plans.lineage import scratch_dir
 
 #: Bytes of text that one numpy step works on; SMALL_BYTES where a step makes many rows of numbers or strings of it.
 SLICE_BYTES, SMALL_BYTES = 2 << 20, 1 << 19
+#: Bytes of an Arrow batch that Spark hands a worker; by default it collects 10,000 rows or 64 MB outside the heap for each task.
+BATCH_BYTES = 2 << 20
 #: Bytes that separate words: space and the ASCII controls from tab to carriage return.
 SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -25,6 +27,12 @@ def stored(df: DataFrame, name: str = "llm") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of about BATCH_BYTES; the session keeps that setting, which is read when the rows are asked for."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, with its file system spelled out for readers outside Spark."""
     path = scratch_dir(spark, name)
@@ -116,6 +124,14 @@ class Words:
             steps[0] = 1
             setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
+    def __getstate__(self) -> dict:
+        """Without the powers, 16 MB that would be broadcast with every function that uses the words."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("up", "down")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.powers(self.BLOCK)
+
     def block(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(buf) > len(self.up):
             self.powers(len(buf))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajq.llm.common import slices, stored
+from trajq.llm.common import mapped, slices, stored
 from trajq.plans.lineage import measured
 
 #: Labelled documents that one step of a fit works on, about, and the most bytes of their features.
@@ -44,7 +44,7 @@ def gathered(docs: DataFrame, rows: DataFrame, features: Callable[[list[str]], n
 
     ids = measured(rows)
     n = max(1, -(-ids.count() // size))
-    found = texts.join(ids, "doc_id").select("doc_id", "text", "lang", "y").mapInArrow(run, "doc_id long, y int, lang string, x binary")
+    found = mapped(texts.join(ids, "doc_id").select("doc_id", "text", "lang", "y"), run, "doc_id long, y int, lang string, x binary")
     found = found.select(F.pmod(F.xxhash64("doc_id", "x"), F.lit(n)).alias("block"), "*")
     return stored(found.repartition(n, "block").sortWithinPartitions("block", "doc_id", "y", "x"), "labelled")
 
@@ -79,7 +79,7 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray]) -> DataFra
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return texts.mapInArrow(run, "doc_id long, score double")
+    return mapped(texts, run, "doc_id long, score double")
 
 
 def graded(scores: DataFrame, of: int, held: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajq.llm.common import Words, mix, shingles, slices, stored
+from trajq.llm.common import Words, mapped, mix, shingles, slices, stored
 from trajq.llm.components import components
 from trajq.plans.lineage import SMALL_ROWS, measured
 
@@ -96,7 +96,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             regs = [r.tobytes() for r in registers(sets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
 
-    return stored(plain(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary"), "sketches")
+    return stored(mapped(plain(docs), run, "doc_id long, n_shingles long, set_key binary, registers binary"), "sketches")
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def bands(nodes: DataFrame) -> DataFrame:
                 full = regs > 0
                 yield pa.RecordBatch.from_arrays([pa.array(keys[full]), pa.array(node[full])], ["key", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "key long, node long")
+    return mapped(nodes.select("node", "registers"), run, "key long, node long")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in ("a", "b")]
     full = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
-    return full.mapInArrow(run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    return mapped(full, run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     wanted = plain(docs).join(measured(ids.select(F.col("node").alias("doc_id")).distinct()), "doc_id").select("doc_id", "text")
-    return stored(wanted.mapInArrow(run, "node long, hashes binary").distinct(), "sets")
+    return stored(mapped(wanted, run, "node long, hashes binary").distinct(), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     sides = [sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}")) for x in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "h_a", "h_b"), run, "a long, b long")
 
 
 def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def frequencies(sets: DataFrame) -> bytes:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "n"])
 
-    counts = sets.select("hashes").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = mapped(sets.select("hashes"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = counts.select("slot", F.least(F.lit(255), F.round(F.log2("n") * 6)).cast("short").alias("level")).toArrow()
     out = np.zeros(FREQUENCIES, np.uint8)
     out[found["slot"].to_numpy()] = found["level"].to_numpy()
@@ -233,7 +233,7 @@ def prefixes(sets: DataFrame, levels: bytes) -> DataFrame:
                 doc = doc[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(every[order][keep].view(np.int64)), pa.array(part.column(0).to_numpy()[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["key", "node", "n", "pos"])
 
-    return sets.select("node", "hashes").mapInArrow(run, "key long, node long, n int, pos int")
+    return mapped(sets.select("node", "hashes"), run, "key long, node long, n int, pos int")
 
 
 def searched(rows: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:

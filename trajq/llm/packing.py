@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajq.llm.common import SMALL_BYTES, slices, stored
+from trajq.llm.common import SMALL_BYTES, mapped, slices, stored
 from trajq.llm.tokenization import Encoder
 
 SIZE, OPEN = 2048, 64
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
             yield batch_of(done, True)
         yield batch_of([r for rows in waiting.values() for r in rows], False)
 
-    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE), "pieces")
+    return stored(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECE), "pieces")
 
 
 def merge(open_: DataFrame, size: int, most: int, last: bool) -> DataFrame:
@@ -110,7 +110,7 @@ def merge(open_: DataFrame, size: int, most: int, last: bool) -> DataFrame:
     used = Window.partitionBy("part", "window")
     grouped = open_.withColumn("used", F.sum("length").over(used)).withColumn("group", F.floor(F.col("part") / MERGED).cast("long"))
     ordered = grouped.repartition("group").sortWithinPartitions("group", F.desc("used"), "part", "window", "offset")
-    return ordered.mapInArrow(run, PIECE)
+    return mapped(ordered, run, PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: int = OPEN) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajq.llm.common import slices
+from trajq.llm.common import mapped, slices
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(
@@ -170,7 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts[:3], pa.array(base, pa.string()), pa.array([spelled(x) for x in spans], pa.string()), counts[3]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
+    return mapped(texts, run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
 
 
 def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
@@ -197,4 +197,4 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols[names.index("n_chars")] = pa.array(lengths, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

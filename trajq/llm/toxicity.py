@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajq.llm import labelled
-from trajq.llm.common import SMALL_BYTES, Words, slices
+from trajq.llm.common import SMALL_BYTES, Words, mapped, slices
 from trajq.plans.lineage import checkpoint, measured
 from trajq.plans.ordered import global_index, running_sum
 
@@ -35,6 +36,8 @@ ROWS, DIMS, WIDTHS, FILTERS = 1 << 17, 6, (1, 2, 3), 8
 EPOCHS, BATCH = 3, 64
 #: Words that a batch of texts is cut at, a longer text stands alone; parts of one that changes are summed in.
 BATCH_WORDS, UNIT = 1 << 18, 2.0**40
+#: Rows of sums that a worker sends at once.
+SENT = 1 << 14
 #: Labelled documents of each class that a language needs for a threshold of its own.
 LEAST = 30
 PAD = max(WIDTHS) - 1
@@ -48,8 +51,8 @@ def word_rows(texts: list[str], words: Words) -> list[np.ndarray]:
     return [np.concatenate([rows[a:b], pad]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def sample_features(texts: list[str]) -> list[np.ndarray]:
-    return word_rows(texts, Words(letters=True))
+def sample_features(texts: list[str], words: Words | None = None) -> list[np.ndarray]:
+    return word_rows(texts, words or Words(letters=True))
 
 
 @dataclass
@@ -113,6 +116,14 @@ class State:
         return np.concatenate([x.reshape(-1).astype(np.float64) for x in [*self.dense(), *self.moments]])
 
 
+def sent(sums: np.ndarray, at: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The entries ``at`` of (table, row) sums, SENT at once."""
+    flat = sums.reshape(-1, sums.shape[2])
+    for i in range(0, len(at), SENT):
+        k, row = np.divmod(at[i : i + SENT], sums.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(row.astype(np.int32)), *(pa.array(v) for v in flat[at[i : i + SENT]].T)], names)
+
+
 def word_counts(rows: DataFrame) -> list[np.ndarray]:
     """Documents of each label that hold a word of each table row, over all labelled documents."""
 
@@ -122,10 +133,9 @@ def word_counts(rows: DataFrame) -> list[np.ndarray]:
             for x, label in zip(raw, y):
                 for k, column in enumerate(np.frombuffer(x, np.int32).reshape(-1, 2).T):
                     seen[k, np.unique(column), label] += 1
-        k, row = np.nonzero(seen.sum(2))
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(row.astype(np.int32)), *(pa.array(seen[k, row, y]) for y in (0, 1))], ["k", "row", "n0", "n1"])
+        yield from sent(seen, np.flatnonzero(seen.sum(2)), ["k", "row", "n0", "n1"])
 
-    found = rows.mapInArrow(run, "k int, row int, n0 long, n1 long").groupBy("k", "row").agg(F.sum("n0"), F.sum("n1")).toArrow()
+    found = mapped(rows, run, "k int, row int, n0 long, n1 long").groupBy("k", "row").agg(F.sum("n0"), F.sum("n1")).toArrow()
     k, row, *n = (np.asarray(c) for c in found.columns)
     out = [np.zeros((2, ROWS + 1)) for _ in range(2)]
     for t, seen in enumerate(out):
@@ -229,15 +239,14 @@ def epoch(rows: DataFrame, state: State, weight: np.ndarray, number: int) -> Sta
                 sums[k, at, 1:] += np.rint(change.astype(np.float64) * UNIT).astype(np.int64)
             flat, n, step = flat + np.rint((own.flat() - base) * UNIT).astype(np.int64), n + 1, max(step, own.step)
         if n:
-            k, row = np.nonzero(sums[:, :, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(row.astype(np.int32)), *(pa.array(v) for v in sums[k, row].T)], names)
+            yield from sent(sums, np.flatnonzero(sums[:, :, 0]), names)
             m = np.zeros((len(flat) + 1, DIMS + 2), np.int64)
             m[:, 0], m[:-1, 1], m[-1, 1] = n, flat, step - state.step
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), dense, np.int32)), pa.array(np.arange(len(m), dtype=np.int32)), *(pa.array(v) for v in m.T)], names)
 
     schema = "k int, row int, " + ", ".join(f"{c} long" for c in names[2:])
     # the last entry of what is no table row is the number of steps, of which the largest counts
-    sums = rows.mapInArrow(run, schema).groupBy("k", "row").agg(*(F.sum(c).alias(c) for c in names[2:]), F.max("d0").cast("double").alias("top"))
+    sums = mapped(rows, run, schema).groupBy("k", "row").agg(*(F.sum(c).alias(c) for c in names[2:]), F.max("d0").cast("double").alias("top"))
     mean = [(F.col(c).cast("double") / UNIT / F.col("n")).cast("float").alias(c) for c in names[3:]]  # what the driver adds, no wider
     found = sums.select("k", "row", *mean, "top").toArrow()
     columns = {c: np.asarray(found.column(c)) for c in found.column_names}
@@ -290,7 +299,8 @@ def thresholds(scores: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 5, held: int = 0, epochs: int = EPOCHS) -> Model:
-    rows = labelled.gathered(docs, labelled.training(labels, label, of, held), sample_features)
+    words = Words(letters=True)
+    rows = labelled.gathered(docs, labelled.training(labels, label, of, held), partial(sample_features, words=words))
     counts = labelled.classes(rows)
     if len(counts) < 2:
         return Model([], [], [], np.zeros(0), np.zeros(1), constant=float(next(iter(counts), 0)))
@@ -305,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 5, h
             p = model.score_rows([np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["lang", "y", "p"])
 
-    found = thresholds(rows.select("lang", "y", "x").mapInArrow(run, "lang string, y int, p double"))
+    found = thresholds(mapped(rows.select("lang", "y", "x"), run, "lang string, y int, p double"))
     model.threshold = found.pop("")
     model.thresholds = found
     return model
@@ -331,4 +341,4 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
             limit = np.array([model.thresholds.get(x, model.threshold) for x in langs])
             yield batch.filter(pa.array(p < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
